@@ -249,8 +249,7 @@ def lexical_overlap(theme: Column, text: Column) -> Column:
 def tokens(text: Column, cfg: Settings = DEFAULT) -> Column:
     """Lower-cased words of two characters or more that aren't stop words, in order."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    stop = F.array(*(F.lit(w) for w in cfg.stop_words))
-    return F.filter(found, lambda w: ~F.array_contains(stop, w))
+    return F.filter(found, lambda w: ~w.isin(*cfg.stop_words))
 
 
 def ngrams(toks: Column, longest: int) -> Column:

@@ -146,9 +146,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIV
     dim, depth = centre.shape[1], min(depth, len(centre))
     data = blocks(vectors, centre, BLOCK, depth)
     asked = blocks(queries, centre, QUERY_BLOCK, depth).select(F.col("b").alias("qb"), F.col("ids").alias("qids"), F.col("x").alias("qx"), F.col("o").alias("qo"))
-    # The pairs of block numbers: one row per unit of work, a few bytes each.
-    pairs = data.select("b").withColumn("one", F.lit(1)).join(asked.select("qb").withColumn("one", F.lit(1)), "one").drop("one")
-    units = materialize(pairs.withColumn("unit", F.xxhash64("b", "qb")))
+    # Numbers of the query blocks, one long for 2048 queries; every block of vectors is paired with each.
+    numbers = [r["qb"] for r in asked.select("qb").orderBy("qb").toLocalIterator()]
+    if not numbers:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    units = data.select("b", F.explode(F.array(*map(F.lit, numbers))).alias("qb")).withColumn("unit", F.xxhash64("b", "qb"))
+    units = materialize(units)
     n = max(1, units.count())
     work = units.join(data, "b").join(asked, "qb").repartition(min(n, 10_000), "unit").select("ids", "x", "o", "qids", "qx", "qo")
 

@@ -6,8 +6,8 @@ counts; a prefix sum over the partitions' totals (one long per partition) turns
 global offsets; pass two cuts every document at multiples of ``width`` and writes a boundary
 record for each piece. No task sees more than its own partition and nothing is shuffled.
 
-Tokenising goes word by word: the vocabulary drops white space and no token reaches across it, so
-the ids of a text are those of its words, and words repeat. ``Words`` remembers a bounded number.
+The tokenizer cuts texts into words before it looks for tokens, and no token reaches across a cut,
+so the ids of a text are those of its words, and words repeat. ``Words`` remembers a bounded number.
 
 Defined cases: a null or empty text is the end id alone; texts of any length are cut as often as
 needed; rows that repeat, and rows with a null doc_id, are packed as documents of their own; an
@@ -16,9 +16,10 @@ empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ WIDTH = 2048
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; at this many it starts anew.
-REMEMBER = 300_000
+REMEMBER = 1_000_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -41,29 +42,83 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# The tokenizer's way to cut lower-cased text, written out for characters up to U+00FF, and
+# its special tokens, which are found before that.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+#: Characters on which white space or case differ between libraries; texts with them go word by word.
+UNSURE = re.compile("[^\x09-\x0d\x20-\x7e\xa1-\xff]")
+
+
 class Words(dict):
-    """Word (UTF-8) to its ids as little-endian unsigned 32-bit integers."""
+    """Ids, in ``kind`` (the shortest unsigned integers that hold the vocabulary), of lower-cased words.
+
+    Texts of characters up to U+00FF are cut as the tokenizer cuts them; every part of a word ends in a
+    token marked as a word's end, by which the ids of many parts encoded at once are told apart. Other
+    texts are cut at white space only, and each word is encoded alone.
+    """
 
     def __init__(self, name: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > REMEMBER:
-            self.clear()
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+        # Parts are lower-cased and cut already.
+        self.model = Tokenizer.from_file(tokenizer_path(name))
+        self.model.normalizer = None
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = "<u2" if max(vocab.values()) < 1 << 16 else "<u4"
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.parts: dict[str, bytes] = {}
+        self.other: dict[bytes, bytes] = {}
+
+    def learn(self, words: list[str]) -> None:
+        cut = list(map(PARTS.findall, words))
+        new = list(dict.fromkeys(filterfalse(self.parts.__contains__, chain.from_iterable(cut))))
+        for at in range(0, len(new), 1024):
+            part = new[at : at + 1024]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+            if len(ends) != len(part):
+                raise ValueError("a part of a text has no single end of word; the tokenizer cuts differently")
+            raw = ids.tobytes()
+            self.parts.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        get, join = self.parts.__getitem__, b"".join
+        self.update(zip(words, [get(c[0]) if len(c) == 1 else join(map(get, c)) for c in cut], strict=True))
+
+    def by_word(self, text: bytes) -> bytes:
+        words = text.split()
+        new = list(set(words) - self.other.keys())
+        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
+            self.other[w] = np.array(e.ids, self.kind).tobytes()
+        return b"".join(map(self.other.__getitem__, words))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        for known in (self, self.parts, self.other):
+            if len(known) > REMEMBER:
+                known.clear()
+        cut: list[list[str]] = []
+        found: list[list[bytes | None] | bytes] = []
+        gaps: list[list[int]] = []
+        for raw in texts:
+            text = raw.decode("utf-8", "replace")
+            if UNSURE.search(text) or any(s in text for s in SPECIAL):
+                cut.append([])
+                found.append(self.by_word(raw))
+                gaps.append([])
+                continue
+            words = text.lower().split()
+            ids = list(map(self.get, words))
+            cut.append(words)
+            found.append(ids)
+            gaps.append([i for i, x in enumerate(ids) if x is None] if None in ids else [])
+        self.learn(list(dict.fromkeys(w for words, at in zip(cut, gaps, strict=True) for w in map(words.__getitem__, at))))
+        for words, ids, at in zip(cut, found, gaps, strict=True):
+            for i in at:
+                ids[i] = self[words[i]]
+        return [x if isinstance(x, bytes) else b"".join(x) for x in found]
 
 
 _words: dict[str, Words] = {}
@@ -76,24 +131,25 @@ def words_of(name: str) -> Words:
 
 
 def tokenize(docs: DataFrame, name: str = TOKENIZER, end: int | None = END, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit), n; part and at place a row's ids in its partition's stream."""
+    """doc_id, ids (little-endian, as wide as width says), n; part and at place a row's ids in its partition's stream."""
     ship(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    tail = b"" if end is None else np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, at = words_of(name), TaskContext.get().partitionId(), 0
+        width = np.dtype(words.kind).itemsize
+        tail = b"" if end is None else np.array([end], words.kind).tobytes()
         for batch in slices(batches):
             ids = [x + tail for x in words.encode(utf8(batch, "text"))]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
+            n = np.array([len(x) // width for x in ids], np.int64)
             starts = at + np.cumsum(n) - n
             at += int(n.sum())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(n), pa.array(np.full(len(n), part, np.int64)), pa.array(starts)],
-                names=["doc_id", "ids", "n", "part", "at"],
+                [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(n), pa.array(np.full(len(n), part, np.int64)), pa.array(starts), pa.array(np.full(len(n), width, np.int32))],
+                names=["doc_id", "ids", "n", "part", "at", "width"],
             )
 
-    return source.mapInArrow(run, "doc_id long, ids binary, n long, part long, at long")
+    return source.mapInArrow(run, "doc_id long, ids binary, n long, part long, at long, width int")
 
 
 def stream_offsets(tokens: DataFrame) -> dict[int, int]:
@@ -114,8 +170,8 @@ def pack(docs: DataFrame, width: int = WIDTH, name: str = TOKENIZER, with_ids: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows: list[tuple] = []
-            ids_of = batch.column("ids").to_pylist()
-            for doc, ids, n, part, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id",)), ids_of, *(batch.column(c).to_pylist() for c in ("n", "part", "at")), strict=True):
+            for doc, short, n, part, at, size in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "n", "part", "at", "width")), strict=True):
+                ids = short if size == 4 else np.frombuffer(short, f"<u{size}").astype("<u4").tobytes()
                 first = base.value[part] + at
                 done = 0
                 while done < n:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import text as T
+from .segment import with_hygiene
 
 
 def term_counts(rows: DataFrame, key: str, text: str = "text", longest: int = 2, cfg: Settings = DEFAULT) -> DataFrame:
@@ -57,15 +58,23 @@ class Index:
         return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("spans", "postings", "terms", "norms")))
 
 
+def row_counts(rows: DataFrame, key: str, text: str = "text", longest: int = 2, cfg: Settings = DEFAULT) -> DataFrame:
+    """key and counts, an array of (term, tf), counted inside the row: for short texts, such as spans."""
+    grams = T.ngrams(T.tokens(F.col(text), cfg), longest)
+    tally = lambda g: F.transform(F.array_distinct(g), lambda t: F.struct(t.alias("term"), F.size(F.filter(g, lambda x: x == t)).cast("long").alias("tf")))
+    return rows.select(key, T.let(grams, tally).alias("counts"))
+
+
 def build_index(spans: DataFrame, themes: DataFrame | None = None, cfg: Settings = DEFAULT) -> Index:
     """Index of spans (span_seq, text). With themes, postings and norms are only made for spans that share
     a term with one; frequencies always count all spans, so scores are the same."""
-    counts = term_counts(spans, "span_seq", cfg=cfg)
-    terms = with_idf(document_frequency(counts), spans.agg(F.count(F.lit(1)).alias("n")))
+    counted = row_counts(spans, "span_seq", cfg=cfg)
+    frequency = counted.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = with_idf(frequency, spans.agg(F.count(F.lit(1)).alias("n")))
     if themes is not None:
-        wanted = theme_terms(themes, cfg).select("term").distinct()
-        touched = counts.join(F.broadcast(wanted), "term", "left_semi").select("span_seq").distinct()
-        counts = counts.join(touched, "span_seq", "left_semi")
+        wanted = theme_terms(themes, cfg).agg(F.collect_set("term").alias("_wanted"))
+        counted = counted.crossJoin(F.broadcast(wanted)).filter(F.arrays_overlap("counts.term", "_wanted")).drop("_wanted")
+    counts = counted.select("span_seq", F.explode("counts").alias("c")).select("span_seq", "c.term", "c.tf")
     postings = counts.join(terms.select("term", "idf"), "term").select("span_seq", "term", "tf", (F.col("tf") * F.col("idf")).alias("w"))
     norms = postings.groupBy("span_seq").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
     return Index(spans, postings, terms, norms)
@@ -98,13 +107,15 @@ def r4(x: Column) -> Column:
 def retrieve(index: Index, themes: DataFrame, k: int | None = None, min_score: float | None = None, cfg: Settings = DEFAULT) -> DataFrame:
     """The first k eligible spans of each theme by similarity, then position; rejected spans use no place.
 
-    index.spans needs clean_text and eligible (segment.with_hygiene).
+    Spans without hygiene columns get them here, after the floor, so that only spans near a theme are cleaned.
     """
     k, least = cfg.top_k if k is None else k, cfg.min_score if min_score is None else min_score
     scored = similarities(index, themes, cfg).filter(F.col("score") >= least)
     order = Window.partitionBy("theme_id").orderBy(F.round("score", 9).desc(), "span_seq")
-    eligible = index.spans.filter("eligible")
-    ranked = scored.join(eligible, "span_seq").withColumn("retrieval_rank", F.row_number().over(order)).filter(F.col("retrieval_rank") <= k)
+    near = scored.join(index.spans, "span_seq")
+    if "eligible" not in near.columns:
+        near = with_hygiene(near, cfg)
+    ranked = near.filter("eligible").withColumn("retrieval_rank", F.row_number().over(order)).filter(F.col("retrieval_rank") <= k)
     step = (1.0 - cfg.rank_floor) / (k - 1) if k > 1 else 0.0
     found = ranked.withColumns({"semantic_similarity": r4(F.col("score")), "retrieval_rank_score": r4(F.lit(1.0) - (F.col("retrieval_rank") - 1) * F.lit(step))})
     keep = [c for c in ("evidence_type", "polarity") if c in found.columns]

@@ -8,17 +8,16 @@ from pyspark.sql import functions as F
 from .. import lexicon as L
 from ..config import DEFAULT, Settings
 from ..operators import index as I
-from ..operators import segment, themes, verify
+from ..operators import themes, verify
 from ..sources import readers
 
 VERSION = "0.6"
 MODE = "MOCK (fully deterministic)"
 
 
-def analyse(spans: DataFrame, theme_rows: DataFrame, cfg: Settings = DEFAULT, prepared: bool = False) -> DataFrame:
-    """Findings of all themes (theme_id, theme) over spans, in one job. prepared: spans have hygiene columns."""
-    rows = spans if prepared else segment.with_hygiene(spans, cfg)
-    index = I.build_index(rows, theme_rows, cfg)
+def analyse(spans: DataFrame, theme_rows: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """Findings of all themes (theme_id, theme) over spans, in one job. Hygiene columns that spans have are used."""
+    index = I.build_index(spans, theme_rows, cfg)
     return verify.findings(theme_rows, I.retrieve(index, theme_rows, cfg=cfg), cfg)
 
 

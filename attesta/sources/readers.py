@@ -14,6 +14,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..config import DEFAULT, Settings
 from ..functions import text as T
@@ -66,18 +67,18 @@ def _read_text(spark: SparkSession, path: str, ord_: int, name: str, tag: str, c
     return _segmented(decoded.select("source_ord", "source_document", "doc_tag", pages_by_size(F.col("_t"), cfg).alias("pages")), False, cfg)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _utf8(data: pd.Series) -> pd.Series:
     """Bytes that aren't UTF-8 are dropped."""
     return data.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _docx(data: pd.Series) -> pd.Series:
     return data.map(lambda b: office.docx_paragraphs(bytes(b)))
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
 def _xlsx(data: pd.Series) -> pd.Series:
     return data.map(lambda b: office.xlsx_rows(bytes(b)))
 
@@ -115,17 +116,18 @@ def _read_table(spark: SparkSession, path: str, ord_: int, name: str, tag: str,
     """Tab-separated files use tabs. Row numbers follow the file's order, one file in one pass per split."""
     sep = "\t" if path.lower().endswith(".tsv") else ","
     df = spark.read.csv(path, header=True, sep=sep, multiLine=True, quote='"', escape='"')
-    numbered = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)).toDF(df.schema.add("row_number", "long"))
-    return segment.tabular(_head(numbered, ord_, name, tag), df.columns)
+    schema = StructType([*df.schema.fields, StructField("_row_number", LongType())])
+    numbered = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)).toDF(schema)
+    return segment.tabular(_head(numbered, ord_, name, tag), df.columns, "_row_number")
 
 
 def _read_sheet(spark: SparkSession, path: str, ord_: int, name: str, tag: str, cfg: Settings):
     raw = spark.read.format("binaryFile").load(path).select(_xlsx(F.col("content")).alias("rows"))
     header = raw.select(F.get("rows", 0).alias("h")).first()["h"] or []
     columns = [h if h is not None else f"Unnamed: {i}" for i, h in enumerate(header)]
-    body = raw.select(F.posexplode("rows").alias("row_number", "r")).filter("row_number > 0")
-    cells = body.select("row_number", *(F.get("r", i).alias(c) for i, c in enumerate(columns)))
-    return segment.tabular(_head(cells, ord_, name, tag), columns)
+    body = raw.select(F.posexplode("rows").alias("_row_number", "r")).filter("_row_number > 0")
+    cells = body.select("_row_number", *(F.get("r", i).alias(c) for i, c in enumerate(columns)))
+    return segment.tabular(_head(cells, ord_, name, tag), columns, "_row_number")
 
 
 def _read_url(spark: SparkSession, url: str, ord_: int, name: str, tag: str, cfg: Settings):

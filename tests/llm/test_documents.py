@@ -1,0 +1,415 @@
+"""Operators on documents against plain versions that look at all pairs, words and matches."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from texts import documents, local
+
+from attesta.llm import langid, license_scan, packing, pieces, pii, quality, secret_scan, simhash
+
+EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return documents(spark).persist()
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return local(docs)
+
+
+@pytest.mark.parametrize("op", [packing, license_scan, quality, pieces, simhash, pii, langid, secret_scan])
+def test_empty(spark, op):
+    assert op.query(spark.createDataFrame([], EMPTY)).count() == 0
+
+
+def grouped(rows):
+    """Results by document; documents that repeat are compared as bags."""
+    out = defaultdict(list)
+    for i, *rest in rows:
+        out[i].append(tuple(rest))
+    return {i: sorted(v, key=repr) for i, v in out.items()}
+
+
+# --- packing ---
+
+
+def test_packing(docs, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path(packing.TOKENIZER))
+    want = Counter()
+    for i, x in texts:
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 1]
+        want[i, len(ids), zlib.crc32(b"".join(k.to_bytes(4, "little") for k in ids))] += 1
+    pieces_ = packing.pack(docs, width=64, with_ids=True).collect()
+    seqs, whole = defaultdict(list), defaultdict(list)
+    for p in pieces_:
+        assert p["length"] > 0 and zlib.crc32(p["ids"]) == p["ids_crc32"] and len(p["ids"]) == 4 * p["length"]
+        seqs[p["sequence_id"]].append((p["offset"], p["length"]))
+        whole[p["sequence_id"] * 64 + p["offset"] - p["start"]].append(p)
+    assert sorted(seqs) == list(range(len(seqs)))
+    for k, parts in seqs.items():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at == 64 or k == len(seqs) - 1
+    got = Counter()
+    for parts in whole.values():
+        parts.sort(key=lambda p: p["start"])
+        ids = b"".join(p["ids"] for p in parts)
+        assert [p["start"] for p in parts] == [sum(q["length"] for q in parts[:k]) for k in range(len(parts))]
+        got[parts[0]["doc_id"], len(ids) // 4, zlib.crc32(ids)] += 1
+        assert parts[0]["doc_tokens"] == len(ids) // 4
+    assert got == want
+
+
+def test_packing_pads_the_last(spark):
+    docs = spark.createDataFrame([(1, "a b c")], EMPTY.split(", lang")[0])
+    assert packing.pack(docs, width=8).first()["padded_length"] == 4
+    assert packing.pack(spark.createDataFrame([(1, "a b c d")], "doc_id long, text string"), width=8).first()["padded_length"] == 8
+
+
+# --- quality ---
+
+
+def plain_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    n = Counter(windows)
+    repeated = {i + k for i, w in enumerate(windows) if n[w] > 1 for k in range(3)}
+    dup = sum(x in lines[:i] for i, x in enumerate(lines))
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(repeated)
+
+
+def test_quality_counts(docs, texts):
+    got = grouped((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in quality.query(docs).collect())
+    want = grouped((i, *(c := plain_counts(t)), c[0] < 50 or 100 * c[4] > 50 * c[0]) for i, t in texts)
+    assert got == want
+
+
+def test_quality_bounds(spark, docs, texts):
+    rows = quality.assess(docs, min_rows=10)
+    assert rows.filter("base_failed and kept").count() == 0
+    # the sketch against sorted values: never below the quartile, at most a sixteenth under in bins
+    counted = quality.with_counts(docs, ["lang", "source"])
+    q = {r["metric"]: r for r in quality.quantiles(quality.sketch(counted), []).collect()}
+    for m in quality.METRICS:
+        vals = sorted(r["v"] for r in counted.filter("q_n_words > 0").select(quality.metric(m).alias("v")).collect())
+        for p in (25, 75):
+            exact = next(v for k, v in enumerate(vals, 1) if 100 * k >= p * len(vals))
+            assert exact - exact / 16 - 1 <= q[m][f"q{p}"] <= exact
+    kept = quality.apply_rules(docs, min_rows=10)
+    assert kept.columns == docs.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in rows.filter("kept").collect())
+    assert rows.filter("kept and doc_id < 100").count() > 20
+
+
+def test_quality_bins(spark):
+    rows = spark.range(0, 5000).select("id", quality.to_bin(F.col("id")).alias("b")).withColumn("low", quality.bin_floor(F.col("b"))).orderBy("id").collect()
+    assert all(a["b"] <= b["b"] for a, b in zip(rows, rows[1:], strict=False))
+    assert all(r["low"] <= r["id"] <= r["low"] * 17 / 16 + 1 for r in rows)
+
+
+# --- simhash ---
+
+
+def plain_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    h = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 3]), 42) for i in range(max(1, len(words) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_components(prints):
+    """prints: (id, fingerprint). Links all pairs within three bits."""
+    root = {f: f for _, f in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    fps = list(root)
+    for a in fps:
+        for b in fps:
+            if a < b and bin(a ^ b).count("1") <= 3:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    least = {}
+    for i, f in prints:
+        if i is not None:
+            least[find(f)] = min(i, least.get(find(f), i))
+    return [(i, f"{f:016x}", least.get(find(f))) for i, f in prints]
+
+
+def test_simhash(docs, texts):
+    got = grouped((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.query(docs).collect())
+    assert got == grouped(plain_components([(i, plain_fingerprint(t)) for i, t in texts]))
+
+
+@pytest.mark.parametrize("key_bytes", [2, 3, 4, 5])
+def test_simhash_links(spark, key_bytes, monkeypatch):
+    """All links of crowds and others, for every length of key."""
+    import random
+
+    rng = random.Random(key_bytes)
+    fps = {rng.getrandbits(64) for _ in range(40)}
+    for centre in list(fps)[:12]:
+        fps |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))) for _ in range(8)}
+    crowd = rng.getrandbits(64)
+    fps |= {crowd ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3))) for _ in range(90)}
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
+    want = {i: c for i, _, c in plain_components([(s, f) for s, f in zip(signed, fps, strict=True)])}
+    for crowded in (8, 64, 1000):
+        monkeypatch.setattr(simhash, "CROWD", crowded)
+        roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(nodes, key_bytes)).collect()}
+        assert {s: roots.get(s, s) for s in signed} == want
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (7, 3)], "a long, b long")
+    roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    assert roots == dict.fromkeys(range(61), 0)
+
+
+def test_drop_near_duplicates(docs):
+    found = simhash.near_duplicates(docs).collect()
+    want = {r["component_id"] for r in found if r["doc_id"] is not None}
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert Counter(i for i in ids if i is not None) == Counter(want) and ids.count(None) == 2
+
+
+# --- licenses ---
+
+
+def plain_license(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    at = [(i, label) for phrase, label in license_scan.PHRASES for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    return len(words), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))
+
+
+def test_license(docs, texts):
+    rows = license_scan.query(docs).collect()
+    got = grouped((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in rows)
+    assert got == grouped((i, *plain_license(t)) for i, t in texts)
+    by = {r["doc_id"]: r for r in rows}
+    assert by[215]["labels"] == "gpl,mit" and by[216]["labels"] == "mit" and 0.75 <= by[216]["score"] < 1
+    assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in rows)
+    assert by[0]["labels"] == "" and by[0]["score"] == 0
+
+
+# --- personal data ---
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def digits(s):
+    return re.sub("[^0-9]", "", s)
+
+
+PII = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m[0].split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m[0])) <= 15),
+}
+SECRETS = {
+    "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[1]) >= 8),
+    "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
+    "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 32),
+}
+
+
+def plain_spans(text, kinds):
+    found = {k: [m.span() for m in re.finditer(p, text or "") if ok(m)] for k, (p, ok) in kinds.items()}
+    order = sorted((a, list(kinds).index(k), b, k) for k, spans in found.items() for a, b in spans)
+    joined = ",".join(f"{k}:{a}:{b}" for a, _, b, k in order)
+    return *(len(found[k]) for k in kinds), hashlib.sha256(joined.encode()).hexdigest(), set(joined.split(",")) - {""}
+
+
+@pytest.mark.parametrize(("op", "kinds"), [(pii, PII), (secret_scan, SECRETS)])
+def test_spans(docs, texts, op, kinds):
+    rows = op.query(docs).collect()
+    names = [f"n_{k}" for k in kinds]
+    got = grouped((r["doc_id"], *(r[n] for n in names), r["base_sha256"]) for r in rows)
+    assert got == grouped((i, *plain_spans(t, kinds)[:-1]) for i, t in texts)
+    base = defaultdict(set)
+    for i, t in texts:
+        base[i] |= plain_spans(t, kinds)[-1]
+    for r in rows:
+        if r["doc_id"] is not None and r["doc_id"] != 210:
+            assert base[r["doc_id"]] <= set(r["spans"].split(","))
+    assert sum(sum(r[n] for n in names) for r in rows) >= 5
+
+
+def test_spans_of_random_texts(spark):
+    import random
+
+    rng = random.Random(3)
+    parts = ["a", "b.c", "@", "1", "22", ".", "-", " ", "_", "+", "(", ")", "4111", "1111", "é", "token", "=", ":", "'", "secret", "AKIA", "0123456789abcdef", "\n", "x1y2", "😀"]
+    rows = [(i, "".join(rng.choices(parts, k=rng.randint(1, 60))), "en", "s") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for op, kinds in ((pii, PII), (secret_scan, SECRETS)):
+        got = {r["doc_id"]: r["base_sha256"] for r in op.query(docs).collect()}
+        assert got == {i: plain_spans(t, kinds)[-2] for i, t, *_ in rows}
+
+
+def test_long_runs(spark):
+    """Patterns walk long runs once."""
+    long = ["1" * 300_000, "1 " * 150_000, "a" * 300_000, "a.b-" * 80_000 + "@", "1.2." * 80_000, "+" * 300_000, "+1 " * 100_000, "token=" * 50_000, "f" * 300_000]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(long)], "doc_id long, text string, lang string, source string")
+    for op, kinds in ((pii, {k: PII[k] for k in ("email", "ip", "phone")}), (secret_scan, SECRETS)):
+        got = {r["doc_id"]: tuple(r[f"n_{k}"] for k in kinds) for r in op.query(docs).collect()}
+        assert all(got[i] == plain_spans(t, kinds)[: len(kinds)] for i, t in enumerate(long) if i not in (2, 3))
+
+
+def test_context_patterns(spark):
+    """A number that fails the checksum, in a context that seeds have set, is found."""
+    import random
+
+    rng = random.Random(5)
+
+    def card(valid):
+        while True:
+            d = "".join(rng.choices("0123456789", k=16))
+            if luhn(d) == valid:
+                return d
+
+    rows = [(i, f"note {i} account number {card(True)} closed") for i in range(40)] + [(100, f"the account number {card(False)} closed"), (101, f"part {card(False)} of stock")]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["spans"] for r in pii.query(docs).collect()}
+    assert got[100] == "ctx:19:35" and got[101] == ""
+
+
+def test_ownership(spark):
+    shared, own = "token = ZZexampleValue1234", "token = MineOnlyValue98765"
+    rows = [(i, shared, "en", f"s{i}") for i in range(5)] + [(9, own, "en", "s1"), (10, own, "en", "s1"), (11, f"see Abcdefgh1234567890IJKLMNOPQR and {shared}", "en", "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in secret_scan.query(docs).collect()}
+    assert (got[0]["n_example"], got[0]["n_live"]) == (1, 0) and (got[9]["n_example"], got[9]["n_live"]) == (0, 1)
+    assert got[11]["spans"] == "owned:4:32,assign:37:63"
+    red = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
+    assert red[0] == shared and red[9] == "[SECRET]" and red[11] == f"see [SECRET] and {shared}"
+
+
+def test_redact_keeps_rows(docs, texts):
+    red = secret_scan.redact(docs)
+    assert red.columns == docs.columns and red.count() == len(texts)
+    plain = {i for i, t in texts if not any(plain_spans(t, SECRETS)[:3])} - {219, 220, 210, 204}
+    before = {i: t for i, t in texts if i in plain and i < 100}
+    assert {r["doc_id"]: r["text"] for r in red.collect() if r["doc_id"] in before} == before
+
+
+# --- language ---
+
+
+def test_language(spark):
+    import random
+
+    from texts import SYLLABLES, prose
+
+    rng = random.Random(8)
+    rows = [(i, prose(rng, la := rng.choice(list(SYLLABLES)), rng.randint(10, 60)), la, "s") for i in range(400)]
+    rows += [(1000, None, "en", "s"), (1001, "12 34 !", "fr", "s"), (1002, "", None, "s"), (1003, prose(rng, "de", 30) + " " + prose(rng, "es", 90), None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {r["doc_id"]: r for r in langid.query(docs).collect()}
+    assert len(out) == len(rows)
+    assert all(out[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in out)
+    held = [(la, out[i]["lang_pred"]) for i, _, la, _ in rows[:400] if out[i]["held_out"]]
+    assert sum(a == b for a, b in held) / len(held) >= 0.95
+    assert all(out[i]["lang_pred"] == "und" and out[i]["score"] == 0 for i in (1000, 1001, 1002))
+    assert out[1003]["lang_pred"] == "es" and 0.5 < out[1003]["score"] < 0.9
+    model = langid.fit(docs)
+    spans = langid.Labeller(model).spans((prose(rng, "de", 30) + " " + prose(rng, "es", 30)).encode())
+    assert [s[2] for s in spans] == ["de", "es"]
+    # only the text counts
+    again = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs.select("doc_id", "text"), model).collect()}
+    assert again == {i: r["lang_pred"] for i, r in out.items()}
+
+
+def test_viterbi():
+    """Against all paths."""
+    from itertools import product
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    tables = [rng.normal(size=(n, 3)) * 3 for n in (7, 5, 5, 1)]
+    got = langid.viterbi_many(np.concatenate(tables), np.array([7, 5, 5, 1]), 2.0)
+    at = 0
+    for t in tables:
+        cost = lambda p, t=t: sum(t[i, k] for i, k in enumerate(p)) - 2.0 * sum(a != b for a, b in zip(p, p[1:], strict=False))
+        best = max(product(range(3), repeat=len(t)), key=cost)
+        assert cost(tuple(got[at : at + len(t)])) == pytest.approx(cost(best))
+        at += len(t)
+
+
+def test_language_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some words", None, "s")], EMPTY.rsplit(",", 1)[0])
+    assert langid.query(docs).first()["lang_pred"] == "und"
+
+
+def test_scripts(spark):
+    rows = [(i, t, la, "s") for i, (t, la) in enumerate([("это русский текст слова", "ru"), ("these are english words", "en")] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = langid.fit(docs)
+    assert langid.Labeller(model).predict(["неизвестное".encode(), b"zzz"])[0][0] == "ru"
+
+
+# --- SentencePiece ---
+
+
+def test_pieces(docs, texts):
+    rows = pieces.encode(docs)
+    got = rows.collect()
+    assert len(got) == len(texts)
+    assert all(r["parity"] for r in got) and all(r["round_trip"] for r in got)
+    back = grouped((r["doc_id"], r["text"]) for r in pieces.decode(rows).collect())
+    assert back == grouped((i, t or "") for i, t in texts)
+
+
+def test_pieces_unigram():
+    """A unigram model, written by hand as a protobuf, gives the library's ids."""
+    import struct
+
+    import sentencepiece
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def msg(k, data):
+        return varint(k << 3 | 2) + varint(len(data)) + data
+
+    def piece(p, s, kind):
+        return msg(1, msg(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s) + varint(3 << 3) + varint(kind))
+
+    model = piece("<unk>", 0, 2) + piece("<s>", 0, 3) + piece("</s>", 0, 3)
+    model += b"".join(piece(f"<0x{i:02X}>", -20, 6) for i in range(256))
+    model += b"".join(piece(p, s, 1) for p, s in (("▁", -3.0), ("a", -3.1), ("b", -3.2), ("ab", -4.0), ("▁a", -4.1), ("▁ab", -6.3), ("ba", -5.0)))
+    model += msg(2, varint(3 << 3) + varint(1) + varint(35 << 3) + varint(1)) + msg(3, msg(1, b"identity") + varint(4 << 3) + varint(0))
+    theirs = sentencepiece.SentencePieceProcessor(model_proto=model)
+    m = pieces.parse(model)
+    assert (m.kind, m.byte_fallback, m.squeeze, m.dummy_prefix) == (pieces.UNIGRAM, True, False, True)
+    t = pieces.build(m)
+    for text in ("ab ba abba", "a  b", "bab"):
+        assert t.encode("▁" + text).ids == theirs.encode(text)
+
+
