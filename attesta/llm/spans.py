@@ -10,12 +10,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<kind:string,ord:int,start:int,end:int,value:string,left:string,right:string>>"
+#: Matches whose places are added up in one array.
+RUN = 256
 
 
 def hits(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _starts(found: Column, pieces: Column) -> Column:
+    """Where each match starts: the lengths of the pieces and matches before it, added up.
+
+    Matches go in blocks of ``RUN``: an array grows by copying, so one of n would cost n * n.
+    """
+    n = F.size(found)
+
+    def step(a: Column, i: Column) -> Column:
+        here = a["at"] + F.char_length(F.get(pieces, i))
+        return F.struct((here + F.char_length(F.get(found, i))).alias("at"), F.concat(a["starts"], F.array(here)).alias("starts"))
+
+    def block(a: Column, first: Column) -> Column:
+        own = F.aggregate(F.sequence(first, F.least(first + RUN, n) - 1), F.struct(a["at"].alias("at"), F.array().cast("array<int>").alias("starts")), step)
+        return F.get(F.transform(F.array(own), lambda b: F.struct(b["at"].alias("at"), F.concat(a["starts"], F.array(b["starts"])).alias("starts"))), 0)
+
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("starts"))
+    return F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(RUN)), empty, block, lambda a: F.flatten(a["starts"]))
+
+
 def with_spans(df: DataFrame, text: str, name: str, kind: str, order: int, pattern: str, gate: Column, ok, group: int = 0, context: int = 0) -> DataFrame:
     """Adds column ``name``: spans of the matches of ``pattern`` for which ok(match, group's text) holds.
 
@@ -29,15 +50,7 @@ def with_spans(df: DataFrame, text: str, name: str, kind: str, order: int, patte
     some = F.size(m) > 0
     df = df.withColumn(g, F.when(some, hits(t, pattern, group)).otherwise(none) if group else F.col(m))
     df = df.withColumn(p, F.when(some, F.split(t, pattern, -1)).otherwise(none))
-    start = F.aggregate(
-        F.sequence(F.lit(0), F.size(m) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda a, i: F.struct(
-            (a["at"] + F.char_length(F.get(F.col(p), i)) + F.char_length(F.get(F.col(m), i))).alias("at"),
-            F.concat(a["starts"], F.array(a["at"] + F.char_length(F.get(F.col(p), i)))).alias("starts"),
-        ),
-        lambda a: a["starts"],
-    )
+    start = _starts(F.col(m), F.col(p))
     df = df.withColumn(s, F.when(some, start).otherwise(F.array().cast("array<int>")))
     around = lambda i, side: (F.right(F.get(F.col(p), i), F.lit(context)) if side == "left" else F.left(F.get(F.col(p), i + 1), F.lit(context))) if context else F.lit("")
     made = F.transform(
