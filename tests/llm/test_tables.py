@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from conftest import DATA
 from texts import documents
 
 import corpus_pipeline
@@ -44,6 +45,16 @@ def test_ann_recall(spark, monkeypatch):
     assert hit / (20 * len(want)) >= 0.9
 
 
+@pytest.mark.skipif(not (DATA / "sf0.1").exists(), reason="needs the test tables")
+def test_ann_recall_on_the_table(spark):
+    df = spark.read.parquet(str(DATA / "sf0.1/embeddings.parquet"))
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    want = exact(np.array([v for _, v in rows], np.float64), [i for i, _ in rows])
+    got = {(r["query_id"], r["vec_id"]) for r in ann.query(df).collect()}
+    assert len(got) == 20 * len(want)
+    assert len(got & {(q, i) for q, best in want.items() for i, _ in best}) >= 0.9 * len(got)
+
+
 def test_ann_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [0.0, 0.0]), (7, [None, 1.0]), (8, [1.0, 0.0]), (20, [2.0, 0.0]), (40, [1.0]), (None, [1.0, 1.0]), (1, [3.0, 0.0]), (9, [])]
