@@ -114,7 +114,8 @@ class Segment:
         order = np.argsort(flat, kind="stable")
         self.at = np.searchsorted(flat[order], np.arange(flat.max() + 2 if len(flat) else 1))
         self.who, self.place = order // max(1, depth), (order % max(1, depth)).astype(np.int32)
-        self.least = np.array([i[0] for i in self.ids])
+        #: An entry's turn among equals: by its smallest id.
+        self.turn = np.argsort(np.argsort(np.array([i[0] for i in self.ids])))
 
     def candidates(self, q: np.ndarray, want: int) -> np.ndarray:
         """The nearest ``want`` entries by footrule distance to the order ``q``, ties to smaller ids."""
@@ -126,7 +127,7 @@ class Segment:
             if p + 1 < len(self.at):
                 part = slice(self.at[p], self.at[p + 1])
                 gain[self.who[part]] += depth - np.maximum(self.place[part], place)
-        rank = gain.astype(np.int64) * -n + np.argsort(np.argsort(self.least))
+        rank = gain.astype(np.int64) * -n + self.turn
         return np.argpartition(rank, want - 1)[:want]
 
     def search(self, qid: int, qx: np.ndarray, qo: np.ndarray, k: int, share: float, least: int) -> list[tuple[int, int, float]]:
