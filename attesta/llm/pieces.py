@@ -19,6 +19,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,6 +33,8 @@ from .common import ship, slices, utf8
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 REMEMBER = 300_000
+#: Cuts encoded at a time by one thread.
+GROUP = 2048
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -123,6 +126,7 @@ class Codec(dict):
 
     def __init__(self, path: str) -> None:
         super().__init__()
+        self.older: dict[str, bytes] = {}
         with open(path, "rb") as f:
             self.model = m = parse(f.read())
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
@@ -152,14 +156,28 @@ class Codec(dict):
         return self.cut.findall(text)
 
     def learn(self, cuts: set[str]) -> None:
+        """Afterwards all ``cuts`` are here. When full, what was met since the last time stays as ``older``,
+        so that frequent cuts outlive those met once."""
         new = [c for c in cuts if c not in self]
-        if len(self) + len(new) > REMEMBER:
+        if len(self) + len(new) > REMEMBER // 2:
+            self.older = dict(self)
             self.clear()
             new = list(cuts)
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[c] = np.array(e.ids, "<u4").tobytes()
+        known = {c: self.older[c] for c in new if c in self.older}
+        self.update(known)
+        if known:
+            new = [c for c in new if c not in known]
+        groups = [new[at : at + GROUP] for at in range(0, len(new), GROUP)]
+        for at in range(0, len(groups), 16):
+            part = groups[at : at + 16]
+            # A group is one encoding of many words; pieces don't cross words, and each knows its word.
+            for group, e in zip(part, self.tokenizer.encode_batch(part, is_pretokenized=True, add_special_tokens=False), strict=True):
+                ids = array("I", e.ids).tobytes()
+                ends = 4 * np.bincount(np.array(e.word_ids, np.int64), minlength=len(group)).cumsum()
+                start = 0
+                for c, end in zip(group, ends.tolist(), strict=True):
+                    self[c] = ids[start:end]
+                    start = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.cuts(t) for t in texts]
@@ -196,7 +214,7 @@ def encode(docs: DataFrame, name: str = MODEL, verify: bool = True) -> DataFrame
             ids = own.encode(texts)
             same = [None] * len(ids)
             if verify:
-                same = [np.array(x, "<u4").tobytes() == y for x, y in zip(theirs.encode(texts, num_threads=1), ids, strict=True)]
+                same = [array("I", x).tobytes() == y for x, y in zip(theirs.encode(texts, num_threads=1), ids, strict=True)]
             back = [own.decode(x) == t for x, t in zip(ids, texts, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())],
