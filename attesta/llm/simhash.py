@@ -185,9 +185,15 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     An id that repeats leaves one row, and does so if any of its rows leads a component. Rows
     without a doc_id all stay. Survivors are decided on ids; texts take part in one join by doc_id.
     """
-    found = near_duplicates(docs).filter(F.col("doc_id").isNotNull())
+    return keep_leaders(docs, near_duplicates(docs))
+
+
+def keep_leaders(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that lead their component in ``found`` (doc_id, component_id) or have no doc_id."""
+    found = found.filter(F.col("doc_id").isNotNull())
     ids = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("leads"), F.count(F.lit(1)).alias("n"))
-    marks = ids.filter(~F.col("leads") | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("leads").alias("_leads"))
+    # Written, so that its size is known: while it is small no text is shuffled
+    marks = materialize(ids.filter(~F.col("leads") | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("leads").alias("_leads")))
     marked = docs.join(marks, F.col("doc_id") == F.col("_id"), "left")
     again = marked.filter("_leads").dropDuplicates(["doc_id"])
     return marked.filter("_leads is null").unionByName(again).drop("_id", "_leads")

@@ -135,3 +135,40 @@ def test_pipeline(spark, tmp_path):
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in again.collect()} == ids
     assert simhash.near_duplicates(kept).filter("doc_id != component_id").count() == 0
+
+
+def test_pipeline_near_copies(spark):
+    """Planted pairs of 5-word similarity 0.8 to 0.95 lose one; pairs below 0.8 stay; a chain of copies loses all but one."""
+    import random
+
+    rng = random.Random(3)
+
+    def words(n):
+        return ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+
+    def shingles_of(w):
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    def changed(w, n):
+        w = list(w)
+        for i in range(n):
+            w[(i * 2 + 1) * len(w) // (2 * n)] = words(1)[0]
+        return w
+
+    rows, near, far = [], set(), set()
+    for k, (n, edits) in enumerate([(100, 1), (100, 2), (300, 2), (300, 6), (1000, 10), (1000, 20), (100, 4), (300, 12)] * 6):
+        w = words(n)
+        v = changed(w, edits)
+        share = len(shingles_of(w) & shingles_of(v)) / len(shingles_of(w) | shingles_of(v))
+        assert 0.8 <= share <= 0.99 or 0.6 < share < 0.8
+        (near if share >= 0.8 else far).add(2 * k + 1)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    assert len(near) == 36 and len(far) == 12
+    w = words(100)
+    for k in range(1000, 1006):
+        rows.append((k, " ".join(w)))
+        w = changed(w, 2)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert not kept & near and far <= kept
+    assert {i for i in kept if i % 2 == 0 and i < 1000} == set(range(0, 96, 2)) and {i for i in kept if i >= 1000} == {1000}
