@@ -55,6 +55,19 @@ def test_ann_recall_on_the_table(spark):
     assert len(got & {(q, i) for q, best in want.items() for i, _ in best}) >= 0.9 * len(got)
 
 
+def test_ann_recall_beside_a_group(spark):
+    """A third of the rows are near-equal: recall of queries in that group and of the others."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3600, 64))
+    group = set(rng.choice(3600, 1200, replace=False).tolist())
+    x[sorted(group)] = x[7] + 0.01 * rng.normal(size=(1200, 64))
+    x = x.astype(np.float32)
+    want = exact(x.astype(np.float64), range(len(x)))
+    got = {(r["query_id"], r["vec_id"]) for r in ann.query(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VEC)).collect()}
+    for asked in (want.keys() & group, want.keys() - group):
+        assert len(got & {(q, i) for q in asked for i, _ in want[q]}) >= 0.9 * 20 * len(asked)
+
+
 def test_ann_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [0.0, 0.0]), (7, [None, 1.0]), (8, [1.0, 0.0]), (20, [2.0, 0.0]), (40, [1.0]), (None, [1.0, 1.0]), (1, [3.0, 0.0]), (9, [])]
