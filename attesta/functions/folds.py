@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..shipping import ship
 from . import text as T
 
 
@@ -53,6 +54,7 @@ def pack_paragraphs(parts: Sequence[str], most: int, whole: str) -> list[str]:
 
 def chunk_texts(pages: Column, cfg: Settings = DEFAULT) -> Column:
     """For an array of page texts, an array of the chunk texts of each."""
+    ship()
     most, flush = cfg.chunk_chars, cfg.chunk_flush
 
     @F.pandas_udf("array<array<string>>")
@@ -64,6 +66,7 @@ def chunk_texts(pages: Column, cfg: Settings = DEFAULT) -> Column:
 
 def pages_by_size(text: Column, cfg: Settings = DEFAULT) -> Column:
     """Pages of a free text: at form feeds if there are any, else by size at blank lines."""
+    ship()
     most = cfg.page_chars
 
     @F.pandas_udf("array<string>")

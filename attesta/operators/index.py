@@ -1,30 +1,49 @@
 """Relational TF-IDF index and top-k retrieval for all themes at once.
 
 Weights are raw term frequency times ln((1 + N) / (1 + df)) + 1 over 1- and 2-grams, N being all
-spans; similarity is the cosine. Term frequencies are counted inside a span's row; document
-frequencies are one aggregation by term.
+spans; similarity is the cosine. Term frequencies are counted inside a span's row, without a
+shuffle; document frequencies are one aggregation by term.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import text as T
+from ..tables import materialize
 from .segment import with_hygiene
 
 
+def tally(grams: Column) -> Column:
+    """An array of (term, tf): the runs of the sorted terms."""
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        pairs = lambda at: F.transform(at, lambda i, j: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, j + 1), n) - i).cast("long").alias("tf")))
+        return F.when(n > 0, T.let(starts, pairs)).otherwise(F.array().cast("array<struct<term:string,tf:long>>"))
+
+    return T.let(F.array_sort(grams), runs)
+
+
+def row_counts(rows: DataFrame, key: str, text: str = "text", longest: int = 2, cfg: Settings = DEFAULT) -> DataFrame:
+    """key and counts, an array of (term, tf), of each text."""
+    return rows.select(key, tally(T.ngrams(T.tokens(F.col(text), cfg), longest)).alias("counts"))
+
+
 def term_counts(rows: DataFrame, key: str, text: str = "text", longest: int = 2, cfg: Settings = DEFAULT) -> DataFrame:
-    """key, term, tf: a row per distinct term of each text."""
-    grams = rows.select(key, T.ngrams(T.tokens(F.col(text), cfg), longest).alias("g"))
-    return grams.select(key, F.explode("g").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """key, term, tf: a row per distinct term of each text, whose key is unique."""
+    return row_counts(rows, key, text, longest, cfg).select(key, F.explode("counts").alias("c")).select(key, "c.term", "c.tf")
 
 
-def document_frequency(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def document_frequency(rows: DataFrame, text: str = "text", longest: int = 2, cfg: Settings = DEFAULT) -> DataFrame:
+    """term, df over all texts, partly summed before the one shuffle."""
+    terms = F.array_distinct(T.ngrams(T.tokens(F.col(text), cfg), longest))
+    return rows.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def with_idf(frequency: DataFrame, total: DataFrame) -> DataFrame:
@@ -40,44 +59,50 @@ class Index:
     terms: DataFrame  # term, df, idf
     norms: DataFrame  # span_seq, nrm
 
-    def persist(self) -> Index:
-        for df in (self.spans, self.terms, self.postings, self.norms):
-            df.persist()
-        return self
-
-    def unpersist(self) -> None:
-        for df in (self.spans, self.terms, self.postings, self.norms):
-            df.unpersist()
-
     def save(self, path: str) -> None:
         for name in ("spans", "postings", "terms", "norms"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @staticmethod
-    def load(spark, path: str) -> Index:
+    def load(spark: SparkSession, path: str) -> Index:
         return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("spans", "postings", "terms", "norms")))
 
 
-def row_counts(rows: DataFrame, key: str, text: str = "text", longest: int = 2, cfg: Settings = DEFAULT) -> DataFrame:
-    """key and counts, an array of (term, tf), counted inside the row: for short texts, such as spans."""
-    grams = T.ngrams(T.tokens(F.col(text), cfg), longest)
-    tally = lambda g: F.transform(F.array_distinct(g), lambda t: F.struct(t.alias("term"), F.size(F.filter(g, lambda x: x == t)).cast("long").alias("tf")))
-    return rows.select(key, T.let(grams, tally).alias("counts"))
+def _weighted(spans: DataFrame, counts: DataFrame, terms: DataFrame) -> Index:
+    postings = materialize(counts.join(terms.select("term", "idf"), "term").select("span_seq", "term", "tf", (F.col("tf") * F.col("idf")).alias("w")))
+    norms = postings.groupBy("span_seq").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
+    return Index(spans, postings, terms, norms)
 
 
 def build_index(spans: DataFrame, themes: DataFrame | None = None, cfg: Settings = DEFAULT) -> Index:
-    """Index of spans (span_seq, text). With themes, postings and norms are only made for spans that share
-    a term with one; frequencies always count all spans, so scores are the same."""
-    counted = row_counts(spans, "span_seq", cfg=cfg)
-    frequency = counted.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms = with_idf(frequency, spans.agg(F.count(F.lit(1)).alias("n")))
+    """Index of all spans (span_seq, text), to answer any themes later; with themes, index_for() these.
+    Terms and postings are written once."""
     if themes is not None:
-        wanted = theme_terms(themes, cfg).agg(F.collect_set("term").alias("_wanted"))
-        counted = counted.crossJoin(F.broadcast(wanted)).filter(F.arrays_overlap("counts.term", "_wanted")).drop("_wanted")
-    counts = counted.select("span_seq", F.explode("counts").alias("c")).select("span_seq", "c.term", "c.tf")
-    postings = counts.join(terms.select("term", "idf"), "term").select("span_seq", "term", "tf", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = postings.groupBy("span_seq").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
-    return Index(spans, postings, terms, norms)
+        return index_for(spans, themes, cfg)
+    terms = materialize(with_idf(document_frequency(spans, cfg=cfg), spans.agg(F.count(F.lit(1)).alias("n"))))
+    return _weighted(spans, term_counts(spans, "span_seq", cfg=cfg), terms)
+
+
+def index_for(spans: DataFrame, themes: DataFrame, cfg: Settings = DEFAULT) -> Index:
+    """The part of the index that ``themes`` need, with the scores of the whole: spans that share a term with
+    a theme, and the frequencies, over all spans, of these spans' terms.
+
+    A first pass takes out the near spans; a second counts only their terms. An empty string stands for a
+    span in the count, so that N comes with the same pass.
+    """
+    wanted = F.broadcast(theme_terms(themes, cfg).agg(F.collect_set("term").alias("_wanted")))  # a few words a theme
+    maybe = F.exists("_wanted", lambda w: F.contains(F.lower("text"), w))
+    grams = T.ngrams(T.tokens(F.col("text"), cfg), 2)
+    near = spans.crossJoin(wanted).filter(maybe).withColumn("_counts", tally(grams))
+    near = materialize(near.filter(F.exists("_counts", lambda c: F.array_contains("_wanted", c["term"]))).drop("_wanted"))
+    counts = near.select("span_seq", F.explode("_counts").alias("c")).select("span_seq", "c.term", "c.tf")
+    vocabulary = counts.select("term").distinct().union(themes.sparkSession.createDataFrame([("",)], "term string"))
+    # Written, so that its size is known: it is broadcast if small, else joined by shuffle
+    vocabulary = materialize(vocabulary)
+    seen = spans.select(F.explode(F.concat(F.array_distinct(grams), F.array(F.lit("")))).alias("term"))
+    frequency = materialize(seen.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    total = frequency.filter("term = ''").agg(F.coalesce(F.max("df"), F.lit(0).cast("long")).alias("n"))
+    return _weighted(near.drop("_counts"), counts, with_idf(frequency.filter("term <> ''"), total))
 
 
 def theme_terms(themes: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
@@ -87,7 +112,7 @@ def theme_terms(themes: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 
 def theme_vectors(index: Index, themes: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """theme_id, term, qw, qn; terms that no span has drop out."""
-    q = F.broadcast(theme_terms(themes, cfg)).join(index.terms, "term").select("theme_id", "term", (F.col("tf") * F.col("idf")).alias("qw"))
+    q = index.terms.join(F.broadcast(theme_terms(themes, cfg)), "term").select("theme_id", "term", (F.col("tf") * F.col("idf")).alias("qw"))
     norm = q.groupBy("theme_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     return q.join(F.broadcast(norm), "theme_id")
 
@@ -104,24 +129,42 @@ def r4(x: Column) -> Column:
     return F.round(x + 1e-9, 4)
 
 
+#: So many times k spans of a theme are cleaned first; all others only where these hold fewer than k eligible ones.
+FIRST_LOOK = 20
+
+
 def retrieve(index: Index, themes: DataFrame, k: int | None = None, min_score: float | None = None, cfg: Settings = DEFAULT) -> DataFrame:
     """The first k eligible spans of each theme by similarity, then position; rejected spans use no place.
 
-    Spans without hygiene columns get them here, after the floor, so that only spans near a theme are cleaned.
+    Spans without hygiene columns get them here, best first, so that only spans that may be returned are cleaned.
+    The result, k rows a theme, is written: all later steps read it.
     """
     k, least = cfg.top_k if k is None else k, cfg.min_score if min_score is None else min_score
-    scored = similarities(index, themes, cfg).filter(F.col("score") >= least)
-    order = Window.partitionBy("theme_id").orderBy(F.round("score", 9).desc(), "span_seq")
-    near = scored.join(index.spans, "span_seq")
-    if "eligible" not in near.columns:
-        near = with_hygiene(near, cfg)
-    ranked = near.filter("eligible").withColumn("retrieval_rank", F.row_number().over(order)).filter(F.col("retrieval_rank") <= k)
+    scored = materialize(similarities(index, themes, cfg).filter(F.col("score") >= least))
+    by_theme = Window.partitionBy("theme_id").orderBy(F.round("score", 9).desc(), "span_seq")
+
+    def best(rows: DataFrame) -> DataFrame:
+        near = rows.join(index.spans, "span_seq")
+        if "eligible" not in near.columns:
+            # Written before the filter: pushed down, it would clean a text anew for every test
+            near = materialize(with_hygiene(near, cfg))
+        return near.filter("eligible").withColumn("retrieval_rank", F.row_number().over(by_theme)).filter(F.col("retrieval_rank") <= k)
+
+    # Cleaning is the costly part, and the first few spans nearly always hold k eligible ones
+    some = max(1, k * FIRST_LOOK)
+    found = materialize(best(scored.withColumn("_place", F.row_number().over(by_theme)).filter(F.col("_place") <= some).drop("_place")))
+    more = scored.groupBy("theme_id").count().filter(F.col("count") > some).select("theme_id")
+    more = materialize(more.join(found.groupBy("theme_id").count().filter(F.col("count") >= k), "theme_id", "left_anti"))
+    if not more.isEmpty():
+        found = found.join(more, "theme_id", "left_anti").unionByName(best(scored.join(more, "theme_id", "left_semi")))
     step = (1.0 - cfg.rank_floor) / (k - 1) if k > 1 else 0.0
-    found = ranked.withColumns({"semantic_similarity": r4(F.col("score")), "retrieval_rank_score": r4(F.lit(1.0) - (F.col("retrieval_rank") - 1) * F.lit(step))})
+    found = found.withColumns({"semantic_similarity": r4(F.col("score")), "retrieval_rank_score": r4(F.lit(1.0) - (F.col("retrieval_rank") - 1) * F.lit(step))})
     keep = [c for c in ("evidence_type", "polarity") if c in found.columns]
-    return found.join(F.broadcast(themes), "theme_id").select(
-        "theme_id", "theme", "retrieval_rank", "span_seq", "span_id", "chunk_id", "page_number", "source_document",
-        F.col("clean_text").alias("text"), "semantic_similarity", "retrieval_rank_score", *keep,
+    return materialize(
+        found.join(F.broadcast(themes), "theme_id").select(
+            "theme_id", "theme", "retrieval_rank", "span_seq", "span_id", "chunk_id", "page_number", "source_document",
+            F.col("clean_text").alias("text"), "semantic_similarity", "retrieval_rank_score", *keep,
+        )
     )
 
 

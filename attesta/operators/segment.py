@@ -5,12 +5,13 @@ documents: source_ord, source_document, doc_tag, pages (array of texts), and row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import text as T
 from ..functions.folds import chunk_texts
+from ..tables import materialize
 
 
 def chunks(documents: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
@@ -27,7 +28,8 @@ def chunks(documents: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 
 
 def _seq() -> Column:
-    return (F.shiftleft(F.col("source_ord").cast("long"), 32) + F.shiftleft(F.col("chunk_no").cast("long"), 12) + F.col("span_no")).alias("span_seq")
+    """A span's place: source, chunk and span, compared in this order. A struct, so that none can overflow."""
+    return F.struct(*(F.col(c).cast("long").alias(c) for c in ("source_ord", "chunk_no", "span_no"))).alias("span_seq")
 
 
 def spans(chunked: DataFrame, cleaned: bool = False, cfg: Settings = DEFAULT) -> DataFrame:
@@ -67,6 +69,18 @@ def with_hygiene(span_rows: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     })
 
 
+def numbered(rows: DataFrame, group: str, order: list[str], name: str = "place") -> DataFrame:
+    """Adds the row number, from 0, in its group. Rows are dealt by ranges and numbered where they are; a group that
+    reaches over several parts goes on from the count of the parts before."""
+    dealt = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    fixed = materialize(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    parts = fixed.groupBy(group, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = materialize(parts.select(F.col(group).alias("_group"), F.col("_part").alias("_p"), "_first", before.alias("_before")))
+    joined = fixed.join(parts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_p")))
+    return joined.withColumn(name, F.col("_at") - F.col("_first") + F.col("_before")).drop("_part", "_at", "_group", "_p", "_first", "_before")
+
+
 def unique_tags(bases: list[str]) -> list[str]:
     """The tags in order, made unique by 2, 3, ... at the end. Over a list of sources, not rows."""
     used: dict[str, None] = {}

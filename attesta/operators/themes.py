@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..config import DEFAULT, Settings
 from ..functions import text as T
-from .index import document_frequency, term_counts, with_idf
+from ..tables import materialize
+from .index import with_idf
 
 
 def token_set(phrase: Column) -> Column:
@@ -43,20 +44,41 @@ def is_weak(phrase: Column) -> Column:
     return T.is_blacklisted_theme(phrase) | (F.size(own) == 0) | F.coalesce(broad, F.lit(False))
 
 
+def frequent_phrases(chunks: DataFrame, key: str, cfg: Settings = DEFAULT) -> DataFrame:
+    """key, term, tf of the ``theme_vocabulary`` most frequent 1- to 3-grams (ties by name) in each text; written.
+
+    A phrase is no more frequent than any of its words. So the words' counts come first, and only phrases of
+    words as frequent as the last of the most frequent words are built: exact, and few rows.
+    """
+    # Keys may repeat: a row is told apart by a number of its own, fixed by writing
+    toks = materialize(chunks.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), T.tokens(F.col("text"), cfg).alias("toks")))
+    words = materialize(toks.select(F.explode("toks").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    floor = words.orderBy(F.desc("n"), "term").limit(cfg.theme_vocabulary).agg(F.when(F.count(F.lit(1)) == cfg.theme_vocabulary, F.min("n")).otherwise(F.lit(1)).alias("floor"))
+    able = materialize(words.crossJoin(F.broadcast(floor)).filter("n >= floor").select("term"))
+    placed = toks.select("_row", "_key", F.posexplode("toks").alias("at", "term")).join(able, "term", "left_semi")
+    w = Window.partitionBy("_row").orderBy("at")
+    back = lambda n: F.when(F.lag("at", n).over(w) == F.col("at") - n, F.lag("term", n).over(w))
+    near = placed.select("_row", "_key", "term", back(1).alias("one"), back(2).alias("two"))
+    grams = F.array("term", F.when(F.col("one").isNotNull(), F.concat_ws(" ", "one", "term")), F.when(F.col("one").isNotNull() & F.col("two").isNotNull(), F.concat_ws(" ", "two", "one", "term")))
+    each = near.select("_row", "_key", F.explode(grams).alias("term")).filter("term is not null")
+    counts = materialize(each.groupBy("_row", "_key", "term").agg(F.count(F.lit(1)).alias("tf")))
+    top = counts.groupBy("term").agg(F.sum("tf").alias("n")).orderBy(F.desc("n"), "term").limit(cfg.theme_vocabulary).select("term")
+    return materialize(counts.join(F.broadcast(top), "term", "left_semi").select("_row", F.col("_key").alias(key), "term", "tf"))
+
+
 def phrase_scores(chunks: DataFrame, key: str = "chunk_id", cfg: Settings = DEFAULT) -> DataFrame:
-    """term, score, n_words: for the most frequent 1- to 3-grams (ties by name), the sum over chunks of the
-    normalised TF-IDF weight, boosted by length. Weights are normalised within this vocabulary."""
+    """term, score, n_words: for the most frequent 1- to 3-grams, the sum over chunks of the normalised
+    TF-IDF weight, boosted by length. Weights are normalised within this vocabulary; the result is written."""
     rows = chunks.filter(F.coalesce("text", F.lit("")) != "")
-    counts = term_counts(rows, key, longest=3, cfg=cfg)
-    top = counts.groupBy("term").agg(F.sum("tf").alias("n")).orderBy(F.desc("n"), "term").limit(cfg.theme_vocabulary).select("term")
-    kept = counts.join(F.broadcast(top), "term", "left_semi")
-    terms = with_idf(document_frequency(kept), rows.agg(F.count(F.lit(1)).alias("n")))
-    weights = kept.join(F.broadcast(terms), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
-    sums = weights.join(norms, key).groupBy("term").agg(F.sum(F.col("w") / F.col("nrm")).alias("s"))
+    kept = frequent_phrases(rows, key, cfg)
+    frequency = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = with_idf(frequency, rows.agg(F.count(F.lit(1)).alias("n")))
+    weights = kept.join(F.broadcast(terms), "term").select("_row", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = weights.groupBy("_row").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
+    sums = weights.join(norms, "_row").groupBy("term").agg(F.sum(F.col("w") / F.col("nrm")).alias("s"))
     n_words = F.size(F.split("term", " "))
     boost = F.when(n_words == 1, cfg.boost_one).when(n_words == 2, cfg.boost_two).otherwise(cfg.boost_three)
-    return sums.select("term", n_words.alias("n_words"), (F.col("s") * boost).alias("score"))
+    return materialize(sums.select("term", n_words.alias("n_words"), (F.col("s") * boost).alias("score")))
 
 
 def ranked(scores: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import lexicon as L
 from ..config import DEFAULT, Settings
 from ..functions import text as T
+from ..tables import materialize
 from .index import r4
 
 
@@ -191,7 +192,8 @@ def audit(decided: DataFrame, reviewed: DataFrame, cfg: Settings = DEFAULT) -> D
 
 def findings(themes: DataFrame, candidates: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """One nested finding per theme: status, confidence, evidence, reason, audit_trail."""
-    reviewed = review(score(select(candidates), cfg))
+    # A few rows a theme, written once: deciding, the audit and the evidence all read them
+    reviewed = materialize(review(score(select(candidates), cfg)))
     decided = audit(decide(themes, candidates, reviewed, cfg), reviewed, cfg)
     kind = F.struct(F.col("evidence_type").alias("label"), T.evidence_emoji(F.col("evidence_type")).alias("emoji"))
     breakdown = F.struct(F.col("semantic_similarity").alias("semantic"), "lexical", F.col("retrieval_rank_score").alias("rank"))

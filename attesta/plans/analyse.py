@@ -17,7 +17,7 @@ MODE = "MOCK (fully deterministic)"
 
 def analyse(spans: DataFrame, theme_rows: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Findings of all themes (theme_id, theme) over spans, in one job. Hygiene columns that spans have are used."""
-    index = I.build_index(spans, theme_rows, cfg)
+    index = I.index_for(spans, theme_rows, cfg)
     return verify.findings(theme_rows, I.retrieve(index, theme_rows, cfg=cfg), cfg)
 
 

@@ -19,6 +19,7 @@ from .operators import index as I
 from .operators import segment, themes, verify
 from .plans import analyse as A
 from .sources import readers, sinks
+from .tables import materialize, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,7 +50,7 @@ DOC_THEMES = ((0, "Thing Ering"), (1, "Ation Oning Heron"), (2, "Zebra Quantum")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _templated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,13 +62,14 @@ def _templated(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text")
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _english(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "text"))
-    return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("sent_no"), (F.col("doc_id") * 100_000 + F.col("i") + 1).alias("span_seq"), "text")
+    rows = _documents(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "text"))
+    rows = rows.select("doc_id", (F.col("i") + 1).cast("long").alias("sent_no"), "text")
+    return rows.withColumn("span_seq", F.struct("doc_id", "sent_no"))
 
 
 def _theme_table(spark: SparkSession, rows=THEMES) -> DataFrame:
@@ -82,7 +84,7 @@ def _template_candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, D
 
 def _reviewed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     table, found = _template_candidates(spark, sf_dir)
-    return table, found, verify.review(verify.score(verify.select(found)))
+    return table, found, materialize(verify.review(verify.score(verify.select(found))))
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -168,9 +170,16 @@ def _metadata(x: str) -> str:
     )
 
 
+def _unicode(pattern: str) -> str:
+    """A pattern between two word boundaries, for letters of any language: DuckDB's own classes are ASCII."""
+    word = r"\p{L}\p{M}\p{N}_"
+    return f"(?:^|[^{word}]){pattern.removeprefix(chr(92) + 'b').removesuffix(chr(92) + 'b')}(?:$|[^{word}])".replace(r"\w", f"[{word}]")
+
+
 def _low(x: str) -> str:
     t = _trim(x)
-    verb = f"{_has(f'lower({t})', L.AUXILIARY)} OR {_has(f'lower({t})', L.INFLECTED)} OR ({_has(f'lower({t})', L.PLURAL_OR_VERB)} AND {_has(f'lower({t})', L.PRESENT)})"
+    has = lambda p: _has(f"lower({t})", _unicode(p))
+    verb = f"{has(L.AUXILIARY)} OR {has(L.INFLECTED)} OR ({has(L.PLURAL_OR_VERB)} AND {has(L.PRESENT)})"
     return f"({x} = '' OR {_n(t)} < {DEFAULT.min_span_words} OR {_has(t, L.NUMBER_FRAGMENT)} OR NOT ({verb}))"
 
 
@@ -234,9 +243,9 @@ def _gram_sql(toks: str, longest: int) -> str:
 
 
 TEMPLATED_SQL = f"""t AS (SELECT o_orderkey AS k, {TEMPLATE} AS text, 'report_' || (o_orderkey % 3) || '.txt' AS source_document, o_orderkey % 40 + 1 AS page_number FROM orders)"""
-SENTENCES_SQL = f"""s0 AS (SELECT doc_id, {_sents('text')} AS a FROM documents WHERE lang = 'en'),
+SENTENCES_SQL = f"""s0 AS (SELECT doc_id, {_sents('text')} AS a FROM documents),
 s AS (SELECT doc_id, unnest(a) AS text, unnest(range(1, len(a) + 1)) AS sent_no FROM s0),
-sp AS (SELECT doc_id, sent_no, doc_id * 100000 + sent_no AS span_seq, text FROM s)"""
+sp AS (SELECT doc_id, sent_no, {{'doc_id': doc_id, 'sent_no': sent_no}} AS span_seq, text FROM s)"""
 
 
 def _clean_ctes(src: str, key: str, text: str = "text") -> str:
@@ -333,51 +342,64 @@ def q02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _templated(spark, sf_dir).select("k", T.split_glued(F.col("text")).alias("text"))
 
 
-_SHORT = "lang = 'en' AND length(text) <= 2000"
-
-
-@_query(
-    "q03_chunk_pack",
-    f"""WITH RECURSIVE p0 AS (SELECT doc_id, string_split_regex(text, '\\n\\s*\\n+') AS ps FROM documents WHERE {_SHORT}),
-p1 AS (SELECT doc_id, unnest(list_filter(list_transform(ps, lambda p: {_trim(_sub('p', chr(92) + 's+', ' '))}), lambda p: p <> '')) AS p, unnest(range(1, len(list_filter(list_transform(ps, lambda p: {_trim(_sub('p', chr(92) + 's+', ' '))}), lambda p: p <> '')) + 1)) AS pn FROM p0),
-p2 AS (SELECT doc_id, pn, {_sents('p')} AS a FROM p1),
-p3 AS (SELECT doc_id, pn, unnest(a) AS s, unnest(range(1, len(a) + 1)) AS sn, len(a) AS m FROM p2),
-p4 AS (SELECT doc_id, s, sn = m AS last, row_number() OVER (PARTITION BY doc_id ORDER BY pn, sn) AS i, count(*) OVER (PARTITION BY doc_id) AS total FROM p3),
-f AS (SELECT doc_id, 0::BIGINT AS i, '' AS cur, CAST([] AS VARCHAR[]) AS done FROM (SELECT DISTINCT doc_id FROM p4)
- UNION ALL SELECT doc_id, ni, CASE WHEN last AND length(nxt) >= 200 THEN '' ELSE nxt END, CASE WHEN last AND length(nxt) >= 200 THEN list_append(d2, nxt) ELSE d2 END
- FROM (SELECT f.doc_id, p4.i AS ni, p4.last, CASE WHEN cur = '' OR length(cur) + length(s) + 1 > 800 THEN s ELSE cur || ' ' || s END AS nxt, CASE WHEN cur <> '' AND length(cur) + length(s) + 1 > 800 THEN list_append(done, cur) ELSE done END AS d2
-  FROM f JOIN p4 ON p4.doc_id = f.doc_id AND p4.i = f.i + 1)),
-e AS (SELECT f.doc_id, CASE WHEN cur <> '' THEN list_append(done, cur) ELSE done END AS a FROM f JOIN (SELECT doc_id, max(total) AS total FROM p4 GROUP BY 1) x ON x.doc_id = f.doc_id AND f.i = x.total)
-SELECT doc_id, unnest(range(1, len(a) + 1)) AS chunk_no, unnest(a) AS text FROM e""",
-)
+def _page_ctes(src: str, key: str) -> str:
+    """CTE ``pages`` (key, page_number, text): paragraphs folded to pages. Free of form feeds."""
+    return f"""g0 AS (SELECT {key}, text AS whole, string_split_regex(text, '\\n\\s*\\n') AS ps FROM {src} WHERE text IS NOT NULL),
+g1 AS (SELECT {key}, whole, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i, len(ps) AS total FROM g0),
+g AS (SELECT {key}, 0::BIGINT AS i, '' AS cur, CAST([] AS VARCHAR[]) AS done FROM g0
+ UNION ALL SELECT g.{key}, g1.i, CASE WHEN length(cur) + length(p) + 2 <= {DEFAULT.page_chars} THEN {_trim("cur || chr(10) || chr(10) || p")} ELSE p END,
+ CASE WHEN length(cur) + length(p) + 2 > {DEFAULT.page_chars} AND cur <> '' THEN list_append(done, cur) ELSE done END FROM g JOIN g1 ON g1.{key} = g.{key} AND g1.i = g.i + 1),
+g2 AS (SELECT g.{key}, whole, CASE WHEN cur <> '' THEN list_append(done, cur) ELSE done END AS a FROM g JOIN (SELECT {key}, whole, len(ps) AS total FROM g0) x ON x.{key} = g.{key} AND g.i = x.total),
+g3 AS (SELECT {key}, CASE WHEN len(a) = 0 THEN [whole] ELSE a END AS a FROM g2),
+pages AS (SELECT {key}, unnest(range(1, len(a) + 1)) AS page_number, unnest(a) AS text FROM g3)"""
+
+
+def _pack_ctes(src: str, key: str) -> str:
+    """CTE ``packed`` (key, n, text): sentences of the texts of a table folded to chunks."""
+    parts = f"list_filter(list_transform(ps, lambda p: {_trim(_sub('p', chr(92) + 's+', ' '))}), lambda p: p <> '')"
+    most, flush = DEFAULT.chunk_chars, DEFAULT.chunk_flush
+    return f"""p0 AS (SELECT {key}, string_split_regex(text, '\\n\\s*\\n+') AS ps FROM {src}),
+p1 AS (SELECT {key}, unnest({parts}) AS p, unnest(range(1, len({parts}) + 1)) AS pn FROM p0),
+p2 AS (SELECT {key}, pn, {_sents('p')} AS a FROM p1),
+p3 AS (SELECT {key}, pn, unnest(a) AS s, unnest(range(1, len(a) + 1)) AS sn, len(a) AS m FROM p2),
+p4 AS (SELECT {key}, s, sn = m AS last, row_number() OVER (PARTITION BY {key} ORDER BY pn, sn) AS i, count(*) OVER (PARTITION BY {key}) AS total FROM p3),
+f AS (SELECT {key}, 0::BIGINT AS i, '' AS cur, CAST([] AS VARCHAR[]) AS done FROM (SELECT DISTINCT {key} FROM p4)
+ UNION ALL SELECT {key}, ni, CASE WHEN last AND length(nxt) >= {flush} THEN '' ELSE nxt END, CASE WHEN last AND length(nxt) >= {flush} THEN list_append(d2, nxt) ELSE d2 END
+ FROM (SELECT f.{key}, p4.i AS ni, p4.last, CASE WHEN cur = '' OR length(cur) + length(s) + 1 > {most} THEN s ELSE cur || ' ' || s END AS nxt, CASE WHEN cur <> '' AND length(cur) + length(s) + 1 > {most} THEN list_append(done, cur) ELSE done END AS d2
+  FROM f JOIN p4 ON p4.{key} = f.{key} AND p4.i = f.i + 1)),
+e AS (SELECT f.{key}, CASE WHEN cur <> '' THEN list_append(done, cur) ELSE done END AS a FROM f JOIN (SELECT {key}, max(total) AS total FROM p4 GROUP BY 1) x ON x.{key} = f.{key} AND f.i = x.total),
+packed AS (SELECT {key}, unnest(range(1, len(a) + 1)) AS n, unnest(a) AS text FROM e)"""
+
+
+@_query("q03_chunk_pack", f"WITH RECURSIVE {_pack_ctes('documents', 'doc_id')} SELECT doc_id, n AS chunk_no, text FROM packed")
 def q03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").filter(_SHORT)
     packed = F.get(chunk_texts(F.array("text")), 0)
-    return rows.select("doc_id", F.posexplode(packed).alias("i", "text")).select("doc_id", (F.col("i") + 1).cast("long").alias("chunk_no"), "text")
+    return _documents(spark, sf_dir).select("doc_id", F.posexplode(packed).alias("i", "text")).select("doc_id", (F.col("i") + 1).cast("long").alias("chunk_no"), "text")
 
 
-_GARBAGE_SQL = " + ".join(f"CAST(contains(lower(text), {_q(m)}) AS INTEGER)" for m in L.PDF_INTERNALS)
+_GARBAGE_HITS = " + ".join(f"CAST(contains(lower(text), {_q(m)}) AS INTEGER)" for m in L.PDF_INTERNALS)
 
 
-@_query(
-    "q04_garbage",
-    f"""SELECT doc_id, length(text) < 10 OR ({_GARBAGE_SQL}) >= 2 OR length(regexp_replace(text, '[^\\p{{L}}\\s]', '', 'g')) < 0.55 * length(text) OR length(text) - length(replace(text, chr(65533), '')) >= 3 AS garbage FROM documents""",
-)
+_GARBAGE = f"(length(text) < 10 OR ({_GARBAGE_HITS}) >= 2 OR length(regexp_replace(text, '[^\\p{{L}}\\s]', '', 'g')) < 0.55 * length(text) OR length(text) - length(replace(text, chr(65533), '')) >= 3)"
+
+
+@_query("q04_garbage", f"SELECT doc_id, {_GARBAGE} AS garbage FROM documents")
 def q04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", T.is_garbage(F.col("text")).alias("garbage"))
 
 
-@_query("q05_page_split")
+@_query("q05_page_split", f"""WITH RECURSIVE t AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id), {_page_ctes('t', 'conv_id')}
+SELECT conv_id, page_number, text FROM pages""")
 def q05(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("a"))
     joined = talks.select("conv_id", F.array_join(F.transform("a", lambda x: x["text"]), "\n\n").alias("text"))
-    return joined.select("conv_id", F.posexplode(pages_by_size(F.col("text"))).alias("i", "text")).select("conv_id", (F.col("i") + 1).alias("page_number"), "text")
+    return joined.select("conv_id", F.posexplode(pages_by_size(F.col("text"))).alias("i", "text")).select("conv_id", (F.col("i") + 1).cast("long").alias("page_number"), "text")
 
 
-@_query(
-    "q06_safe_tag",
-    """SELECT page_id, coalesce(nullif(left(regexp_replace(lower(regexp_replace(string_split(regexp_replace(url, 'https?://', ''), '/')[-1], '([^.])[.][^.]*$', '\\1')), '[^a-z0-9]+', '', 'g'), 8), ''), 'doc') AS tag FROM pages""",
-)
+_TAG = """coalesce(nullif(left(regexp_replace(lower(regexp_replace(string_split(regexp_replace(url, 'https?://', ''), '/')[-1], '([^.])[.][^.]*$', '\\1')), '[^a-z0-9]+', '', 'g'), 8), ''), 'doc')"""
+
+
+@_query("q06_safe_tag", f"SELECT page_id, {_TAG} AS tag FROM pages")
 def q06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", T.safe_tag(F.regexp_replace("url", "https?://", "")).alias("tag"))
 
@@ -402,10 +424,11 @@ def _on_both(name: str, sql: str, column: Callable[[Column], Column]) -> None:
     """Over the sentences of documents and the templated ones."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _sentences(spark, sf_dir).select(F.col("span_seq").alias("k"), "text").unionByName(_templated(spark, sf_dir).select("k", "text"))
-        return rows.select("k", column(F.col("text")).alias("value"))
+        made = _templated(spark, sf_dir).select(F.col("k").alias("doc_id"), F.lit(-1).cast("long").alias("sent_no"), "text")
+        rows = _sentences(spark, sf_dir).select("doc_id", "sent_no", "text").unionByName(made)
+        return rows.select("doc_id", "sent_no", column(F.col("text")).alias("value"))
 
-    _query(name, f"WITH {SENTENCES_SQL}, {TEMPLATED_SQL}, u AS (SELECT span_seq AS k, text FROM sp UNION ALL SELECT k, text FROM t) SELECT k, {sql} AS value FROM u")(run)
+    _query(name, f"WITH {SENTENCES_SQL}, {TEMPLATED_SQL}, u AS (SELECT doc_id, sent_no, text FROM sp UNION ALL SELECT k, -1, text FROM t) SELECT doc_id, sent_no, {sql} AS value FROM u")(run)
 
 
 _on_both("q12_low_quality", _low("text"), T.is_low_quality)
@@ -444,41 +467,37 @@ def q16(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DOC_INDEX = f"WITH {SENTENCES_SQL}, {_index_ctes('sp', 'span_seq', DOC_THEMES)}"
 
 
-def _doc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.term_counts(_sentences(spark, sf_dir), "span_seq")
-
-
-@_query("q17_tokens", f"WITH {SENTENCES_SQL} SELECT span_seq, array_to_string({_toks('text')}, ' ') AS tokens FROM sp")
+@_query("q17_tokens", f"WITH {SENTENCES_SQL} SELECT doc_id, sent_no, array_to_string({_toks('text')}, ' ') AS tokens FROM sp")
 def q17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sentences(spark, sf_dir).select("span_seq", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
+    return _sentences(spark, sf_dir).select("doc_id", "sent_no", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
 
 
-@_query("q18_term_frequency", f"{_DOC_INDEX} SELECT span_seq, term, tf FROM tf")
+@_query("q18_term_frequency", f"{_DOC_INDEX} SELECT span_seq.doc_id AS doc_id, span_seq.sent_no AS sent_no, term, tf FROM tf")
 def q18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doc_counts(spark, sf_dir)
+    return I.term_counts(_sentences(spark, sf_dir), "span_seq").select("span_seq.doc_id", "span_seq.sent_no", "term", "tf")
 
 
 @_query("q19_idf", f"{_DOC_INDEX} SELECT term, df, {_r4('idf')} AS idf FROM idf")
 def q19(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sentences(spark, sf_dir)
-    terms = I.with_idf(I.document_frequency(I.term_counts(rows, "span_seq")), rows.agg(F.count(F.lit(1)).alias("n")))
+    terms = I.with_idf(I.document_frequency(rows), rows.agg(F.count(F.lit(1)).alias("n")))
     return terms.select("term", "df", I.r4(F.col("idf")).alias("idf"))
 
 
-@_query("q20_norm", f"{_DOC_INDEX} SELECT span_seq, {_r4('nrm')} AS nrm FROM nrm")
+@_query("q20_norm", f"{_DOC_INDEX} SELECT span_seq.doc_id AS doc_id, span_seq.sent_no AS sent_no, {_r4('nrm')} AS nrm FROM nrm")
 def q20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.build_index(_sentences(spark, sf_dir)).norms.select("span_seq", I.r4(F.col("nrm")).alias("nrm"))
+    return I.build_index(_sentences(spark, sf_dir)).norms.select("span_seq.doc_id", "span_seq.sent_no", I.r4(F.col("nrm")).alias("nrm"))
 
 
 @_query(
     "q21_cosine_topk",
-    f"""{_DOC_INDEX}, {_clean_ctes('sp', 'span_seq')}, {_retrieval_ctes('sp', 'span_seq')} SELECT theme_id, theme, retrieval_rank, span_seq, text, semantic_similarity, retrieval_rank_score FROM cands""",
+    f"""{_DOC_INDEX}, {_clean_ctes('sp', 'span_seq')}, {_retrieval_ctes('sp', 'span_seq')} SELECT theme_id, theme, retrieval_rank, span_seq.doc_id AS doc_id, span_seq.sent_no AS sent_no, text, semantic_similarity, retrieval_rank_score FROM cands""",
 )
 def q21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sentences(spark, sf_dir).withColumns({"source_document": F.lit("d.txt"), "span_id": F.col("span_seq").cast("string"), "chunk_id": F.lit("d"), "page_number": F.lit(1)})
+    rows = materialize(_sentences(spark, sf_dir)).withColumns({"source_document": F.lit("d.txt"), "span_id": F.concat_ws("_", "doc_id", "sent_no"), "chunk_id": F.lit("d"), "page_number": F.lit(1)})
     table = _theme_table(spark, DOC_THEMES)
     found = I.retrieve(I.build_index(rows, table), table)
-    return found.select("theme_id", "theme", F.col("retrieval_rank").cast("long").alias("retrieval_rank"), "span_seq", "text", "semantic_similarity", "retrieval_rank_score")
+    return found.select("theme_id", "theme", F.col("retrieval_rank").cast("long").alias("retrieval_rank"), "span_seq.doc_id", "span_seq.sent_no", "text", "semantic_similarity", "retrieval_rank_score")
 
 
 # --- verification -----------------------------------------------------------------------------------
@@ -595,7 +614,7 @@ def q34(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- themes -----------------------------------------------------------------------------------------
 
-_PHRASE_CTES = f"""WITH t AS (SELECT doc_id AS k, text FROM documents WHERE lang = 'en' AND text <> ''),
+_PHRASE_CTES = f"""WITH t AS (SELECT doc_id AS k, text FROM documents WHERE text <> ''),
 tk AS (SELECT k, {_toks('text')} AS a FROM t),
 tf0 AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest({_gram_sql('a', 3)}) AS term FROM tk) GROUP BY ALL),
 top AS (SELECT term FROM (SELECT term, sum(tf) AS n FROM tf0 GROUP BY term) ORDER BY n DESC, term LIMIT {DEFAULT.theme_vocabulary}),
@@ -613,7 +632,7 @@ best AS (SELECT * FROM strong a WHERE NOT EXISTS (SELECT 1 FROM strong b WHERE b
 
 
 def _phrase_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return themes.ranked(themes.phrase_scores(_english(spark, sf_dir), "doc_id"))
+    return themes.ranked(themes.phrase_scores(_documents(spark, sf_dir), "doc_id"))
 
 
 @_query("q35_theme_terms", f"{_PHRASE_CTES} SELECT rank, term, n_words, {_r4('score')} AS score FROM ranks")
@@ -640,15 +659,15 @@ def _stem(w: str) -> str:
     return f"CASE {cases} ELSE {w} END"
 
 
-@_query("q38_stem", f"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en') SELECT word, {_stem('word')} AS stem FROM w")
+@_query("q38_stem", f"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) SELECT word, {_stem('word')} AS stem FROM w")
 def q38(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _english(spark, sf_dir).select(F.explode(T.words(F.lower("text"), "[a-z]+")).alias("word")).distinct()
+    rows = _documents(spark, sf_dir).select(F.explode(T.words(F.lower("text"), "[a-z]+")).alias("word")).distinct()
     return rows.select("word", themes.stem(F.col("word")).alias("stem"))
 
 
 @_query("q39_theme_discovery")
 def q39(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return themes.discover_themes(_english(spark, sf_dir), "doc_id")
+    return themes.discover_themes(_documents(spark, sf_dir), "doc_id")
 
 
 # --- sources and sinks ------------------------------------------------------------------------------
@@ -680,9 +699,11 @@ def q41(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("q42_docx_paging", "WITH r AS (SELECT conv_id % 10 AS g, text, row_number() OVER (PARTITION BY conv_id % 10 ORDER BY conv_id, turn) - 1 AS i FROM conversations) SELECT g, i // 12 + 1 AS page_number, string_agg(text, chr(10) || chr(10) ORDER BY i) AS text FROM r GROUP BY 1, 2")
 def q42(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "conversations").groupBy((F.col("conv_id") % 10).alias("g")).agg(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "text"))).alias("a"))
-    pages = readers.paragraph_pages(F.transform("a", lambda x: x["text"]), DEFAULT.docx_paragraphs)
-    return rows.select("g", F.posexplode(pages).alias("i", "text")).select("g", (F.col("i") + 1).cast("long").alias("page_number"), "text")
+    rows = _table(spark, sf_dir, "conversations").select((F.col("conv_id") % 10).alias("g"), "conv_id", "turn", "text")
+    placed = segment.numbered(rows, "g", ["conv_id", "turn"])
+    page = F.floor(F.col("place") / DEFAULT.docx_paragraphs)
+    pages = placed.groupBy("g", page.alias("p")).agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("a"))
+    return pages.select("g", (F.col("p") + 1).alias("page_number"), F.array_join(F.transform("a", lambda x: x["text"]), "\n\n").alias("text"))
 
 
 _FLAT = lambda x: _trim(_sub(x, r"\s+", " "))
@@ -691,20 +712,32 @@ _QUOTE = "CASE doc_id % 4 WHEN 0 THEN substr(text, 40, 60) WHEN 1 THEN concat(su
 
 @_query(
     "q43_quote_locate",
-    f"""WITH d AS (SELECT doc_id, lower({_FLAT('text')}) AS page, string_split({_FLAT(_QUOTE)}, ' ') AS w FROM documents WHERE length(text) > 200 AND lang = 'en'),
-p AS (SELECT doc_id, page, [array_to_string(w, ' '), CASE WHEN len(w) > 6 THEN array_to_string(w[1:8], ' ') END, CASE WHEN len(w) > 10 THEN array_to_string(w[4:11], ' ') END, CASE WHEN len(w) >= 4 THEN array_to_string(w[1:4], ' ') END] AS ps FROM d),
+    f"""WITH d AS (SELECT doc_id, lower({_FLAT('text')}) AS page, list_filter(string_split({_FLAT(_QUOTE)}, ' '), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, page, [nullif(array_to_string(w, ' '), ''), CASE WHEN len(w) > 6 THEN array_to_string(w[1:8], ' ') END, CASE WHEN len(w) > 10 THEN array_to_string(w[4:11], ' ') END, CASE WHEN len(w) >= 4 THEN array_to_string(w[1:4], ' ') END] AS ps FROM d),
 h AS (SELECT doc_id, list_transform(ps, lambda q: nullif(strpos(page, lower(q)), 0)) AS f FROM p)
 SELECT doc_id, CASE WHEN f[1] IS NOT NULL THEN 1 WHEN f[2] IS NOT NULL THEN 2 WHEN f[3] IS NOT NULL THEN 3 WHEN f[4] IS NOT NULL THEN 4 END AS strategy, CAST(coalesce(f[1], f[2], f[3], f[4]) AS INTEGER) AS place FROM h""",
 )
 def q43(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _english(spark, sf_dir).filter("length(text) > 200").withColumn("quote", F.expr(_QUOTE))
+    rows = _documents(spark, sf_dir).withColumn("quote", F.expr(_QUOTE))
     return rows.select("doc_id", T.locate_quote(F.col("text"), F.col("quote")).alias("f")).select("doc_id", "f.strategy", F.col("f.offset").alias("place"))
 
 
-@_query("q44_json_export")
+_REPORT_CTES = f"{_AUDIT_CTES}, told AS (SELECT *, {_REASON} AS reason FROM trail)"
+
+
+@_query(
+    "q44_json_export",
+    f"""{_REPORT_CTES} SELECT theme_id, theme, status, band, percent, reason, (SELECT count(*) FROM ok WHERE ok.theme_id = t.theme_id) AS n_evidence, (SELECT count(*) FROM stages s WHERE s.theme_id = t.theme_id) AS n_stages,
+ coalesce((SELECT arg_min(text, retrieval_rank) FROM ok WHERE ok.theme_id = t.theme_id), '') AS first_quote FROM told t""",
+)
 def q44(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, found = _template_candidates(spark, sf_dir)
-    return sinks.to_json_rows(verify.findings(table, found))
+    rows = sinks.to_json_rows(verify.findings(table, found))
+    at = lambda path: F.get_json_object("json", f"$.{path}")
+    return rows.select(
+        "theme_id", at("theme").alias("theme"), at("status").alias("status"), at("confidence.band").alias("band"), at("confidence.percent").cast("int").alias("percent"), at("reason").alias("reason"),
+        F.json_array_length(at("evidence")).cast("long").alias("n_evidence"), F.json_array_length(at("audit_trail")).cast("long").alias("n_stages"), F.coalesce(at("evidence[0].span_text"), F.lit("")).alias("first_quote"),
+    )
 
 
 @_query("q45_status_partition", f"{_VERIFY_CTES} SELECT theme_id, status, status IN ('VERIFIED', 'PARTIALLY SUPPORTED', 'WEAK EVIDENCE', 'CONFLICTING EVIDENCE') AS supported FROM decided")
@@ -726,19 +759,33 @@ def q47(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("q48_document_chunks")
 def q48(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _english(spark, sf_dir).withColumn("name", F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")))
-    return segment.spans(segment.chunks(readers.from_texts(docs, "doc_id", "name", "text"))).select("span_seq", "span_id", "page_number", "text")
+    docs = _documents(spark, sf_dir).withColumn("name", F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")))
+    rows = segment.spans(segment.chunks(readers.from_texts(docs, "doc_id", "name", "text")))
+    return rows.select(F.col("source_ord").alias("doc_id"), "chunk_no", "span_no", "span_id", "page_number", "text")
 
 
-@_query("q49_web_chunks")
+@_query(
+    "q49_web_chunks",
+    f"""WITH RECURSIVE h AS (SELECT page_id, {_html_sql('html')} AS text FROM pages), {_pack_ctes('h', 'page_id')},
+k AS (SELECT page_id, text, row_number() OVER (PARTITION BY page_id ORDER BY n) AS i FROM packed WHERE NOT {_GARBAGE})
+SELECT url AS source_document, printf('%s_c%04d', {_TAG}, i) AS chunk_id, text FROM k JOIN pages USING (page_id)""",
+)
 def q49(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.chunks(readers.from_html(_table(spark, sf_dir, "pages"))).select("source_document", "chunk_id", "text")
 
 
-@_query("q50_report_paragraphs")
+@_query(
+    "q50_report_paragraphs",
+    f"""{_REPORT_CTES}, para AS (
+ SELECT theme_id, 0 AS part, unnest([1, 2, 3, 4]) AS i, unnest(['Heading1', '', '', '']) AS style, unnest([theme, 'Status: ' || status, 'Confidence: ' || band || ' (' || percent || '%)' || coalesce(' · ' || partial_strength, ''), 'Reason: ' || reason]) AS text FROM told
+ UNION ALL SELECT theme_id, 1, retrieval_rank, 'IntenseQuote', '[' || evidence_type || '] "' || text || '"  (' || source_document || ' Page ' || page_number || ')' FROM ok
+ UNION ALL SELECT theme_id, 2, 0, 'Heading3', 'Audit trail:' FROM told
+ UNION ALL SELECT theme_id, 3, place, 'ListBullet', '[' || upper(outcome) || '] ' || stage || ' — ' || detail FROM stages)
+SELECT theme_id, row_number() OVER (PARTITION BY theme_id ORDER BY part, i) - 1 AS place, style, text FROM para""",
+)
 def q50(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, found = _template_candidates(spark, sf_dir)
-    return sinks.report_paragraphs(verify.findings(table, found))
+    return sinks.report_paragraphs(verify.findings(table, found)).withColumn("place", F.col("place").cast("long"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

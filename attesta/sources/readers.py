@@ -20,6 +20,7 @@ from ..config import DEFAULT, Settings
 from ..functions import text as T
 from ..functions.folds import pages_by_size
 from ..operators import segment
+from ..shipping import ship
 from . import office
 
 TEXT, TABLE, SHEET = (".txt", ".md", ".text"), (".csv", ".tsv"), (".xlsx", ".xls")
@@ -170,6 +171,7 @@ def reader_of(source: str, cfg: Settings = DEFAULT):
 
 def load_sources(spark: SparkSession, sources: list[str], cfg: Settings = DEFAULT) -> Loaded:
     """All sources pooled, in order, with unique tags."""
+    ship(spark)
     bases = [tag_of(re.sub("https?://", "", s)) for s in sources]
     tags = segment.unique_tags(bases) if len(sources) > 1 else bases
     names = [s if s.lower().startswith(("http://", "https://")) else s.rsplit("/", 1)[-1] for s in sources]
@@ -182,7 +184,7 @@ def load_index(spark: SparkSession, path: str) -> DataFrame:
     """Spans of a chunk-and-span index file in JSON."""
     doc = spark.read.json(path, multiLine=True).select(F.posexplode("chunks").alias("c", "chunk"))
     each = doc.select("c", "chunk", F.posexplode("chunk.spans").alias("s", "span"))
-    seq = F.shiftleft(F.col("c").cast("long"), 12) + F.col("s")
+    seq = F.struct(F.lit(0).cast("long").alias("source_ord"), F.col("c").cast("long").alias("chunk_no"), F.col("s").cast("long").alias("span_no"))
     return each.select(seq.alias("span_seq"), "span.span_id", "span.text", "chunk.chunk_id", F.col("chunk.page_number").cast("int").alias("page_number"), "chunk.source_document")
 
 

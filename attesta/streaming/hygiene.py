@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import DEFAULT, Settings
 from ..operators import index as I
 from ..operators import segment
+from ..tables import mark, release
 
 
 def clean_stream(spans: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
@@ -31,6 +32,7 @@ def find_in_stream(spans: DataFrame, terms_path: str, themes: list[tuple[int, st
 
     def batch(df: DataFrame, epoch: int) -> None:
         spark: SparkSession = df.sparkSession
+        staged = mark()
         table = spark.createDataFrame(themes, "theme_id int, theme string")
         terms = spark.read.parquet(terms_path)
         rows = segment.with_hygiene(df, cfg)
@@ -38,5 +40,6 @@ def find_in_stream(spans: DataFrame, terms_path: str, themes: list[tuple[int, st
         norms = postings.groupBy("span_seq").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
         found = I.retrieve(I.Index(rows, postings, terms, norms), table, cfg=cfg)
         found.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        release(spark, staged)
 
     return spans.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()

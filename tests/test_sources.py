@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from attesta.config import DEFAULT, Settings
 from attesta.operators import index as I
@@ -119,3 +120,37 @@ def test_metadata_free_evidence(spark, tmp_path):
 
     assert rows.filter("eligible").filter(T.has_reference(F.col("clean_text"))).count() == 0
     assert rows.filter("eligible").count() == 5
+
+
+def test_numbered(spark):
+    """Row numbers of groups that reach over several parts."""
+    rows = [(i % 3 if i % 7 else None, i * 37 % 1000, f"t{i}") for i in range(900)]
+    out = segment.numbered(spark.createDataFrame(rows, "g int, o int, t string"), "g", ["o", "t"]).collect()
+    assert len(out) == 900
+    for g in (0, 1, 2, None):
+        own = sorted((r["o"], r["t"]) for r in out if r["g"] == g)
+        assert [(r["o"], r["t"]) for r in sorted((r for r in out if r["g"] == g), key=lambda r: r["place"])] == own
+        assert sorted(r["place"] for r in out if r["g"] == g) == list(range(len(own)))
+
+
+def test_span_places_do_not_overflow(spark):
+    """Spans of a table of over 2 ** 20 rows keep places of their own, in order, also beside another source."""
+    big = spark.range(1, 2**20 + 3).select(F.lit(1).cast("long").alias("source_ord"), F.lit("a.csv").alias("source_document"), F.lit("a").alias("doc_tag"), F.col("id").alias("row_number"), F.lit("x").alias("v"))
+    other = big.limit(1).withColumns({"source_ord": F.lit(2).cast("long"), "row_number": F.lit(0).cast("long")})
+    spans = segment.tabular(big.unionByName(other), ["v"])[1]
+    assert spans.agg(F.count_distinct("span_seq")).first()[0] == 2**20 + 3
+    assert spans.agg(F.max("span_seq").alias("m")).first()["m"]["source_ord"] == 2
+
+
+def test_checkpoint_folder_on_a_cluster():
+    """Without a shared folder a cluster is refused; local Spark gets a temporary one."""
+    from types import SimpleNamespace as N
+
+    from attesta import tables
+
+    made = {}
+    fake = N(conf=N(get=lambda k, d=None: made.get(k, d), set=made.__setitem__), sparkContext=N(master="spark://h:1", getConf=lambda: N(get=lambda k: None)))
+    with pytest.raises(RuntimeError):
+        tables.shared_dir(fake)
+    fake.sparkContext.master = "local[2]"
+    assert tables.shared_dir(fake) == made["spark.checkpoint.dir"]

@@ -109,3 +109,47 @@ def test_lexicon_sizes():
     assert len(DEFAULT.stop_words) == 318
     assert not set(L.POSITIVE) & set(L.NEGATIVE)
     assert not DEFAULT.is_enabled("no such flag") and not DEFAULT.is_enabled("llm_scoring")
+
+
+def test_deep_look(spark, monkeypatch):
+    """Eligible spans below many better but ineligible ones are found, as if all spans had been cleaned."""
+    monkeypatch.setattr(I, "FIRST_LOOK", 2)
+    texts = ["Rent arrears"] * 9 + [f"Rent arrears rose by {n} percent in the whole of the year." for n in range(4)] + ["Bills were low this winter."]
+    spans = spark.createDataFrame([(i, t, f"s{i}", "c", 1, "a.txt") for i, t in enumerate(texts)], "span_seq long, text string, span_id string, chunk_id string, page_number int, source_document string")
+    themes = spark.createDataFrame([(0, "Rent Arrears"), (1, "Bills")], "theme_id int, theme string")
+    got = [(r["theme_id"], r["span_seq"]) for r in I.retrieve(I.build_index(spans, themes), themes, k=3).orderBy("theme_id", "retrieval_rank").collect()]
+    assert got == [(0, 9), (0, 10), (0, 11), (1, 13)]
+
+
+def test_tally(spark):
+    """Term counts of a row against a plain count."""
+    from collections import Counter
+
+    rows = ["a1 b1 a1 b1 a1", "", None, "c1 " * 500, "the of"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "k int, text string")
+    got = {(r["k"], r["term"]): r["tf"] for r in I.term_counts(df, "k").collect()}
+    want = {}
+    for i, t in enumerate(rows):
+        w = [x for x in (t or "").split() if x not in ("the", "of")]
+        want |= {(i, g): n for g, n in Counter(w + [" ".join(p) for p in zip(w, w[1:], strict=False)]).items()}
+    assert got == want
+
+
+def test_frequent_phrases(spark):
+    """The most frequent phrases, found by way of the most frequent words, against counting all."""
+    import random
+    from collections import Counter
+    from dataclasses import replace
+
+    from attesta.config import DEFAULT
+    from attesta.operators import themes as TH
+
+    rng = random.Random(2)
+    cfg = replace(DEFAULT, theme_vocabulary=12)
+    rows = [(i % 9, " ".join(rng.choices([f"w{k}" for k in range(12)], weights=range(1, 13), k=rng.randint(0, 30)))) for i in range(20)]
+    df = spark.createDataFrame(rows, "k int, text string")
+    grams = [[" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)] for w in (t.split() for _, t in rows)]
+    total = Counter(g for gs in grams for g in gs)
+    top = sorted(total, key=lambda g: (-total[g], g))[:12]
+    want = Counter((k, g, n) for (k, _), gs in zip(rows, grams, strict=True) for g, n in Counter(gs).items() if g in top)
+    assert Counter((r["k"], r["term"], r["tf"]) for r in TH.frequent_phrases(df, "k", cfg).collect()) == want
