@@ -2,59 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import sys
-import tempfile
-import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROOT = str(Path(__file__).resolve().parents[2])
-_staged: list[str] = []
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
-    env = spark.sparkContext.environment
-    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH")) if x)
-    if _ROOT not in sys.path:
-        sys.path.append(_ROOT)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a temporary one becomes it."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="attesta-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage, survives lost executors,
-    and fixes the rows of expressions that depend on the task, such as row numbers."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/attesta-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _staged.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the tables that materialize() wrote; frames that read them can't be used afterwards."""
-    jvm = spark.sparkContext._jvm
-    while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
+from ..shipping import ship  # noqa: F401
+from ..tables import mark, materialize, release, shared_dir  # noqa: F401
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Few rows at a time, so that a batch of very long texts isn't held decoded as a whole."""
