@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship  # noqa: F401
-from ..tables import mark, materialize, release, shared_dir  # noqa: F401
+from ..tables import mark, materialize, read_table, release, shared_dir  # noqa: F401
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Few rows at a time, so that a batch of very long texts isn't held decoded as a whole."""
@@ -24,7 +24,14 @@ def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return read_table(spark, f"{sf_dir}/{table}.parquet")
+
+
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """``df`` under names that no operator's own columns have, the new name of each column, and a function that
+    selects the columns again under their names: for functions that keep all columns of a row."""
+    names = {c: f"_in{i}_" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names, lambda out: out.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
