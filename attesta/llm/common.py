@@ -44,7 +44,7 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame) ->
     split = left.join(heavy, F.col(key) == F.col("_heavy"), "left")
     few = right.join(heavy, F.col(key) == F.col("_heavy"), "left_semi")
     hot = split.filter(F.col("_heavy").isNotNull()).drop("_heavy").join(F.broadcast(few), key, "left")
-    rest = split.filter(F.col("_heavy").isNull()).drop("_heavy").join(right, key, "left")
+    rest = split.filter(F.col("_heavy").isNull()).drop("_heavy").join(right.hint("merge"), key, "left")
     return rest.unionByName(hot)
 
 

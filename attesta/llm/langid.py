@@ -9,14 +9,18 @@ The model is fitted on a bounded sample: of each language about ``per_lang`` lab
 documents, by a hash of doc_id; at most ``max_grams`` features are kept. Everything else covers all
 rows: every document's whole text is labelled.
 
+A word is a run of letters, with the combining marks in it; numbers of any kind aren't letters.
+
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so are all texts if
 nothing can be learned; rows without a lang aren't learned from; ties between languages go to the
-alphabetically first; repeated rows return each; other columns are ignored.
+alphabetically first; repeated rows return each; other columns are ignored, and ``keep_identified``
+keeps them whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -27,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ship, slices, utf8
+from .common import materialize, renamed, ship, slices, utf8
 
 UND = "und"
 PER_LANG = 400
@@ -38,12 +43,43 @@ SWITCH = 6.0
 #: A script is a language's if it holds so large a share of the letters seen in training.
 SCRIPT_SHARE = 0.02
 SMOOTH = 0.5
-#: Words whose scores a worker remembers.
-REMEMBER = 300_000
-#: Words of a text labelled at a time; only the running scores pass from one block to the next.
+#: Words whose scores a worker remembers, and bytes of them; at either it starts anew.
+REMEMBER, REMEMBER_BYTES = 300_000, 32 << 20
+#: Words of short texts labelled together; a longer text is labelled by itself.
 BLOCK = 1 << 18
 
-_word = re.compile(r"[^\W\d_]+")
+
+def _ranges(major: str) -> str:
+    """The characters of the Unicode categories that begin with a letter of ``major``, for a regular expression's class."""
+    out, first = [], None
+    for c in range(sys.maxunicode + 2):
+        fits = c <= sys.maxunicode and unicodedata.category(chr(c))[0] in major
+        if fits and first is None:
+            first = c
+        elif not fits and first is not None:
+            out.append(f"\\U{first:08x}-\\U{c - 1:08x}")
+            first = None
+    return "".join(out)
+
+
+@lru_cache(maxsize=1)
+def word_pattern() -> re.Pattern[str]:
+    return re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*")
+
+
+#: The same for texts of characters up to U+00FF, where it is several times as fast; there are no marks among them.
+_latin = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_beyond = re.compile("[^\x00-\xff]")
+
+
+def words_in(text: str) -> re.Pattern[str]:
+    """The pattern of words for this text."""
+    return word_pattern() if _beyond.search(text) else _latin
+
+
+def words(text: bytes) -> list[str]:
+    lowered = text.decode("utf-8", "replace").lower()
+    return words_in(lowered).findall(lowered)
 
 
 @lru_cache(maxsize=8192)
@@ -75,13 +111,11 @@ def with_split(docs: DataFrame) -> DataFrame:
 def training_sample(docs: DataFrame, per_lang: int) -> DataFrame:
     """About per_lang documents of each language, by a hash; texts of other rows aren't read out."""
     rows = with_split(docs).filter(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r["lang"]: r["n"] for r in total.orderBy(F.desc("n"), "lang").limit(1000).collect()}
-    if not counts:
-        return rows.select("lang", "text").limit(0)
-    share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * 1_000_003
-    return rows.filter(drawn).select("lang", "text")
+    total = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    # Written, so that its size is known: a row a language, broadcast while it is small
+    share = materialize(total.select("lang", F.least(F.lit(1.0), per_lang / F.col("_n")).alias("_share")))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("_share") * 1_000_003
+    return rows.select("doc_id", "lang", "text").join(share, "lang").filter(drawn).select("lang", "text")
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, max_grams: int = MAX_GRAMS) -> Model:
@@ -91,7 +125,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, max_grams: int = MAX_GRAMS) -
         found: dict[tuple[str, str, str], int] = defaultdict(int)
         for batch in slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), utf8(batch, "text"), strict=True):
-                for word, k in Counter(_word.findall(text.decode("utf-8", "replace").lower())).items():
+                for word, k in Counter(words(text)).items():
                     for g in grams(word):
                         found[lang, "gram", g] += k
                     for ch, m in Counter(word).items():
@@ -101,16 +135,20 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, max_grams: int = MAX_GRAMS) -
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(list(found.values()), pa.int64())], names=["lang", "kind", "item", "n"])
 
     counts = training_sample(docs, per_lang).mapInArrow(run, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    by_item = counts.groupBy("kind", "item").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    rows = by_item.orderBy(F.desc("kind"), F.desc("total"), "item").limit(max_grams).collect()
-    letters = {r["item"]: r["by"] for r in rows if r["kind"] == "script"}
-    kept = {r["item"]: r["by"] for r in rows if r["kind"] == "gram"}
+    by_item = counts.groupBy("kind", "item").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    top = by_item.orderBy(F.desc("kind"), F.desc("total"), "item").limit(max_grams).select("kind", "item", F.transform("by", lambda x: x["lang"]).alias("langs"), F.transform("by", lambda x: x["n"]).alias("ns"))
+    letters: dict[str, dict[str, int]] = {}
+    kept: dict[str, dict[str, int]] = {}
+    for batch in top.toArrow().to_batches(4096):
+        for r in batch.to_pylist():
+            (letters if r["kind"] == "script" else kept)[r["item"]] = dict(zip(r["langs"], r["ns"], strict=True))
     model = Model(langs=sorted({k for by in kept.values() for k in by}))
     model.grams = {g: i for i, g in enumerate(sorted(kept))}
     n = np.zeros((len(kept) + 1, len(model.langs)))
+    place = {k: i for i, k in enumerate(model.langs)}
     for g, i in model.grams.items():
         for k, v in kept[g].items():
-            n[i, model.langs.index(k)] = v
+            n[i, place[k]] = v
     model.weights = np.log((n + SMOOTH) / (n.sum(axis=0) + SMOOTH * len(n))) if len(kept) else n
     every = Counter()
     for by in letters.values():
@@ -126,13 +164,17 @@ class Scores(dict):
     def __init__(self, model: Model) -> None:
         super().__init__()
         self.model = model
+        self.most = max(1024, min(REMEMBER, (1 << 22) // max(1, len(model.langs))))
+        self.bytes = 0
         self.rows = np.zeros((1024, max(1, len(model.langs))))
 
     def learn(self, words: set[str]) -> None:
         m = self.model
         new = [w for w in words if w not in self]
-        if len(self) + len(new) > REMEMBER:
+        if len(self) + len(new) > self.most or self.bytes > REMEMBER_BYTES:
             self.clear()
+            self.bytes = 0
+            self.rows = np.zeros((1024, self.rows.shape[1]))
             new = list(words)
         if not new:
             return
@@ -151,6 +193,7 @@ class Scores(dict):
         if at + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((max(len(self.rows), len(new)), self.rows.shape[1]))])
         self.rows[at : at + len(new)] = found
+        self.bytes += sum(map(len, new))
         self.update(zip(new, range(at, at + len(new)), strict=True))
 
 
@@ -193,9 +236,6 @@ class Labeller:
     def __init__(self, model: Model, penalty: float = SWITCH) -> None:
         self.model, self.penalty, self.scores = model, penalty, Scores(model)
 
-    def words(self, text: bytes) -> list[str]:
-        return _word.findall(text.decode("utf-8", "replace").lower())
-
     def label(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Language numbers of the words of each text."""
         out: list[np.ndarray] = [np.zeros(0, np.int16)] * len(texts)
@@ -219,13 +259,13 @@ class Labeller:
         """Language, share of the letters, number of spans."""
         if not self.model.langs:
             return [(UND, 0.0, 0)] * len(texts)
-        split = [self.words(t) for t in texts]
+        split = [words(t) for t in texts]
         out = []
-        for words, labels in zip(split, self.label(split), strict=True):
-            if not words:
+        for found, labels in zip(split, self.label(split), strict=True):
+            if not found:
                 out.append((UND, 0.0, 0))
                 continue
-            letters = np.bincount(labels, weights=np.fromiter(map(len, words), np.int64, len(words)), minlength=len(self.model.langs))
+            letters = np.bincount(labels, weights=np.fromiter(map(len, found), np.int64, len(found)), minlength=len(self.model.langs))
             k = int(letters.argmax())
             out.append((self.model.langs[k], float(letters[k] / letters.sum()), 1 + int((labels[1:] != labels[:-1]).sum())))
         return out
@@ -233,7 +273,7 @@ class Labeller:
     def spans(self, text: bytes) -> list[tuple[int, int, str]]:
         """Start, end (code points) and language of the runs of one text."""
         decoded = text.decode("utf-8", "replace")
-        found = list(_word.finditer(decoded))
+        found = list(words_in(decoded).finditer(decoded))
         labels = self.label([[m.group().lower() for m in found]])[0]
         out: list[tuple[int, int, str]] = []
         for m, k in zip(found, labels, strict=True):
@@ -242,22 +282,22 @@ class Labeller:
         return out
 
 
-def predict(docs: DataFrame, model: Model, columns: list[str] | None = None, penalty: float = SWITCH) -> DataFrame:
+def predict(docs: DataFrame, model: Model, columns: list[str] | None = None, penalty: float = SWITCH, text_col: str = "text") -> DataFrame:
     """``columns`` (all) of every row, with lang_pred, score and n_spans. Only the text is looked at."""
     ship(docs.sparkSession)
     columns = docs.columns if columns is None else columns
-    source = docs.select(*columns, F.col("text").alias("_text"))
+    source = docs.select(*columns, *([] if text_col in columns else [text_col]))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_text")
+    schema = T.StructType([source.schema[c] for c in columns] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_spans", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(sent.value, penalty)
         for batch in slices(batches, 1024):
-            found = labeller.predict(utf8(batch, "_text"))
+            found = labeller.predict(utf8(batch, text_col))
             new = [pa.array([x[i] for x in found], k) for i, k in enumerate((pa.string(), pa.float64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + new, names=[*columns, "lang_pred", "score", "n_spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + new, names=schema.names)
 
-    return source.mapInArrow(run, f"{types}, lang_pred string, score double, n_spans long")
+    return source.mapInArrow(run, schema)
 
 
 #: A document is mixed, and rejected by the filter, if no language has this share of its letters.
@@ -266,8 +306,9 @@ MIXED = 0.5
 
 def keep_identified(docs: DataFrame, least: float = MIXED) -> DataFrame:
     """The rows of ``docs`` with a language that has the given share of the letters; all their columns."""
-    found = predict(docs, fit(docs))
-    return found.filter((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*docs.columns)
+    inner, names, back = renamed(docs)
+    found = predict(inner, fit(docs), text_col=names["text"])
+    return back(found.filter((F.col("lang_pred") != UND) & (F.col("score") >= least)))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -1,17 +1,18 @@
 """License scans by diagonal voting (operator 3), built-in functions only.
 
-Every rolling word k-gram of a text is hashed and joined to the positions of the same k-gram in the
-license templates. A match at text word i and template word j votes for the diagonal i - j; votes
-are aggregated per row, template and diagonal, diagonals within ``SLACK`` of each other are merged
-(words added or lost inside a notice shift them), and merged spans are verified: enough distinct
-template positions matched, over a span no longer than the template allows. Verified templates give
-labels beside the base phrases; score is the best share of a template found, or 1 for a base phrase.
+Every rolling word k-gram of a text is hashed and joined to the positions of the same k-gram in the license templates
+(two words for templates under ``SHORT`` words, three for others). A match at text word i and template word j votes for
+the diagonal i - j; votes are aggregated per row, template and diagonal, diagonals within ``SLACK`` of each other are
+merged (words added or lost inside a notice shift them), and spans are verified. Enough distinct template positions
+must match: a share of the template's k-grams, or all but those that one changed word takes away, two at least. One of
+them must be a k-gram that only templates of this label have. And the span must be no longer than the template allows;
+where a merged run is longer, its diagonals are verified one by one. Verified templates give labels beside the base
+phrases; score is the best share of a template found, or 1 for a base phrase.
 
 Templates are fixed and few, so they are broadcast; a row's hits are all that is shuffled.
 
-Defined cases: null text is empty; texts shorter than a k-gram have no votes; repeated rows each
-return; a template found twice is one label; an empty table gives an empty result; other columns
-are ignored.
+Defined cases: null text is empty; texts shorter than a k-gram have no votes; repeated rows each return; a template
+found twice is one label; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,36 +25,61 @@ from .common import ascii_lower, materialize
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++"
 # Base phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-# Notices by which licenses are stated.
+# Notices by which licenses are stated, and opening passages of license texts.
 TEMPLATES = (
     ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl", "licensed under the gpl version 2"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("lgpl", "licensed under the gnu lesser general public license"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("agpl", "licensed under the gnu affero general public license"),
     ("reserved", "copyright all rights reserved"),
     ("cc-by", "licensed under cc by 4 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("mit", "released under the mit license"),
+    ("mit", "licensed under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("apache-2.0", "licensed under the apache license version 2 0"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "released under the bsd license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("boost", "distributed under the boost software license version 1 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
-WIDTH = 3
+#: Templates of fewer words are matched by pairs of words, others by triples.
+SHORT = 10
 #: Diagonals this close are one.
-SLACK = 2
+SLACK = 3
 #: Verified: this share of a template's k-grams, in a span of at most this many times its words.
 SHARE, STRETCH = 0.75, 1.5
 
 
-def templates(spark: SparkSession, width: int = WIDTH) -> DataFrame:
-    """hash, template, label, place and the template's number of k-grams; a row per k-gram."""
-    rows = spark.createDataFrame([(i, label, text.split(" ")) for i, (label, text) in enumerate(TEMPLATES)], "template int, label string, words array<string>")
-    grams = rows.withColumn("grams", rolling(F.col("words"), width))
-    return grams.select("template", "label", F.size("grams").alias("grams"), F.size("words").alias("t_words"), F.posexplode("grams").alias("place", "hash"))
+def templates(spark: SparkSession) -> DataFrame:
+    """hash, template, label, width, its number of k-grams and words, place, and own: no other label has this k-gram."""
+    rows = [(i, label, text.split(" ")) for i, (label, text) in enumerate(TEMPLATES)]
+    df = spark.createDataFrame([(*r, 2 if len(r[2]) < SHORT else 3) for r in rows], "template int, label string, words array<string>, width int")
+    df = df.withColumn("grams", F.when(F.col("width") == 2, rolling(F.col("words"), 2)).otherwise(rolling(F.col("words"), 3)))
+    each = df.select("template", "label", "width", F.size("grams").alias("grams"), F.size("words").alias("t_words"), F.posexplode("grams").alias("place", "hash"))
+    own = F.size(F.collect_set("label").over(Window.partitionBy("hash"))) == 1
+    return each.withColumn("own", own)
 
 
-def rolling(words: Column, width: int = WIDTH) -> Column:
+def rolling(words: Column, width: int) -> Column:
     """Hashes of all windows of ``width`` words, in order."""
     one = F.transform(words, lambda w: F.xxhash64(w))
     out = one
@@ -89,36 +115,43 @@ def prepared(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.when(F.array_contains("words", phrase.split(" ")[0]), found).otherwise(empty)
 
     bases = [places(phrase, label) for phrase, label in PHRASES]
-    return words.select("doc_id", F.size("words").cast("long").alias("n_words"), F.concat(*bases).alias("base"), rolling(F.col("words")).alias("hashes"))
+    hits = F.concat(*(F.transform(rolling(F.col("words"), k), lambda h, i: F.struct(i.alias("at"), h.alias("hash"))) for k in (2, 3)))
+    return words.select("doc_id", F.size("words").cast("long").alias("n_words"), F.concat(*bases).alias("base"), hits.alias("hashes"))
 
 
 def votes(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One pass: for each row a record without template, and a record for each k-gram that is in a template."""
+    """One pass: for each row a record of its own, and a record for each k-gram that is in a template."""
     rows = prepared(docs, text_col).withColumn("_row", F.monotonically_increasing_id())
-    each = rows.select("_row", "doc_id", "n_words", "base", F.posexplode_outer("hashes").alias("at", "hash"))
+    each = rows.select("_row", "doc_id", "n_words", "base", F.posexplode_outer("hashes").alias("i", "h")).select("_row", "doc_id", "n_words", "base", "i", "h.at", "h.hash")
     table = F.broadcast(templates(docs.sparkSession))
-    hit = each.join(table, "hash", "left").filter(F.col("template").isNotNull() | F.coalesce(F.col("at") == 0, F.lit(True)))
-    # A row's first k-gram may itself be in several templates: its own record is separate.
-    own = F.coalesce(F.col("at") == 0, F.lit(True))
-    base = F.when(own, F.struct("doc_id", "n_words", "base"))
-    return hit.select("_row", base.alias("own"), "at", "template", "label", "grams", "t_words", "place")
+    # A row's first k-gram brings the row's own record, whether or not it is in a template.
+    own = F.coalesce(F.col("i") == 0, F.lit(True))
+    hit = each.join(table.withColumnRenamed("own", "telling"), "hash", "left").filter(F.col("template").isNotNull() | own)
+    return hit.select("_row", F.when(own, F.struct("doc_id", "n_words", "base")).alias("own"), "at", "template", "label", "width", "grams", "t_words", "place", "telling")
 
 
 def spans(hits: DataFrame) -> DataFrame:
     """_row, label, start, end (words, end exclusive), share of verified templates."""
-    cast = hits.select("_row", "template", "label", "grams", "t_words", "at", "place", (F.col("at") - F.col("place")).alias("d"))
-    lines = cast.groupBy("_row", "template", "label", "grams", "t_words", "d").agg(
-        F.min("at").alias("lo"), F.max("at").alias("hi"), F.collect_set("place").alias("places")
+    key = ["_row", "template", "label", "width", "grams", "t_words"]
+    lines = hits.withColumn("d", F.col("at") - F.col("place")).groupBy(*key, "d").agg(
+        F.min("at").alias("lo"), F.max("at").alias("hi"), F.collect_set("place").alias("places"), F.max("telling").alias("telling")
     )
-    w = Window.partitionBy("_row", "template").orderBy("d", "lo")
+    w = Window.partitionBy("_row", "template").orderBy("d")
     fresh = F.coalesce(F.col("d") - F.lag("d").over(w) > SLACK, F.lit(True))
     runs = lines.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(w))
-    merged = runs.groupBy("_row", "template", "label", "grams", "t_words", "run").agg(
-        F.min("lo").alias("start"), (F.max("hi") + WIDTH).alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n")
+
+    def sure(x: Column) -> Column:
+        enough = (x["n"] >= SHARE * F.col("grams")) | (x["n"] >= F.greatest(F.col("grams") - F.col("width"), F.lit(2)))
+        return enough & x["telling"] & (x["end"] - x["start"] <= STRETCH * F.col("t_words"))
+
+    line = F.struct(F.col("lo").alias("start"), (F.col("hi") + F.col("width")).alias("end"), F.size("places").alias("n"), "telling")
+    merged = runs.groupBy(*key, "run").agg(
+        F.struct(F.min("lo").alias("start"), (F.max("hi") + F.max("width")).alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.max("telling").alias("telling")).alias("whole"),
+        F.collect_list(line).alias("lines"),
     )
-    share = F.col("n") / F.col("grams")
-    sure = (share >= SHARE) & (F.col("end") - F.col("start") <= STRETCH * F.col("t_words"))
-    return merged.withColumn("share", F.round(share, 6)).filter(sure).select("_row", "label", "start", "end", "share")
+    found = F.when(sure(F.col("whole")), F.array("whole")).otherwise(F.filter("lines", sure))
+    each = merged.select("_row", "label", "grams", F.explode(found).alias("x"))
+    return each.select("_row", "label", "x.start", "x.end", F.round(F.col("x.n") / F.col("grams"), 6).alias("share"))
 
 
 def scan(docs: DataFrame) -> DataFrame:

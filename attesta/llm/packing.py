@@ -32,8 +32,8 @@ from .common import materialize, ship, slices, utf8
 WIDTH = 2048
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers; at this many it starts anew.
-REMEMBER = 1_000_000
+#: Words whose ids a worker remembers, and characters of them; at either it starts anew.
+REMEMBER, REMEMBER_CHARS = 300_000, 8 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -73,10 +73,12 @@ class Words(dict):
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.parts: dict[str, bytes] = {}
         self.other: dict[bytes, bytes] = {}
+        self.held = 0  # characters of the words in all three
 
     def learn(self, words: list[str]) -> None:
         cut = list(map(PARTS.findall, words))
         new = list(dict.fromkeys(filterfalse(self.parts.__contains__, chain.from_iterable(cut))))
+        self.held += sum(map(len, new)) + sum(map(len, words))
         for at in range(0, len(new), 1024):
             part = new[at : at + 1024]
             ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
@@ -91,14 +93,16 @@ class Words(dict):
     def by_word(self, text: bytes) -> bytes:
         words = text.split()
         new = list(set(words) - self.other.keys())
+        self.held += sum(map(len, new))
         for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
             self.other[w] = np.array(e.ids, self.kind).tobytes()
         return b"".join(map(self.other.__getitem__, words))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        for known in (self, self.parts, self.other):
-            if len(known) > REMEMBER:
+        if self.held > REMEMBER_CHARS or max(len(self), len(self.parts), len(self.other)) > REMEMBER:
+            for known in (self, self.parts, self.other):
                 known.clear()
+            self.held = 0
         cut: list[list[str]] = []
         found: list[list[bytes | None] | bytes] = []
         gaps: list[list[int]] = []

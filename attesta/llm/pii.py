@@ -1,19 +1,22 @@
 """Personal data by bootstrapped contextual extraction (operator 8), built-in functions only.
 
-Base patterns find e-mail addresses, IP addresses, card and phone numbers; these seed entities
-induce lexical patterns: the word before with the value's shape, and the word after with it (digits
-become 9). Candidates of the same corpus, number groups of seven digits or more, hang on those
-patterns. Over this graph of patterns and values scores pass to and fro: a pattern's confidence is
-the mean score of its values (smoothed), a value's score is one minus the product of its patterns'
-doubts; seeds stay at one. After ``ROUNDS`` rounds, candidates that aren't base spans and that a
-pattern of high confidence and enough seeds vouches for are spans of kind ``ctx``.
+Base patterns find e-mail addresses, IP addresses, card and phone numbers; these seed entities induce lexical patterns:
+the two words before, the two words after, the word on either side, and the word before alone if it ends as a label
+does (``:``, ``=``, ``#``). Patterns don't depend on a value's form, so they reach identifiers of other forms than the
+seeds'. Candidates of the same corpus hang on the same patterns: number groups of seven digits or more, tokens of six
+characters or more that mix letters and digits, and addresses that the base doesn't take (no dot in the host, or
+``(at)``). Over this graph of patterns and values scores pass to and fro: a pattern's confidence is the mean score of
+its values (smoothed; values that aren't seeds count half), a value's score is one minus the product of its patterns'
+doubts; seeds stay at one. After
+``ROUNDS`` rounds, candidates are spans of kind ``ctx`` where a pattern of high confidence and enough seeds stands
+around them, and wherever their value's own score is higher still.
 
 Edges are distinct (pattern, value) pairs, so copies weigh once; sums are pre-aggregated, and
 patterns or values that hold a large share of the edges return to them by broadcast (skew_join).
 
-Defined cases: null text is empty, without spans; repeated rows each return; ties don't matter, as
-scores are sums; an empty table, or one without seeds, has no pattern and base spans only; other
-columns are ignored.
+Defined cases: null text is empty, without spans; of a neighbouring word longer than ``CONTEXT`` characters those
+nearest to the value count; repeated rows each return; ties don't matter, as scores are sums; an empty table, or one
+without seeds, has no pattern and base spans only; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,14 +33,20 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Number groups that may be identifiers.
+#: Number groups, mixed tokens and addresses that may be identifiers.
 NUMBERS = r"(?<![0-9A-Za-z])[0-9]++(?:[\x20().-]{1,2}+[0-9]++)*+"
+TOKENS = r"(?<![A-Za-z0-9_/-])(?=[A-Za-z_/-]*+[0-9])[A-Za-z0-9_/-]{6,}+"
+ADDRESSES = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}+(?:@|\x20?[(\[]at[)\]]\x20?)[A-Za-z0-9.-]{2,}+"
 
 MIN_DIGITS, MAX_DIGITS = 7, 24
 ROUNDS = 3
-#: A pattern counts with so many distinct seed values and such a confidence; a value needs as high a score.
-MIN_SEEDS, CONFIDENCE = 5, 0.9
-CONTEXT = 40
+#: A pattern counts with so many distinct seed values and such a confidence; a value counts by itself with the last.
+MIN_SEEDS, CONFIDENCE, VALUE_SCORE = 5, 0.9, 0.99
+#: What the score of a value that isn't a seed counts for in its patterns: without it, patterns and values that only
+#: know each other would talk each other up.
+TRUST = 0.5
+#: Characters around a value in which its neighbouring words are looked for.
+CONTEXT = 256
 
 
 def luhn(digits: Column) -> Column:
@@ -74,26 +83,45 @@ def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = with_spans(df, "_text", "_ip", "ip", 1, IP, F.lit(True), _ip_ok, context=CONTEXT)
     df = with_spans(df, "_text", "_card", "card", 2, CARD, F.lit(True), _card_ok, context=CONTEXT)
     df = with_spans(df, "_text", "_phone", "phone", 3, PHONE, F.contains(t, F.lit("+")), lambda m, v: F.char_length(_digits(m)).between(10, 15), context=CONTEXT)
-    df = with_spans(df, "_text", "_num", "ctx", 4, NUMBERS, F.lit(True), lambda m, v: F.char_length(_digits(m)).between(MIN_DIGITS, MAX_DIGITS), context=CONTEXT)
-    df = df.withColumn("base", F.concat("_email", "_ip", "_card", "_phone"))
-    free = F.filter("_num", lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return df.select("doc_id", "base", F.when(F.size("_num") > 0, free).otherwise(F.col("_num")).alias("cand"))
+    digits = F.rlike(t, F.lit("[0-9]"))
+    mixed = lambda m, v: F.rlike(v, F.lit("[0-9]")) & F.rlike(v, F.lit("[A-Za-z]"))
+    df = with_spans(df, "_text", "_num", "ctx", 4, NUMBERS, digits, lambda m, v: F.char_length(_digits(m)).between(MIN_DIGITS, MAX_DIGITS), context=CONTEXT)
+    df = with_spans(df, "_text", "_tok", "ctx", 4, TOKENS, digits, mixed, context=CONTEXT)
+    df = with_spans(df, "_text", "_adr", "ctx", 4, ADDRESSES, F.contains(t, F.lit("@")) | F.rlike(t, F.lit(r"[(\[]at[)\]]")), yes, context=CONTEXT)
+    apart = lambda spans, others: F.when((F.size(spans) > 0) & (F.size(others) > 0), F.filter(spans, lambda x: ~F.exists(others, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))).otherwise(F.col(spans))
+    df = df.withColumn("base", F.concat("_email", "_ip", "_card", "_phone")).withColumn("_adr", apart("_adr", F.col("base")))
+    df = df.withColumn("_all", F.concat("_num", "_tok")).withColumn("_taken", F.concat("base", "_adr"))
+    return df.select("doc_id", "base", F.concat(apart("_all", F.col("_taken")), "_adr").alias("cand"))
+
+
+def patterns_of(left: Column, right: Column) -> Column:
+    """The patterns around a value, as texts. A word keeps its letters in lower case; one without is ``#``."""
+    # Words ending in a label's sign keep it: it says that a value follows
+    word = lambda w: F.coalesce(F.nullif(F.concat(F.regexp_replace(F.lower(w), r"[^\p{L}\p{M}]++", ""), F.regexp_extract(w, r"[:=#]\z", 0)), F.lit("")), F.lit("#"))
+    split = lambda t: F.filter(F.split(t, r"\s++"), lambda w: w != "")
+
+    def build(x: Column) -> Column:
+        before, after = F.slice(F.reverse(x["l"]), 1, 2), F.slice(x["r"], 1, 2)
+        l1, l2, r1, r2 = (word(F.get(a, i)) for a, i in ((before, 0), (before, 1), (after, 0), (after, 1)))
+        two_left, two_right = F.size(before) == 2, F.size(after) == 2
+        rules = F.array(
+            F.when(two_left, F.concat(F.lit("<<"), l2, F.lit(" "), l1)), F.when(two_right, F.concat(F.lit(">>"), r1, F.lit(" "), r2)),
+            F.when((F.size(before) > 0) & (F.size(after) > 0), F.concat(F.lit("<>"), l1, F.lit(" "), r1)), F.when(F.rlike(l1, F.lit(r"\p{L}[:=#]\z")), F.concat(F.lit("<"), l1)),
+        )
+        # A pattern of no word at all says nothing
+        return F.filter(rules, lambda p: p.isNotNull() & F.rlike(p, F.lit(r"\p{L}")))
+
+    # bound once: the words are used in several rules
+    return F.get(F.transform(F.array(F.struct(split(left).alias("l"), split(right).alias("r"))), build), 0)
 
 
 def instances(found: DataFrame) -> DataFrame:
-    """A row per span of ``found`` (with _row) and pattern: _row, span, value (hash), pattern, is_seed."""
+    """A row per span of ``found`` (with _row) and pattern: _row, span, value (hash), pattern (hash), is_seed."""
     each = found.select("_row", F.explode(F.concat("base", "cand")).alias("x"))
-    shape = F.substring(F.translate("x.value", "0123456789", "9999999999"), 1, 40)
-    shape = F.when(F.col("x.kind") == "email", F.lit("@")).otherwise(shape)
-    before = F.regexp_extract(F.col("x.left"), r"(\S++)\s*+$", 1)
-    after = F.regexp_extract(F.col("x.right"), r"^\s*+(\S++)", 1)
-    word = lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}:]++", ""))
-    rules = F.array(F.concat(F.lit("<"), word(before), F.lit(" "), shape), F.concat(F.lit(">"), word(after), F.lit(" "), shape))
-    rows = each.select(
+    return each.select(
         "_row", F.struct("x.kind", "x.ord", "x.start", "x.end").alias("span"), F.xxhash64("x.value").alias("value"),
-        (F.col("x.kind") != "ctx").alias("is_seed"), F.explode(rules).alias("pattern"),
-    )
-    return rows.filter(~F.substring("pattern", 2, 1).isin(" ")).withColumn("pattern", F.xxhash64("pattern"))
+        (F.col("x.kind") != "ctx").alias("is_seed"), F.explode(patterns_of(F.col("x.left"), F.col("x.right"))).alias("pattern"),
+    ).withColumn("pattern", F.xxhash64("pattern"))
 
 
 def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -111,7 +139,7 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
         doubt = F.exp(F.sum(F.log(F.lit(1.0) - F.col("confidence"))))
         values = materialize(seen.groupBy("value").agg(F.round(F.lit(1.0) - doubt, 9).alias("score")))
         if k + 1 < rounds:
-            scored = skew_join(edges, values, "value", heavy_v).withColumn("score", F.when(F.col("is_seed"), F.lit(1.0)).otherwise(F.col("score")))
+            scored = skew_join(edges, values, "value", heavy_v).withColumn("score", F.when(F.col("is_seed"), F.lit(1.0)).otherwise(F.col("score") * TRUST))
     return patterns, values
 
 
@@ -122,10 +150,12 @@ def discover(found: DataFrame) -> DataFrame:
     # Candidates on patterns without seeds can't be vouched for.
     able = edges.groupBy("pattern").agg(F.count_if("is_seed").alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS).select("pattern")
     edges = materialize(edges.join(able, "pattern", "left_semi"))
-    patterns, _ = score_graph(edges)
+    patterns, values = score_graph(edges)
     sure = patterns.filter((F.col("confidence") >= CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS)).select("pattern")
-    found_values = rows.filter(~F.col("is_seed")).join(sure, "pattern", "left_semi")
-    return found_values.groupBy("_row").agg(F.collect_set("span").alias("ctx"))
+    known = materialize(values.filter(F.col("score") >= VALUE_SCORE).select("value"))
+    open_ = rows.filter(~F.col("is_seed"))
+    told = open_.join(sure, "pattern", "left_semi").select("_row", "span").unionByName(open_.join(known, "value", "left_semi").select("_row", "span"))
+    return told.groupBy("_row").agg(F.collect_set("span").alias("ctx"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -145,4 +175,3 @@ def query(docs: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["SPAN", "detect", "discover", "instances", "luhn", "query", "scan", "score_graph"]

@@ -1,37 +1,41 @@
 """Quality rules with adaptive thresholds (operator 4).
 
-Per document a few integer metrics are taken in one pass over the texts. Their distribution is
-kept per language and source as a quantile sketch: counts of logarithmic bins with 16 steps to a
-doubling (relative error under 1/16). Sketches merge by adding counts, so the ones of a language
-and of the whole corpus come from the same table. A bound is an upper Tukey fence,
-``q75 + reach * max(q75 - q25, least spread)``, read from the sketch of the document's language and
-source, or of its language, or of the corpus, the first that has ``min_rows`` documents. The
-bounds are joined to the metrics and decide.
-
-Defined cases: a null or empty text has no words and fails the base rules; null language or source
-is a group of its own; each row is judged alone, repeated rows included; an empty table gives an
-empty result; columns beyond those named are kept by ``apply_rules`` and ignored elsewhere.
+Per document a few integer metrics are taken in one pass over the texts. Their distribution is kept per language and
+source as a quantile sketch: counts of logarithmic bins with 64 steps to a doubling (relative error under 1/64).
+Sketches merge by adding counts, so those of a language and of the whole corpus come from the same table. The tail
+quantile, the median and the lower tail quantile of a source are read from its sketch and shrunk to its language's by
+the number of documents behind each, the language's to the corpus's; so a small or spoilt source doesn't set its own
+standard. A bound is a fence, ``tail + reach * max(tail - median, floor)`` above and likewise below; the floor, a few
+thousandths, is for metrics that are the same in nearly all documents. The bounds are joined to the metrics and decide.
+
+Defined cases: a null or empty text has no words and fails the base rules; null language or source is a group of its
+own; each row is judged alone, repeated rows included; an empty table gives an empty result; columns beyond those
+named are kept by ``apply_rules``, whatever their names, and ignored elsewhere.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, ship, slices, utf8
+from .common import heavy_keys, materialize, renamed, ship, skew_join, slices, utf8
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SYMBOLS = b"#*$%&|<>"
-#: Metric: least spread. Units: thousandths; wlen is hundredths of a character.
-METRICS = {"sym": 80, "dup": 100, "rep": 100, "wlen": 150}
-#: With a part of the corpus this far above the upper quartile a document is an outlier.
-REACH = 3
-MIN_ROWS = 200
+#: Metric: floor of a spread, and whether there is a fence below. Units: thousandths; wlen is hundredths of a character.
+METRICS = {"sym": (10, False), "dup": (30, False), "rep": (30, False), "wlen": (20, True)}
+#: Duplicate lines that any document may have: in a short one a single copy is a large share.
+SPARE_LINES = 2
+#: Tail quantile in hundredths, and how far, in spreads between it and the median, a fence stands off.
+TAIL, REACH = 85, 5
+#: Documents that the standard of the level above counts for.
+WEIGHT = 200
 
 
 def measure(text: bytes) -> tuple[int, ...]:
@@ -73,7 +77,7 @@ def metric(name: str) -> Column:
     q = lambda c: F.col(f"q_{c}")
     top, bottom = {
         "sym": (q("n_symbols") * 1000, q("word_chars")),
-        "dup": (q("n_dup_lines") * 1000, q("n_lines")),
+        "dup": (F.greatest(q("n_dup_lines") - SPARE_LINES, F.lit(0)) * 1000, q("n_lines")),
         "rep": (q("n_repeat_words") * 1000, q("n_words")),
         "wlen": (q("word_chars") * 100, q("n_words")),
     }[name]
@@ -81,15 +85,15 @@ def metric(name: str) -> Column:
 
 
 def to_bin(value: Column) -> Column:
-    """Five leading bits of a value and how many follow: monotone, exact to 31, integer work only."""
-    drop = F.greatest(F.length(F.bin(value)) - 5, F.lit(0))
-    return (drop * 32).cast("long") + F.expr("0").cast("long") + F.floor(value / F.pow(F.lit(2.0), drop)).cast("long")
+    """Seven leading bits of a value and how many follow: monotone, exact to 127, integer work only."""
+    drop = F.greatest(F.length(F.bin(value)) - 7, F.lit(0))
+    return (drop * 128).cast("long") + F.floor(value / F.pow(F.lit(2.0), drop)).cast("long")
 
 
 def bin_floor(b: Column) -> Column:
     """The least value of a bin."""
-    drop = F.when(b < 32, F.lit(0)).otherwise(F.floor((b - 16) / 32))
-    return ((b - drop * 32) * F.pow(F.lit(2.0), drop)).cast("long")
+    drop = F.when(b < 128, F.lit(0)).otherwise(F.floor((b - 64) / 128))
+    return ((b - drop * 128) * F.pow(F.lit(2.0), drop)).cast("long")
 
 
 def base_failed() -> Column:
@@ -103,65 +107,76 @@ def sketch(counted: DataFrame, lang_col: str = "lang", source_col: str = "source
     return cells.groupBy("lang", "source", F.col("p.metric").alias("metric"), F.col("p.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def quantiles(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Of sketches merged by ``keys``, per metric: n, q25 and q75. A group has a few hundred bins at most."""
-    from pyspark.sql import Window
-
+def quantiles(cells: DataFrame, keys: list[str], tail: int = TAIL) -> DataFrame:
+    """Of sketches merged by ``keys``, per metric: n and the quantiles low, mid and high. A group has a few hundred bins at most."""
     merged = cells.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "metric")
     run = merged.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-    low = lambda per: F.min(F.when(F.col("upto") * 100 >= F.col("all") * per, bin_floor(F.col("bin"))))
-    return run.groupBy(*keys, "metric").agg(F.max("all").alias("n"), low(25).alias("q25"), low(75).alias("q75"))
-
-
-def bounds(cells: DataFrame, min_rows: int = MIN_ROWS, reach: int = REACH) -> DataFrame:
-    """A row per language and source: lang, source, max_<metric> for each metric."""
-    spread = F.create_map(*(F.lit(x) for kv in METRICS.items() for x in kv))
-    fence = F.col("q75") + reach * F.greatest(F.col("q75") - F.col("q25"), spread[F.col("metric")])
-
-    def level(keys: list[str], name: str) -> DataFrame:
-        return quantiles(cells, keys).select(*keys, "metric", F.when(F.col("n") >= min_rows, fence).alias(name), *([fence.alias("least")] if not keys else []))
-
-    own, lang, corpus = level(["lang", "source"], "own").alias("o"), level(["lang"], "by_lang").alias("l"), level([], "by_all").alias("c")
-    same = (F.col("o.lang").eqNullSafe(F.col("l.lang"))) & (F.col("o.metric") == F.col("l.metric"))
-    joined = own.join(lang, same, "left").join(corpus, F.col("o.metric") == F.col("c.metric"), "left")
-    flat = joined.select(F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), F.col("o.metric").alias("metric"), F.coalesce("own", "by_lang", "by_all", "least").alias("bound"))
-    one = lambda m: F.max(F.when(F.col("metric") == m, F.col("bound"))).alias(f"max_{m}")
-    return flat.groupBy("lang", "source").agg(*(one(m) for m in METRICS))
-
-
-#: Bounds are broadcast up to this many groups of language and source (some 10 MB); beyond, the join is shuffled.
+    at = lambda per: F.min(F.when(F.col("upto") * 100 >= F.col("all") * per, bin_floor(F.col("bin"))))
+    return run.groupBy(*keys, "metric").agg(F.max("all").alias("n"), at(100 - tail).alias("low"), at(50).alias("mid"), at(tail).alias("high"))
+
+
+def bounds(cells: DataFrame, weight: int = WEIGHT, reach: int = REACH, tail: int = TAIL) -> DataFrame:
+    """A row per language and source: lang, source, docs (its documents with a word), max_<metric> and, with a fence below, min_<metric>."""
+    corpus, lang, own = (quantiles(cells, k, tail) for k in ([], ["lang"], ["lang", "source"]))
+    three = ("low", "mid", "high")
+
+    def shrunk(rows: DataFrame, above: DataFrame, on: list[str]) -> DataFrame:
+        """``rows`` with quantiles drawn to those of ``above``, as if ``weight`` documents had them."""
+        above = above.select(*(F.col(c).alias(f"_{c}") for c in (*on, *three)))
+        same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on))
+        drawn = {c: (F.col(c) * F.col("n") + F.col(f"_{c}") * weight) / (F.col("n") + weight) for c in three}
+        return rows.join(above, same).withColumns(drawn).drop(*(f"_{c}" for c in (*on, *three)))
+
+    lang = materialize(shrunk(lang, materialize(corpus), ["metric"]))
+    own = shrunk(own, lang, ["lang", "metric"])
+    floor = F.create_map(*(F.lit(x) for m, (least, _) in METRICS.items() for x in (m, least)))[F.col("metric")]
+    upper = F.col("high") + reach * F.greatest(F.col("high") - F.col("mid"), floor)
+    lower = F.col("low") - reach * F.greatest(F.col("mid") - F.col("low"), floor)
+    one = lambda m, bound, name: F.max(F.when(F.col("metric") == m, F.round(bound, 6))).alias(name)
+    fences = [one(m, upper, f"max_{m}") for m in METRICS] + [one(m, lower, f"min_{m}") for m, (_, both) in METRICS.items() if both]
+    return own.groupBy("lang", "source").agg(F.max("n").alias("docs"), *fences)
+
+
+#: Bounds are broadcast up to this many groups of language and source (some 10 MB); beyond, they are joined by
+#: shuffle, and those of groups that hold a large share of the rows still broadcast. The rows are the same.
 BROADCAST_GROUPS = 100_000
 
 
 def judge(counted: DataFrame, limits: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Adds base_failed, kept and the bounds. Groups that no sketch knows have no outliers."""
-    limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    if limits.count() <= BROADCAST_GROUPS:
-        limits = F.broadcast(limits)
-    same = counted[lang_col].eqNullSafe(limits["_lang"]) & counted[source_col].eqNullSafe(limits["_source"])
-    over = F.lit(False)
-    for m in METRICS:
-        over = over | F.coalesce(metric(m) > F.col(f"max_{m}"), F.lit(False))
-    joined = counted.join(limits, same, "left").drop("_lang", "_source")
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~over)
-
-
-def assess(docs: DataFrame, min_rows: int = MIN_ROWS, reach: int = REACH) -> DataFrame:
+    key = lambda a, b: F.to_json(F.struct(F.col(a).cast("string").alias("l"), F.col(b).cast("string").alias("s")))
+    limits = limits.withColumn("_group", key("lang", "source")).drop("lang", "source")
+    counted = counted.withColumn("_group", key(lang_col, source_col))
+    size = limits.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("docs"), F.lit(0)).alias("docs")).first()
+    if size["groups"] <= BROADCAST_GROUPS:
+        joined = counted.join(F.broadcast(limits), "_group", "left")
+    else:
+        joined = skew_join(counted, limits, "_group", heavy_keys(limits, "_group", "docs", size["docs"]))
+    odd = F.lit(False)
+    for m, (_, both) in METRICS.items():
+        odd = odd | F.coalesce(metric(m) > F.col(f"max_{m}"), F.lit(False))
+        if both:
+            odd = odd | F.coalesce(metric(m) < F.col(f"min_{m}"), F.lit(False))
+    return joined.drop("_group", "docs").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~odd)
+
+
+def assess(docs: DataFrame, weight: int = WEIGHT, reach: int = REACH) -> DataFrame:
     """doc_id, lang, source, the counts, base_failed, kept and the bounds applied, for every row of ``docs``.
 
     The counts (about 70 bytes a row) are written once; sketches and verdicts both read them.
     """
     counted = materialize(with_counts(docs, ["doc_id", "lang", "source"]))
-    return judge(counted, materialize(bounds(sketch(counted), min_rows, reach)))
+    return judge(counted, materialize(bounds(sketch(counted), weight, reach)))
 
 
-def apply_rules(docs: DataFrame, min_rows: int = MIN_ROWS, reach: int = REACH) -> DataFrame:
+def apply_rules(docs: DataFrame, weight: int = WEIGHT, reach: int = REACH) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns. Texts aren't shuffled: the counts are
     taken once for the sketches and again beside the text."""
-    limits = materialize(bounds(sketch(with_counts(docs, ["lang", "source"])), min_rows, reach))
-    judged = judge(with_counts(docs, docs.columns), limits)
-    return judged.filter("kept").select(*docs.columns)
+    limits = materialize(bounds(sketch(with_counts(docs, ["lang", "source"])), weight, reach))
+    inner, names, back = renamed(docs)
+    judged = judge(with_counts(inner, inner.columns, names["text"]), limits, names["lang"], names["source"])
+    return back(judged.filter("kept"))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 Candidates are the base matches (assigned values, access keys, long hexadecimal runs) and long
 tokens that mix letters and digits. Over the whole corpus each candidate value, as a hash, is
-counted by distinct repositories and owners: one that many owners hold is a copied example, one
-that a single owner holds is a live-looking credential, others are shared. The method adds the
-mixed tokens that are live as spans of kind ``owned``; base matches always stay spans, and their
-verdicts are counted.
+counted by distinct repositories and owners. One that ``EXAMPLE_OWNERS`` owners hold, or several
+owners in ``EXAMPLE_REPOS`` repositories, is a widely copied example; one that a single owner holds
+in fewer repositories is a live-looking credential; what is between (a few owners, or one owner who
+copies it into many repositories, as with vendored files) is shared. The method adds the mixed
+tokens that are live as spans of kind ``owned``; base matches always stay spans, and their verdicts
+are counted.
 
 Counting is by (value, owner, repository), then (value, owner), then value, each with map-side
 sums, so a value copied through the corpus is never gathered in one task. Verdicts return to the
@@ -13,7 +15,7 @@ candidates with values that hold a large share of them broadcast (see skew_join)
 
 Defined cases: null text is empty, without spans; null owner or repository counts as one unnamed
 owner or repository; repeated rows each return and count once per repository; an empty table gives
-an empty result; extra columns are kept by ``redact`` and ignored by ``scan``.
+an empty result; extra columns are kept by ``redact``, whatever their names, and ignored by ``scan``.
 """
 
 from __future__ import annotations
@@ -21,17 +23,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import heavy_keys, materialize, skew_join
+from .common import heavy_keys, materialize, renamed, skew_join
 from .spans import joined, of_kind, with_spans
 
 # The patterns of the base, written so that a match can only start where it must.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
-TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 
-#: A value of this many distinct owners or more is a widely copied example.
-EXAMPLE_OWNERS = 3
+#: A value of this many distinct owners, or of several and this many distinct repositories, is a widely copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 10
 
 
 def candidates(docs: DataFrame, owner: Column, repo: Column, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -49,19 +51,21 @@ def candidates(docs: DataFrame, owner: Column, repo: Column, keep: list[str], te
     return df.select(*keep, "_owner", "_repo", hashed(F.col("_base")).alias("_base"), hashed(F.col("_extra")).alias("_extra"))
 
 
-def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """A row per candidate value: id, n_owners, n_repos, n (candidates) and verdict."""
     each = found.select("_owner", "_repo", F.explode(F.concat(F.transform("_base", lambda x: x["id"]), F.transform("_extra", lambda x: x["id"]))).alias("id"))
     by_repo = each.groupBy("id", "_owner", "_repo").agg(F.count(F.lit(1)).alias("n"))
     by_owner = by_repo.groupBy("id", "_owner").agg(F.count(F.lit(1)).alias("n_repos"), F.sum("n").alias("n"))
     by_id = by_owner.groupBy("id").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n_repos").alias("n_repos"), F.sum("n").alias("n"))
-    verdict = F.when(F.col("n_owners") >= example_owners, "example").when(F.col("n_owners") == 1, "live").otherwise("shared")
+    many = F.col("n_repos") >= example_repos
+    example = (F.col("n_owners") >= example_owners) | ((F.col("n_owners") > 1) & many)
+    verdict = F.when(example, "example").when((F.col("n_owners") == 1) & ~many, "live").otherwise("shared")
     return by_id.withColumn("verdict", verdict)
 
 
-def verdicts(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def verdicts(found: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """Of ``found`` (with _row, written once): _row and judged, its spans with their verdicts, for rows that have any."""
-    owned = materialize(ownership(found, example_owners))
+    owned = materialize(ownership(found, example_owners, example_repos))
     total = owned.agg(F.sum("n").alias("n")).first()["n"] or 0
     each = found.select("_row", F.explode(F.concat("_base", "_extra")).alias("x")).select("_row", "x", F.col("x.id").alias("id"))
     back = skew_join(each, owned.select("id", "verdict"), "id", heavy_keys(owned, "id", "n", total))
@@ -72,23 +76,25 @@ def verdicts(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFram
 JUDGED = "array<struct<kind:string,ord:int,start:int,end:int,verdict:string>>"
 
 
-def scan(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """doc_id and judged, all candidate spans with verdicts, of every row."""
     found = candidates(docs, F.col(owner_col), F.col(repo_col), ["doc_id"])
     found = materialize(found.withColumn("_row", F.monotonically_increasing_id()))
-    judged = verdicts(found.filter((F.size("_base") > 0) | (F.size("_extra") > 0)), example_owners)
+    judged = verdicts(found.filter((F.size("_base") > 0) | (F.size("_extra") > 0)), example_owners, example_repos)
     return found.join(judged, "_row", "left").select("doc_id", F.coalesce("judged", F.array().cast(JUDGED)).alias("judged"))
 
 
-def redact(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span that isn't a widely copied example replaced by ``mask``; n_chars, if there is one,
     follows the new text. Overlapping spans are masked as one. Rows without candidates aren't shuffled."""
-    found = candidates(docs, F.col(owner_col), F.col(repo_col), docs.columns)
+    inner, names, back = renamed(docs)
+    text_name = names["text"]
+    found = candidates(inner, F.col(names[owner_col]), F.col(names[repo_col]), inner.columns, text_name)
     found = materialize(found.withColumn("_row", F.monotonically_increasing_id()))
     some = found.filter((F.size("_base") > 0) | (F.size("_extra") > 0))
-    judged = verdicts(some.select("_row", "_owner", "_repo", "_base", "_extra"), example_owners)
+    judged = verdicts(some.select("_row", "_owner", "_repo", "_base", "_extra"), example_owners, example_repos)
     risky = F.array_sort(F.transform(F.filter("judged", lambda x: (x["kind"] != "owned") & (x["verdict"] != "example") | (x["verdict"] == "live")), lambda x: F.struct(x["start"], x["end"])))
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col(text_name), F.lit(""))
     masked = F.aggregate(
         risky,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -98,11 +104,12 @@ def redact(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id",
         ),
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))),
     )
-    done = some.join(judged, "_row").withColumn("text", F.when(F.size(risky) > 0, masked).otherwise(F.col("text")))
+    done = some.join(judged, "_row").withColumn(text_name, F.when(F.size(risky) > 0, masked).otherwise(F.col(text_name)))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.size(risky) > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        chars = names["n_chars"]
+        done = done.withColumn(chars, F.when(F.size(risky) > 0, F.char_length(text_name)).otherwise(F.col(chars)).cast(docs.schema["n_chars"].dataType))
     plain = found.filter((F.size("_base") == 0) & (F.size("_extra") == 0))
-    return plain.select(*docs.columns).unionByName(done.select(*docs.columns))
+    return back(plain).unionByName(back(done))
 
 
 def query(docs: DataFrame) -> DataFrame:

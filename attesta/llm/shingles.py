@@ -1,15 +1,18 @@
-"""Near copies by the words they share: Jaccard similarity of 5-word shingle sets, 0.8 or more.
+"""Near copies: documents whose fingerprints link (simhash), or that share 0.8 or more of their 5-word shingles.
 
-MinHash values in ``BANDS`` bands of ``ROWS`` propose pairs: two sets of similarity s meet in some
-band with chance 1 - (1 - s^ROWS)^BANDS, over 0.9999 at 0.8. Every proposed pair counts only if the
-exact similarity of its sets, computed from the texts, is high enough.
+Fingerprints within three bits miss most near copies of such a similarity (at 0.8 a pair differs in ten bits on
+average), and no radius that would find them leaves bytes to share. So the sets of shingles are compared as well:
+MinHash values in ``BANDS`` bands of ``ROWS`` propose pairs; two sets of similarity s meet in some band with chance
+1 - (1 - s^ROWS)^BANDS, over 0.9999 at 0.8. Every proposed pair counts only if the exact similarity of its sets is
+high enough. Components are those of both kinds of links together.
 
-Equal sets are one node from the start. In a bucket of a band all members are compared to its
-smallest node first; only members that this doesn't connect are compared to the others, so a large
-group of near copies takes a row a member, and the components are those of all pairs of the bucket.
+Equal sets are one node from the start. In a bucket of a band all members are compared to its smallest node first;
+only members that this doesn't connect are compared to the others, so a large group of near copies takes a row a
+member, and the components are those of all pairs of the bucket.
 
-Defined cases: fewer words than a shingle are one shingle; texts without words are one node; rows
-without a doc_id all stay.
+Defined cases: fewer words than a shingle are one shingle; texts without words, null ones included, are one node; rows
+without a doc_id all stay; repeated rows are one group; an empty table gives an empty result; other columns are kept
+by ``drop_similar`` whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, slices, utf8
-from .simhash import SEED, components, keep_leaders
+from .common import heavy_keys, materialize, ship, skew_join, slices, utf8
+from .simhash import SEED, choose_key_bytes, components, fingerprint, keep_leaders, labelled, links
 
 WIDTH = 5
 #: Least similarity in hundredths.
@@ -60,79 +63,81 @@ def _long(h: int) -> int:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, node (hash of the shingle set), n (its size) and bands of every row."""
+    """doc_id, fp (simhash), node (hash of the shingle set), bands and hashes (the set) of every row."""
     ship(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = "doc_id long, fp long, node long, bands array<long>, hashes array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingle_set(t) for t in utf8(batch, "text")]
-            node = pa.array([_long(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets], pa.int64())
-            n, keys = pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), node, n, keys], names=["doc_id", "text_key", "node", "n", "bands"])
+            texts = utf8(batch, "text")
+            sets = [shingle_set(t) for t in texts]
+            longs = lambda rows: pa.array(rows, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.array([fingerprint(t) for t in texts], pa.int64()), pa.array([_long(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets], pa.int64()),
+                longs([bands(s) for s in sets]), longs([s.view(np.int64) for s in sets]),
+            ], names=[c.split()[0] for c in schema.split(", ")])
 
-    return source.mapInArrow(run, "doc_id long, text_key long, node long, n long, bands array<long>")
-
-
-def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and its shingle hashes as bytes. nodes: node and text_key, a text that has the set."""
-    source = docs.select(F.xxhash64("text").alias("text_key"), "text").join(nodes, "text_key").dropDuplicates(["node"]).select("node", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = pa.array([shingle_set(t).tobytes() for t in utf8(batch, "text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), found], names=["node", "hashes"])
-
-    return source.mapInArrow(run, "node long, hashes binary")
+    return source.mapInArrow(run, schema)
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs a, b whose sets are similar enough."""
     # Merge joins: where one node has many pairs, its part is split
     left = pairs.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    both = left.hint("merge").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= SIMILAR * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def components_of(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id, the smallest doc_id of its component, of every row."""
-    signed = materialize(signatures(docs))
-    nodes = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    posted = nodes.select("node", "n", F.explode("bands").alias("key"))
-    hubs = materialize(posted.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("key", "hub"))
-    members = materialize(posted.hint("merge").join(hubs, "key").select("key", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
-    sets = materialize(sets_of(docs, nodes.select("node", "text_key").join(members.select("node").distinct(), "node", "left_semi")))
+    both = left.hint("merge").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    # shared / (x + y - shared) >= SIMILAR / 100, written so that the sets are intersected once
+    return both.filter(F.size(F.array_intersect("x", "y")) * (100 + SIMILAR) >= (F.size("x") + F.size("y")) * SIMILAR).select("a", "b")
+
+
+def shingle_links(signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges a, b between nodes that connect all similar ones. nodes: node, row (a row of ``signed`` that has it), size and bands."""
+    posted = nodes.select("node", "size", F.explode("bands").alias("key"))
+    hubs = materialize(posted.groupBy("key").agg(F.min(F.struct("node", "size")).alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("key", "hub"))
+    members = materialize(posted.hint("merge").join(hubs, "key").select("key", "node", "size", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size")))
+    wanted = materialize(nodes.hint("merge").join(members.select("node").distinct(), "node", "left_semi").select("row"))
+    sets = materialize(signed.select("row", "node", "hashes").hint("merge").join(wanted, "row", "left_semi").drop("row"))
     # Sets of too different sizes can't be similar enough
     sized = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * SIMILAR
-    first = members.filter(F.col("node") != F.col("hub")).filter(sized("n", "hub_n")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    first = members.filter(F.col("node") != F.col("hub")).filter(sized("size", "hub_size")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     edges = materialize(similar(first, sets))
     roots = components(edges)
     # What the smallest nodes didn't connect meets all others of its bucket
-    member = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    member = members.hint("merge").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     hub_root = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
     member = materialize(member.hint("merge").join(hub_root, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub")))
-    odd = member.filter("root != hub_root").select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root"))
-    rest = member.filter("node != hub").select("key", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
-    second = rest.hint("merge").join(odd, "key").filter("a_root != b_root").filter(sized("a_n", "b_n")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = materialize(similar(second, sets))
-    if not more.isEmpty():
-        roots = components(edges.unionByName(more))
-    labelled = materialize(nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
-    ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialize(labelled.hint("merge").join(ids, "root").select("node", "component_id"))
-    return signed.select("doc_id", "node").hint("merge").join(classes, "node").select("doc_id", "component_id")
+    odd = member.filter("root != hub_root").select("key", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
+    rest = member.filter("node != hub").select("key", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
+    second = rest.hint("merge").join(odd, "key").filter("a_root != b_root").filter(sized("a_size", "b_size")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Stars stand for the first links: fewer rows, the same components
+    stars = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return stars.unionByName(similar(second, sets))
+
+
+def print_links(signed: DataFrame) -> DataFrame:
+    """Edges a, b between nodes whose documents have equal or linked fingerprints: through one node of each fingerprint."""
+    pairs = materialize(signed.select("fp", "node").distinct())
+    chief = materialize(pairs.groupBy("fp").agg(F.min("node").alias("chief"), F.count(F.lit(1)).alias("n")))
+    several = pairs.hint("merge").join(chief.filter("n > 1"), "fp").select(F.col("node").alias("a"), F.col("chief").alias("b"))
+    near = links(chief.select("fp"), choose_key_bytes(chief.count()))
+    ends = near.hint("merge").join(chief.select(F.col("fp").alias("a"), F.col("chief").alias("a_node")), "a")
+    ends = ends.hint("merge").join(chief.select(F.col("fp").alias("b"), F.col("chief").alias("b_node")), "b")
+    return several.unionByName(ends.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))).filter("a != b")
+
+
+def components_of(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id of its component, of every row."""
+    signed = materialize(signatures(docs).withColumn("row", F.monotonically_increasing_id()))
+    by_node = signed.groupBy("node").agg(
+        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.first("bands").alias("bands"), F.first(F.size("hashes")).alias("size")
+    )
+    nodes = materialize(by_node)
+    roots = components(shingle_links(signed, nodes.select("node", "row", "size", "bands")).unionByName(print_links(signed)))
+    classes = materialize(labelled(nodes.select("node", "least", "n"), roots, "node"))
+    heavy = heavy_keys(classes, "node", "n", nodes.agg(F.sum("n").alias("n")).first()["n"] or 0)
+    return skew_join(signed.select("doc_id", "node"), classes.select("node", "component_id"), "node", heavy)
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component, as simhash.drop_near_duplicates keeps them."""
-    return keep_leaders(docs, components_of(docs))
+    return keep_leaders(docs, components_of(docs.select("doc_id", "text")))

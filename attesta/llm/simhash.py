@@ -15,7 +15,8 @@ shared neighbours with a fixed number of rows per fingerprint.
 Defined cases: texts that are null or have no words have fingerprint zero, which links like any
 other; fewer words than a shingle are one shingle; a null doc_id keeps its row and is never a
 component's smallest, and a component of nulls has a null id; repeated rows each return; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns are ignored, and ``drop_near_duplicates`` keeps them
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import heavy_keys, materialize, ship, skew_join, slices, utf8
+from .common import heavy_keys, materialize, renamed, ship, skew_join, slices, utf8
 
 SEED = 42
 #: Shingles hashed at a time, for very long texts.
@@ -106,13 +107,13 @@ def links(nodes: DataFrame, key_bytes: int) -> DataFrame:
     posted = postings(nodes, key_bytes)
     size = posted.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     size = materialize(size)
-    small = posted.join(size.filter(F.col("n") <= CROWD).select("slot", "key"), ["slot", "key"])
+    small = posted.hint("merge").join(size.filter(F.col("n") <= CROWD).select("slot", "key"), ["slot", "key"])
     lists = small.groupBy("slot", "key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
     left = lists.select("fps", F.explode("fps").alias("a"))
     pairs = left.select("a", F.explode(F.filter("fps", lambda x: x > F.col("a"))).alias("b")).filter(near("a", "b")).distinct()
     crowded = size.filter(F.col("n") > CROWD)
     if not crowded.isEmpty():
-        members = posted.join(crowded.select("slot", "key"), ["slot", "key"], "left_semi").select("fp").distinct()
+        members = posted.hint("merge").join(crowded.select("slot", "key"), ["slot", "key"], "left_semi").select("fp").distinct()
         pairs = pairs.unionByName(crowd_links(materialize(members)))
     return pairs
 
@@ -129,40 +130,39 @@ def crowd_links(members: DataFrame) -> DataFrame:
     flips = F.array(F.lit(0).cast("long"), *(F.lit(x).cast("long") for x in one))
     inner = members.select("fp", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("fp")))).alias("z"))
     hub = materialize(inner.groupBy("z").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")))
-    tie = inner.join(hub.filter("n > 1"), "z").filter("fp != a").select("a", F.col("fp").alias("b")).distinct()
+    tie = inner.hint("merge").join(hub.filter("n > 1"), "z").filter("fp != a").select("a", F.col("fp").alias("b")).distinct()
     # At two bits: flip one bit, then a higher one.
     step = members.select("fp", F.posexplode(F.slice(flips, 2, 64)).alias("i", "x"))
     outer = step.select("fp", F.explode(F.transform(F.slice(flips, F.col("i") + 3, F.lit(63) - F.col("i")), lambda y: y.bitwiseXOR(F.col("x")).bitwiseXOR(F.col("fp")))).alias("z"))
-    far = outer.join(hub.select("z", "a"), "z").filter("fp != a").select("a", F.col("fp").alias("b")).distinct()
+    far = outer.hint("merge").join(hub.select("z", "a"), "z").filter("fp != a").select("a", F.col("fp").alias("b")).distinct()
     return tie.unionByName(far).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Nodes of ``edges`` (a, b) with the smallest node they reach: node, root.
 
-    Each round hooks the larger end of an edge, by its root, to the smallest neighbouring root and
-    then shortens chains; roots at least halve along a path, so rounds are logarithmic in practice.
-    Every round is written to the shared folder. Hooking groups by root with partial sums first.
+    Rounds of two steps: every larger neighbour of a node is tied to the node's smallest neighbour instead, then every
+    smaller one is. Both keep what is connected and shorten paths, so that stars remain, in a number of rounds that is
+    logarithmic in practice. Each step is written to the shared folder. Minima are summed map-side, and the joins are
+    merge joins, which Spark splits where one node has many neighbours; nothing is broadcast.
     """
-    spark = edges.sparkSession
-    live = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
-    labels = live.select(F.col("a").alias("node")).union(live.select("b")).distinct().select("node", F.col("node").alias("root"))
-    labels = materialize(labels)
-    while not live.isEmpty():
-        # a > b are roots: every root takes its smallest neighbour
-        hook = materialize(live.groupBy("a").agg(F.min("b").alias("to")))
-        while True:
-            nxt = hook.select(F.col("a").alias("to"), F.col("to").alias("further"))
-            jumped = materialize(hook.join(nxt, "to", "left").select("a", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
-            hook = jumped.select("a", "to")
-            if jumped.filter("moved").isEmpty():
-                break
-        up = hook.withColumnsRenamed({"a": "root", "to": "top"})
-        labels = materialize(labels.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
-        ends = live.join(hook.withColumnsRenamed({"to": "ta"}), "a", "left").select(F.coalesce("ta", "a").alias("x"), "b")
-        ends = ends.join(hook.select(F.col("a").alias("b"), F.col("to").alias("tb")), "b", "left").select("x", F.coalesce("tb", "b").alias("y"))
-        live = materialize(ends.filter("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-    return labels if labels.columns else spark.createDataFrame([], "node long, root long")
+    a, b = F.col("a"), F.col("b")
+    pairs = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+    live = materialize(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a != b").distinct())
+    print_ = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(a, b))).first())
+    seen = print_(live)
+    while seen[0]:
+        both = live.select(F.explode(F.array(pairs(a, b), pairs(b, a))).alias("x")).select("x.a", "x.b")
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(a.alias("u"), F.least("m", a).alias("m"))
+        large = materialize(both.filter(b > a).hint("merge").join(least, a == F.col("u")).select(b.alias("a"), F.col("m").alias("b")).distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+        tied = large.hint("merge").join(least, a == F.col("u"))
+        small = tied.select(F.explode(F.array(pairs(a, F.col("m")), pairs(b, F.col("m")))).alias("x")).select("x.a", "x.b")
+        live = materialize(small.filter(a != b).distinct())
+        before, seen = seen, print_(live)
+        if seen == before:
+            break
+    return live.select(a.alias("node"), b.alias("root")).unionByName(live.select(b.alias("node"), b.alias("root")).distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, key_bytes: int | None = None) -> DataFrame:
@@ -171,21 +171,26 @@ def near_duplicates(docs: DataFrame, width: int = 3, key_bytes: int | None = Non
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     sums = nodes.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("fps")).first()
     roots = components(links(nodes.select("fp"), key_bytes or choose_key_bytes(sums["fps"])))
-    member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    member = materialize(member)
-    ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialize(member.join(ids, "root", "left").select("fp", "component_id", "n"))
+    classes = materialize(labelled(nodes, roots, "fp"))
     heavy = heavy_keys(classes, "fp", "n", sums["rows"] or 0)
     return skew_join(prints, classes.select("fp", "component_id"), "fp", heavy)
 
 
+def labelled(nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """``nodes`` (key, least, n) with component_id, the smallest ``least`` of their component."""
+    member = materialize(nodes.hint("merge").join(roots.withColumnRenamed("node", key), key, "left").select(key, "least", "n", F.coalesce("root", key).alias("root")))
+    ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    return member.hint("merge").join(ids, "root").select(key, "component_id", "n")
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component: the one whose doc_id is the component's smallest.
 
     An id that repeats leaves one row, and does so if any of its rows leads a component. Rows
     without a doc_id all stay. Survivors are decided on ids; texts take part in one join by doc_id.
+    Columns are kept whatever their names.
     """
-    return keep_leaders(docs, near_duplicates(docs))
+    return keep_leaders(docs, near_duplicates(docs.select("doc_id", "text")))
 
 
 def keep_leaders(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -194,9 +199,13 @@ def keep_leaders(docs: DataFrame, found: DataFrame) -> DataFrame:
     ids = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("leads"), F.count(F.lit(1)).alias("n"))
     # Written, so that its size is known: while it is small no text is shuffled
     marks = materialize(ids.filter(~F.col("leads") | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("leads").alias("_leads")))
-    marked = docs.join(marks, F.col("doc_id") == F.col("_id"), "left")
-    again = marked.filter("_leads").dropDuplicates(["doc_id"])
-    return marked.filter("_leads is null").unionByName(again).drop("_id", "_leads")
+    inner, names, back = renamed(docs)
+    id_ = names["doc_id"]
+    marked = inner.join(marks, F.col(id_).cast("long") == F.col("_id"), "left").filter(F.coalesce("_leads", F.lit(True)))
+    # Of an id that repeats one row stays: numbered only where there are such ids
+    if marks.filter("_leads").isEmpty():
+        return back(marked)
+    return back(marked.filter("_leads is null")).unionByName(back(marked.filter("_leads").dropDuplicates([id_])))
 
 
 def query(docs: DataFrame) -> DataFrame:

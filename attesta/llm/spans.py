@@ -52,7 +52,17 @@ def with_spans(df: DataFrame, text: str, name: str, kind: str, order: int, patte
     df = df.withColumn(p, F.when(some, F.split(t, pattern, -1)).otherwise(none))
     start = _starts(F.col(m), F.col(p))
     df = df.withColumn(s, F.when(some, start).otherwise(F.array().cast("array<int>")))
-    around = lambda i, side: (F.right(F.get(F.col(p), i), F.lit(context)) if side == "left" else F.left(F.get(F.col(p), i + 1), F.lit(context))) if context else F.lit("")
+    # Of the pieces and matches around, two matches to either side: neighbours may themselves match
+    near = lambda k, end: F.coalesce((F.right if end else F.left)(F.get(F.col(p), k), F.lit(context)), F.lit(""))
+    match = lambda k: F.coalesce(F.get(F.col(m), k), F.lit(""))
+
+    def around(i: Column, side: str) -> Column:
+        if not context:
+            return F.lit("")
+        if side == "left":
+            return F.right(F.concat(near(i - 2, True), match(i - 2), near(i - 1, True), match(i - 1), near(i, True)), F.lit(context))
+        return F.left(F.concat(near(i + 1, False), match(i + 1), near(i + 2, False), match(i + 2), near(i + 3, False)), F.lit(context))
+
     made = F.transform(
         F.col(s),
         lambda at, i: F.struct(

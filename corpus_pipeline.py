@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import langid, packing, quality, secret_scan, shingles, simhash
+from attesta.llm import langid, packing, quality, secret_scan, shingles
 from attesta.llm.common import materialize, read
 
 
@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: by fingerprints, then of those left by shared 5-word shingles."""
-    return shingles.drop_similar(materialize(simhash.drop_near_duplicates(docs)))
+    """One document of each group of near copies, by SimHash fingerprints and by shared 5-word shingles."""
+    return shingles.drop_similar(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Sketched bounds, a learned model and connected components aren't for SQL; tests/llm has a brute-force version.
+#: Sketched bounds, a learned model and connected components aren't for SQL; tests/llm holds each stage against a plain version.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from conftest import DATA
 from texts import documents
 
 import corpus_pipeline
-from attesta.llm import ann, simhash, warc
+from attesta.llm import ann, langid, warc
 from attesta.llm.common import heavy_keys, skew_join
 
 VEC = "vec_id long, embedding array<float>, label int"
@@ -77,6 +77,14 @@ def test_ann_odd_vectors(spark):
     assert ann.query(df.limit(0)).count() == 0
 
 
+def test_ann_repeated_queries_and_lengths(spark):
+    """A query id in several rows is one query, its smallest vector; each length is searched by itself."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.0, 2.0]), (2, [3.0, 0.0]), (20, [1.0, 1.0, 1.0]), (21, [0.0, 0.0, 2.0]), (22, [1.0, 0.0, 0.0]), (40, [5.0])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], VEC)
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.query(df).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 2.0), (0, 2, 2, 0.0), (20, 1, 21, 2.0), (20, 2, 22, 1.0)]
+
+
 def records(spark, rows):
     h = "array<struct<name:string,value:string>>"
     return spark.createDataFrame(rows, f"record_id long, url string, ts long, kind string, headers {h}")
@@ -128,26 +136,68 @@ def test_skew_join(spark):
     assert out.filter("k = 1").select("n").distinct().count() == 1
 
 
+def plain_groups(rows):
+    """Component of each row: fingerprints within three bits, or 0.8 of the 5-word shingles shared."""
+    from test_documents import plain_fingerprint
+
+    def shingle_set(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    keys = [(plain_fingerprint(t), shingle_set(t)) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (f, a) in enumerate(keys):
+        for j in range(i):
+            g, b = keys[j]
+            if bin(f ^ g).count("1") <= 3 or a == b or 100 * len(a & b) >= 80 * len(a | b):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(rows))]
+
+
 def test_pipeline(spark, tmp_path):
+    """Each stage against a plain version of it on the rows the one before kept, and run() as a whole."""
+    from test_documents import plain_kept
+    from texts import local
+
     # 100 at most: from 100 on, ids are those of the copies
-    docs = documents(spark, 100).select("doc_id", "text", "lang", "source", "n_chars").filter("doc_id is not null")
+    docs = documents(spark, 100).select("doc_id", "text", "lang", "source", "n_chars")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "language ID", "SimHash near-dedup", "secret scans", "packing"]
-    kept = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    counts = [kept.count()]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = kept
-        kept = stage(spark, kept, str(tmp_path)).persist()
-        assert kept.columns == docs.columns, name
-        counts.append(kept.count())
-        if name != "secret scans":
-            assert kept.exceptAll(before).count() == 0
-    assert counts[0] > counts[1] >= counts[2] > counts[3] == counts[4] > 60
-    ids = {r["doc_id"] for r in kept.collect()}
-    assert not ids & set(range(101, 112)) and 100 in ids
+    kept = [spark.read.parquet(str(tmp_path / "documents.parquet"))]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = str(tmp_path / f"stage{k}.parquet")
+        stage(spark, kept[-1], str(tmp_path)).write.parquet(out)
+        kept.append(spark.read.parquet(out))
+        assert kept[-1].columns == docs.columns, name
+    rows = [r for r in kept[0].collect()]
+    bag = lambda x: sorted(((r["doc_id"], r["text"]) for r in x), key=repr)
+    verdict = plain_kept([r["text"] for r in rows], [(r["lang"], r["source"]) for r in rows])
+    assert bag(kept[1].collect()) == bag(r for r, (_, keep) in zip(rows, verdict, strict=True) if keep)
+    labeller = langid.Labeller(langid.fit(kept[1]))
+    said = [labeller.predict([(r["text"] or "").encode()])[0] for r in kept[1].collect()]
+    assert bag(kept[2].collect()) == bag(r for r, (lang, share, _) in zip(kept[1].collect(), said, strict=True) if lang != "und" and share >= 0.5)
+    pairs = local(kept[2])
+    group = plain_groups(pairs)
+    least = {}
+    for (i, _), g in zip(pairs, group, strict=True):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    assert sorted(r["doc_id"] for r in kept[3].filter("doc_id is not null").collect()) == sorted(least.values())
+    assert kept[4].count() == kept[3].count() > 60 and {100} <= {r["doc_id"] for r in kept[4].collect()}
+    want = sorted(((p["doc_id"], p["start"], p["ids_crc32"]) for p in corpus_pipeline.STAGES[-1][1](spark, kept[4], "").filter("start = 0").select("doc_id", "start", "ids_crc32", "length", "doc_tokens").filter("length = doc_tokens").collect()), key=repr)
     again = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r["doc_id"] for r in again.collect()} == ids
-    assert simhash.near_duplicates(kept).filter("doc_id != component_id").count() == 0
+    assert {r["doc_id"] for r in again.collect()} == {r["doc_id"] for r in kept[4].collect()} and want
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_pipeline_near_copies(spark):
