@@ -167,13 +167,14 @@ def assess(docs: DataFrame, weight: int = WEIGHT, reach: int = REACH) -> DataFra
     The counts (about 70 bytes a row) are written once; sketches and verdicts both read them.
     """
     counted = materialize(with_counts(docs, ["doc_id", "lang", "source"]))
-    return judge(counted, materialize(bounds(sketch(counted), weight, reach)))
+    return judge(counted, materialize(bounds(materialize(sketch(counted)), weight, reach)))
 
 
 def apply_rules(docs: DataFrame, weight: int = WEIGHT, reach: int = REACH) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns. Texts aren't shuffled: the counts are
     taken once for the sketches and again beside the text."""
-    limits = materialize(bounds(sketch(with_counts(docs, ["lang", "source"])), weight, reach))
+    # The sketches are read at three levels: written once, so that the texts are measured once for them
+    limits = materialize(bounds(materialize(sketch(with_counts(docs, ["lang", "source"]))), weight, reach))
     inner, names, back = renamed(docs)
     judged = judge(with_counts(inner, inner.columns, names["text"]), limits, names["lang"], names["source"])
     return back(judged.filter("kept"))
