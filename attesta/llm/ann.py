@@ -93,8 +93,12 @@ INDEX = "ids binary, upto binary, x binary, files binary"
 
 
 def _blocks(vectors: DataFrame, size: int, make, schema: str) -> DataFrame:
-    """Rows of up to ``size`` vectors each, as make(ids, vectors) gives them, with a number b; written."""
+    """Rows of up to ``size`` vectors each, as make(ids, vectors) gives them, with a number b; written.
+
+    Small partitions are put together first: blocks that aren't full would make more pairs of blocks.
+    """
     ship(vectors.sparkSession)
+    vectors = vectors.coalesce(-(-vectors.count() // size) or 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
