@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, renamed, ship, slices, utf8
+from .common import bounded_batches, materialize, renamed, ship, slices, utf8
 
 UND = "und"
 PER_LANG = 400
@@ -120,6 +120,7 @@ def training_sample(docs: DataFrame, per_lang: int) -> DataFrame:
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, max_grams: int = MAX_GRAMS) -> Model:
     ship(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, str, str], int] = defaultdict(int)
@@ -285,6 +286,7 @@ class Labeller:
 def predict(docs: DataFrame, model: Model, columns: list[str] | None = None, penalty: float = SWITCH, text_col: str = "text") -> DataFrame:
     """``columns`` (all) of every row, with lang_pred, score and n_spans. Only the text is looked at."""
     ship(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     columns = docs.columns if columns is None else columns
     source = docs.select(*columns, *([] if text_col in columns else [text_col]))
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, slices, utf8
+from .common import bounded_batches, materialize, ship, slices, utf8
 
 WIDTH = 2048
 END = 1
@@ -137,6 +137,7 @@ def words_of(name: str) -> Words:
 def tokenize(docs: DataFrame, name: str = TOKENIZER, end: int | None = END, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, ids (little-endian, as wide as width says), n; part and at place a row's ids in its partition's stream."""
     ship(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,10 @@ MinHash values in ``BANDS`` bands of ``ROWS`` propose pairs; two sets of similar
 1 - (1 - s^ROWS)^BANDS, over 0.9999 at 0.8. Every proposed pair counts only if the exact similarity of its sets is
 high enough. Components are those of both kinds of links together.
 
+Sets are large, longer than the texts, and few nodes share a bucket. So a first pass over the texts writes bands, and a
+second computes the sets of those nodes only: the hashes of their texts go into ``Marks``, a bit field of a fixed size,
+by which tasks pass other texts over. A text that passes by chance costs its computation and joins with nothing.
+
 Equal sets are one node from the start. In a bucket of a band all members are compared to its smallest node first;
 only members that this doesn't connect are compared to the others, so a large group of near copies takes a row a
 member, and the components are those of all pairs of the bucket.
@@ -22,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import heavy_keys, materialize, ship, skew_join, slices, utf8
+from .common import bounded_batches, heavy_keys, materialize, ship, skew_join, slices, utf8
 from .simhash import SEED, choose_key_bytes, components, fingerprint, keep_leaders, labelled, links
 
 WIDTH = 5
@@ -34,6 +38,8 @@ SIMILAR = 80
 BANDS, ROWS = 24, 5
 #: Shingles whose MinHash values are computed at a time.
 STEP = 1 << 12
+#: Bits that mark texts for the second pass, 4 MB whatever the input. The more texts are marked, the more others pass.
+MARKS = 1 << 25
 
 _draw = np.random.default_rng(SEED)
 _TIMES = _draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,41 +68,78 @@ def _long(h: int) -> int:
     return h - (1 << 64) * (h >> 63)
 
 
+def node_of(hashes: np.ndarray) -> int:
+    return _long(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (simhash), node (hash of the shingle set), bands and hashes (the set) of every row."""
+    """doc_id, text_hash, fp (simhash), node (hash of the shingle set), bands and size (of the set) of every row."""
     ship(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, fp long, node long, bands array<long>, hashes array<long>"
+    bounded_batches(docs.sparkSession)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
+    schema = "doc_id long, text_hash long, fp long, node long, bands array<long>, size long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = utf8(batch, "text")
-            sets = [shingle_set(t) for t in texts]
-            longs = lambda rows: pa.array(rows, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([fingerprint(t) for t in texts], pa.int64()), pa.array([_long(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets], pa.int64()),
-                longs([bands(s) for s in sets]), longs([s.view(np.int64) for s in sets]),
-            ], names=[c.split()[0] for c in schema.split(", ")])
+            rows = []
+            for t in utf8(batch, "text"):
+                s = shingle_set(t)
+                rows.append((fingerprint(t), node_of(s), bands(s), len(s)))
+            fp, node, keys, size = zip(*rows, strict=True)
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(fp, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(size, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
     return source.mapInArrow(run, schema)
 
 
+def marks_of(hashes: DataFrame) -> np.ndarray:
+    """The bit field in which the values of ``text_hash`` are marked; its words are joined map-side, and MARKS / 64 is the most there are."""
+    at = F.pmod("text_hash", F.lit(MARKS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(text_hash, {MARKS}) % 64 as int))")
+    words = hashes.select(F.floor(at / 64).cast("long").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    marks = np.zeros(MARKS // 64, np.int64)
+    marks[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return marks
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and hashes (the set), a row a node, of at least all ``docs`` whose text_hash is in ``wanted``."""
+    ship(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
+    marks = docs.sparkSession.sparkContext.broadcast(marks_of(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a text that repeats goes on once from each task
+        for batch in slices(batches):
+            at = batch.column("text_hash").to_numpy()
+            marked = np.flatnonzero(marks.value[at % MARKS // 64] >> (at % 64) & 1)
+            new = [i for i in marked.tolist() if not (int(at[i]) in seen or seen.add(int(at[i])))]
+            sets = [shingle_set(t) for t in utf8(batch.take(pa.array(new, pa.int64())), "text")] if new else []
+            yield pa.RecordBatch.from_arrays([pa.array(map(node_of, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    return docs.select(text_hash().alias("text_hash"), "text").mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"])
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs a, b whose sets are similar enough."""
     # Merge joins: where one node has many pairs, its part is split
     left = pairs.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     both = left.hint("merge").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     # shared / (x + y - shared) >= SIMILAR / 100, written so that the sets are intersected once
-    return both.filter(F.size(F.array_intersect("x", "y")) * (100 + SIMILAR) >= (F.size("x") + F.size("y")) * SIMILAR).select("a", "b")
+    return both.filter(F.size(F.array_intersect("x", "y")).cast("long") * (100 + SIMILAR) >= (F.size("x").cast("long") + F.size("y")) * SIMILAR).select("a", "b")
 
 
-def shingle_links(signed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges a, b between nodes that connect all similar ones. nodes: node, row (a row of ``signed`` that has it), size and bands."""
+def shingle_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges a, b between nodes that connect all similar ones. nodes: node, text_hash (of one of its ``docs``), size and bands."""
     posted = nodes.select("node", "size", F.explode("bands").alias("key"))
     hubs = materialize(posted.groupBy("key").agg(F.min(F.struct("node", "size")).alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("key", "hub"))
     members = materialize(posted.hint("merge").join(hubs, "key").select("key", "node", "size", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size")))
-    wanted = materialize(nodes.hint("merge").join(members.select("node").distinct(), "node", "left_semi").select("row"))
-    sets = materialize(signed.select("row", "node", "hashes").hint("merge").join(wanted, "row", "left_semi").drop("row"))
+    wanted = nodes.select("node", "text_hash").hint("merge").join(members.select("node").distinct(), "node", "left_semi")
+    sets = materialize(sets_of(docs, wanted))
     # Sets of too different sizes can't be similar enough
     sized = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * SIMILAR
     first = members.filter(F.col("node") != F.col("hub")).filter(sized("size", "hub_size")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
@@ -109,9 +152,10 @@ def shingle_links(signed: DataFrame, nodes: DataFrame) -> DataFrame:
     odd = member.filter("root != hub_root").select("key", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
     rest = member.filter("node != hub").select("key", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
     second = rest.hint("merge").join(odd, "key").filter("a_root != b_root").filter(sized("a_size", "b_size")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = materialize(second)
     # Stars stand for the first links: fewer rows, the same components
     stars = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return stars.unionByName(similar(second, sets))
+    return stars if second.isEmpty() else stars.unionByName(similar(second, sets))
 
 
 def print_links(signed: DataFrame) -> DataFrame:
@@ -127,12 +171,12 @@ def print_links(signed: DataFrame) -> DataFrame:
 
 def components_of(docs: DataFrame) -> DataFrame:
     """doc_id and component_id, the smallest doc_id of its component, of every row."""
-    signed = materialize(signatures(docs).withColumn("row", F.monotonically_increasing_id()))
+    signed = materialize(signatures(docs))
     by_node = signed.groupBy("node").agg(
-        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.first("bands").alias("bands"), F.first(F.size("hashes")).alias("size")
+        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands"), F.first("size").alias("size")
     )
     nodes = materialize(by_node)
-    roots = components(shingle_links(signed, nodes.select("node", "row", "size", "bands")).unionByName(print_links(signed)))
+    roots = components(shingle_links(docs, nodes.select("node", "text_hash", "size", "bands")).unionByName(print_links(signed)))
     classes = materialize(labelled(nodes.select("node", "least", "n"), roots, "node"))
     heavy = heavy_keys(classes, "node", "n", nodes.agg(F.sum("n").alias("n")).first()["n"] or 0)
     return skew_join(signed.select("doc_id", "node"), classes.select("node", "component_id"), "node", heavy)
