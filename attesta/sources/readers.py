@@ -12,15 +12,16 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType
 
 from ..config import DEFAULT, Settings
 from ..functions import text as T
 from ..functions.folds import pages_by_size
 from ..operators import segment
 from ..shipping import ship
+from ..tables import materialize
 from . import office
 
 TEXT, TABLE, SHEET = (".txt", ".md", ".text"), (".csv", ".tsv"), (".xlsx", ".xls")
@@ -114,12 +115,22 @@ def _read_pdf(spark: SparkSession, path: str, ord_: int, name: str, tag: str, cf
 
 
 def _read_table(spark: SparkSession, path: str, ord_: int, name: str, tag: str, cfg: Settings):
-    """Tab-separated files use tabs. Row numbers follow the file's order, one file in one pass per split."""
+    """Tab-separated files use tabs. Row numbers follow the file's order; of a folder, its parts' in the order they are read."""
     sep = "\t" if path.lower().endswith(".tsv") else ","
     df = spark.read.csv(path, header=True, sep=sep, multiLine=True, quote='"', escape='"')
-    schema = StructType([*df.schema.fields, StructField("_row_number", LongType())])
-    numbered = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)).toDF(schema)
-    return segment.tabular(_head(numbered, ord_, name, tag), df.columns, "_row_number")
+    return segment.tabular(_head(row_numbers(df), ord_, name, tag), df.columns, "_row_number")
+
+
+def row_numbers(df: DataFrame) -> DataFrame:
+    """``df``, written once, with _row_number from 1: a row's place in its partition after the counts of those before."""
+    fixed = materialize(df.withColumn("_at", F.monotonically_increasing_id()))
+    # Fixed by Spark: a partition's ids start at its number times 2 ** 33
+    part = F.shiftright("_at", 33)
+    counts = fixed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    starts = materialize(counts.select("_part", before.alias("_before")))
+    placed = fixed.join(starts, part == F.col("_part"))
+    return placed.withColumn("_row_number", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1).drop("_at", "_part", "_before")
 
 
 def _read_sheet(spark: SparkSession, path: str, ord_: int, name: str, tag: str, cfg: Settings):

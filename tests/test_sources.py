@@ -32,6 +32,19 @@ def test_table(spark, tmp_path, name, sep):
     assert [(r["span_id"], r["text"]) for r in got.spans.orderBy("span_seq").collect()] == [("t_r0001_s01", "id: 1"), ("t_r0001_s02", "quote: It was hard"), ("t_r0002_s01", "id: 2")]
 
 
+def test_table_rows_are_numbered_over_partitions(spark, tmp_path):
+    """A folder of several parts, cells that span lines, and an empty table."""
+    folder = tmp_path / "many.csv"
+    spark.range(1000).select("id", F.lit("two\nlines").alias("quote")).repartition(5).write.csv(str(folder), header=True)
+    rows = readers.load_sources(spark, [str(folder)]).chunks.collect()
+    assert sorted(r["chunk_no"] for r in rows) == list(range(1, 1001))
+    assert {r["text"] for r in rows} == {f"id: {i} | quote: two\nlines" for i in range(1000)}
+    parts = readers.row_numbers(spark.range(0, 1000, 1, 7))
+    assert all(r["id"] + 1 == r["_row_number"] for r in parts.collect())
+    (tmp_path / "none.csv").write_text("id,quote\n")
+    assert readers.load_sources(spark, [str(tmp_path / "none.csv")]).chunks.count() == 0
+
+
 def test_office(spark, tmp_path):
     x, d = tmp_path / "a.xlsx", tmp_path / "b.docx"
     x.write_bytes(office.write_xlsx("S", [["id", "quote"], [1, "It was & is"], [None, "x"]]))
