@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship  # noqa: F401
@@ -85,3 +87,51 @@ def ascii_lower(text: Column) -> Column:
     """A-Z only. lower() does the same, and faster, where all characters are ASCII."""
     up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, up, low))
+
+
+_TOKEN = re.compile(rb"[^ ]+")
+
+
+def windows(text: bytes, size: int, carry: int) -> Iterator[tuple[bytes, int]]:
+    """Parts of a text whose tokens stand between spaces, cut between tokens after ``size`` bytes or a little more.
+
+    A part goes on with up to ``carry`` tokens of the next, so that runs of tokens that start in it are whole; it owns the
+    places before them. Their number comes with it. Only one part is copied at a time.
+    """
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + size)
+        if end < 0:
+            yield text[at:], 0
+            return
+        stop, more = end, 0
+        while more < carry and (found := _TOKEN.search(text, stop)):
+            stop, more = found.end(), more + 1
+        yield text[at:stop], more
+        at = end
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """At most so many rows a record batch for what is written meanwhile; then the session's setting holds again."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows``, written once, with _rank from 1 in the given order, which must tell rows apart. Rows are dealt by ranges
+    of the order; a row's rank is its place in its range after the counts of the ranges before."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    fixed = materialize(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    parts = fixed.groupBy("_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # A row a range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = materialize(parts.select(F.col("_part").alias("_p"), "_first", before.alias("_before")))
+    placed = fixed.join(F.broadcast(starts), F.col("_part") == F.col("_p"))
+    return placed.withColumn("_rank", F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_part", "_at", "_p", "_first", "_before")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import ann, langid, license_scan, packing, pieces, pii, quality, secret_scan, simhash, warc
+from . import ann, langid, license_scan, packing, pieces, pii, quality, resample, secret_scan, simhash, warc
 from .common import read
 
 
@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": _over("documents", pii.query),
     "op9_language_id": _over("documents", langid.query),
     "op10_secret_scan": _over("documents", secret_scan.query),
+    "op11_importance_resampling": resample.query,
     "pipeline": corpus_pipeline.run,
 }
 
