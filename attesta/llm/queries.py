@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import ann, langid, license_scan, packing, pieces, pii, quality, resample, secret_scan, simhash, warc
+from . import ann, collocations, langid, license_scan, packing, pieces, pii, quality, resample, secret_scan, simhash, warc
 from .common import read
 
 
@@ -28,9 +28,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": _over("documents", langid.query),
     "op10_secret_scan": _over("documents", secret_scan.query),
     "op11_importance_resampling": resample.query,
+    "op12_collocations": _over("documents", collocations.query),
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op2_warc_revisits": warc.ORACLE}
+ORACLES: dict[str, str] = {"op2_warc_revisits": warc.ORACLE, "op12_collocations": collocations.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
