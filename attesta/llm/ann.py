@@ -27,7 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, ship
@@ -48,11 +48,15 @@ BLOCK = 4096
 QUERY_BLOCK = 8192
 
 
+def usable_vector(v: str) -> Column:
+    """Whether a vector of doubles is neither null nor zero and holds finite components only."""
+    return F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+
+
 def usable(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id and v (doubles) of the rows that take part."""
     v = F.col(vector_col).cast("array<double>")
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null").filter(fine)
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null").filter(usable_vector("v"))
 
 
 def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS) -> np.ndarray:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import ann, collocations, langid, license_scan, packing, pieces, pii, quality, resample, secret_scan, simhash, warc
+from . import ann, collocations, langid, license_scan, packing, pieces, pii, quality, resample, secret_scan, simhash, vector_dedup, warc
 from .common import read
 
 
@@ -29,9 +29,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": _over("documents", secret_scan.query),
     "op11_importance_resampling": resample.query,
     "op12_collocations": _over("documents", collocations.query),
+    "op13_vector_dedup": _over("embeddings", vector_dedup.query),
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op2_warc_revisits": warc.ORACLE, "op12_collocations": collocations.ORACLE}
+ORACLES: dict[str, str] = {"op2_warc_revisits": warc.ORACLE, "op12_collocations": collocations.ORACLE, "op13_vector_dedup": vector_dedup.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
