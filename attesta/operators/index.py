@@ -157,6 +157,11 @@ def retrieve(index: Index, themes: DataFrame, k: int | None = None, min_score: f
     more = materialize(more.join(found.groupBy("theme_id").count().filter(F.col("count") >= k), "theme_id", "left_anti"))
     if not more.isEmpty():
         found = found.join(more, "theme_id", "left_anti").unionByName(best(scored.join(more, "theme_id", "left_semi")))
+    return candidates(found, themes, k, cfg)
+
+
+def candidates(found: DataFrame, themes: DataFrame, k: int, cfg: Settings = DEFAULT) -> DataFrame:
+    """The candidates of all later steps, of ranked spans with their hygiene columns; written."""
     step = (1.0 - cfg.rank_floor) / (k - 1) if k > 1 else 0.0
     found = found.withColumns({"semantic_similarity": r4(F.col("score")), "retrieval_rank_score": r4(F.lit(1.0) - (F.col("retrieval_rank") - 1) * F.lit(step))})
     keep = [c for c in ("evidence_type", "polarity") if c in found.columns]

@@ -17,9 +17,10 @@ from .functions import text as T
 from .functions.folds import chunk_texts, pages_by_size
 from .operators import index as I
 from .operators import segment, themes, verify
+from .operators.stored import StoredIndex
 from .plans import analyse as A
 from .sources import readers, sinks
-from .tables import materialize, read_table
+from .tables import materialize, new_folder, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -788,5 +789,50 @@ def q50(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.report_paragraphs(verify.findings(table, found)).withColumn("place", F.col("place").cast("long"))
 
 
+# --- stored index -----------------------------------------------------------------------------------
+
+
+def _span_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = {"source_document": F.lit("d.txt"), "span_id": F.concat_ws("_", "doc_id", "sent_no"), "chunk_id": F.lit("d"), "page_number": F.lit(1)}
+    return materialize(_sentences(spark, sf_dir).withColumns(named).drop("doc_id", "sent_no"))
+
+
+def _ranked_spans(found: DataFrame) -> DataFrame:
+    return found.select("theme_id", "theme", F.col("retrieval_rank").cast("long").alias("retrieval_rank"), "span_seq.doc_id", "span_seq.sent_no", "text", "semantic_similarity", "retrieval_rank_score")
+
+
+@_query("q51_stored_topk", ORACLES["q21_cosine_topk"])
+def q51(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index, written, opened again and searched by blocks."""
+    path = new_folder(spark)
+    StoredIndex.build(_span_rows(spark, sf_dir), path)
+    return _ranked_spans(StoredIndex.load(spark, path).top_k(_theme_table(spark, DOC_THEMES))[0])
+
+
+@_query("q52_span_lookup", f"WITH {SENTENCES_SQL} SELECT doc_id || '_' || sent_no AS span_id, doc_id, sent_no, text FROM sp WHERE doc_id % 20 = 3")
+def q52(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans by id, a twentieth of all, and as many unknown ids."""
+    rows = _span_rows(spark, sf_dir)
+    some = rows.filter("span_seq.doc_id % 20 = 3").select(F.explode(F.array("span_id", F.concat("span_id", F.lit("x")))).alias("span_id"))
+    found = StoredIndex.build(rows, new_folder(spark)).lookup(some)
+    return found.select("span_id", "span_seq.doc_id", "span_seq.sent_no", "text")
+
+
+_CHANGED_SQL = f"""{SENTENCES_SQL}, sp2 AS (SELECT span_seq, CASE WHEN doc_id % 10 = 7 AND sent_no = 1 THEN 'Thing ering was here. ' || text ELSE text END AS text FROM sp WHERE doc_id % 10 <> 3)"""
+
+
+@_query(
+    "q53_changed_index",
+    f"""WITH {_CHANGED_SQL}, {_index_ctes('sp2', 'span_seq', DOC_THEMES)}, {_clean_ctes('sp2', 'span_seq')}, {_retrieval_ctes('sp2', 'span_seq')}
+SELECT theme_id, theme, retrieval_rank, span_seq.doc_id AS doc_id, span_seq.sent_no AS sent_no, text, semantic_similarity, retrieval_rank_score FROM cands""",
+)
+def q53(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents deleted, the first sentences of another tenth changed."""
+    rows = _span_rows(spark, sf_dir)
+    changed = rows.filter("span_seq.doc_id % 10 = 7 AND span_seq.sent_no = 1").withColumn("text", F.concat(F.lit("Thing ering was here. "), "text"))
+    made = StoredIndex.build(rows, new_folder(spark)).update(changed, rows.filter("span_seq.doc_id % 10 = 3"))
+    return _ranked_spans(made.top_k(_theme_table(spark, DOC_THEMES))[0])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q21(spark, sf_dir)

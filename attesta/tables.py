@@ -26,13 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder, for files that release() deletes."""
+    path = f"{shared_dir(spark)}/attesta-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives lost executors,
     and fixes the rows of expressions that depend on the task, such as row numbers."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/attesta-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
-    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
