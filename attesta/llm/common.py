@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship  # noqa: F401
-from ..tables import mark, materialize, read_table, release, shared_dir  # noqa: F401
+from ..tables import mark, materialize, new_folder, read_table, release, shared_dir  # noqa: F401
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Few rows at a time, so that a batch of very long texts isn't held decoded as a whole. At the end of the

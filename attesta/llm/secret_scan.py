@@ -1,7 +1,8 @@
 """Secret scans by corpus-wide ownership (operator 10), built-in functions only.
 
 Candidates are the base matches (assigned values, access keys, long hexadecimal runs) and long
-tokens that mix letters and digits. Over the whole corpus each candidate value, as a hash, is
+tokens that look drawn by chance: with a run, free of separators, in which letters and digits mix.
+Paths, UUIDs, identifiers with a number, dated names and what belongs to a URL don't. Over the whole corpus each candidate value, as a hash, is
 counted by distinct repositories and owners. One that ``EXAMPLE_OWNERS`` owners hold, or several
 owners in ``EXAMPLE_REPOS`` repositories, is a widely copied example; one that a single owner holds
 in fewer repositories is a live-looking credential; what is between (a few owners, or one owner who
@@ -30,7 +31,10 @@ from .spans import joined, of_kind, with_spans
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
-TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
+# What follows :// is passed over.
+TOKEN = r"://\S*+|(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{20,}+)"
+# A run without separators, of 16 characters, 4 letters and 4 digits or more, in which letters stand between digits or digits between letters.
+RANDOM = r"(?<![A-Za-z0-9+])(?=[A-Za-z0-9+]{16})(?=(?:[A-Za-z+]*+[0-9]){4})(?=(?:[0-9+]*+[A-Za-z]){4})(?=[A-Za-z0-9+]*?(?:[A-Za-z][0-9]++[A-Za-z]|[0-9][A-Za-z]++[0-9]))"
 
 #: A value of this many distinct owners, or of several and this many distinct repositories, is a widely copied example.
 EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 10
@@ -43,7 +47,7 @@ def candidates(docs: DataFrame, owner: Column, repo: Column, keep: list[str], te
     df = with_spans(df, "_text", "_assign", "assign", 0, ASSIGN, F.lit(True), lambda m, v: F.char_length(v) >= 8, group=1)
     df = with_spans(df, "_text", "_access", "access", 1, ACCESS, F.contains(t, F.lit("AKIA")), lambda m, v: F.lit(True))
     df = with_spans(df, "_text", "_hex", "hex", 2, HEX, F.lit(True), lambda m, v: F.lit(True))
-    df = with_spans(df, "_text", "_extra", "owned", 3, TOKEN, F.lit(True), lambda m, v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
+    df = with_spans(df, "_text", "_extra", "owned", 3, TOKEN, F.lit(True), lambda m, v: (v != "") & v.rlike(RANDOM), group=1)
     base = F.concat("_assign", "_access", "_hex")
     free = F.filter("_extra", lambda x: ~F.exists(F.col("_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     hashed = lambda a: F.transform(a, lambda x: F.struct(x["kind"], x["ord"], x["start"], x["end"], F.unhex(F.sha2(x["value"], 256)).alias("id")))

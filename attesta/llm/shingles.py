@@ -1,4 +1,4 @@
-"""Near copies: documents whose fingerprints link (simhash), or that share 0.8 or more of their 5-word shingles.
+"""Near copies: documents that share 0.8 or more of their 5-word shingles, proposed by fingerprints (simhash) and MinHash bands.
 
 Fingerprints within three bits miss most near copies of such a similarity (at 0.8 a pair differs in ten bits on
 average), and no radius that would find them leaves bytes to share. So the sets of shingles are compared as well:
@@ -10,9 +10,11 @@ Sets are large, longer than the texts, and few nodes share a bucket. So a first
 second computes the sets of those nodes only: the hashes of their texts go into ``Marks``, a bit field of a fixed size,
 by which tasks pass other texts over. A text that passes by chance costs its computation and joins with nothing.
 
-Equal sets are one node from the start. In a bucket of a band all members are compared to its smallest node first;
-only members that this doesn't connect are compared to the others, so a large group of near copies takes a row a
-member, and the components are those of all pairs of the bucket.
+Equal sets are one node from the start. In a bucket of a band all members are compared to its smallest node first, so
+a large group of near copies takes a row a member. Members that this doesn't connect meet those others of such buckets
+with whom they share one of their rarest shingles, which similar sets always do (rare_pairs): pages of a common template
+fill buckets but share only what is frequent there. The components are those of all similar pairs of a bucket. A pair
+whose fingerprints link counts only if its sets are similar, too.
 
 Defined cases: fewer words than a shingle are one shingle; texts without words, null ones included, are one node; rows
 without a doc_id all stay; repeated rows are one group; an empty table gives an empty result; other columns are kept
@@ -133,40 +135,64 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(F.size(F.array_intersect("x", "y")).cast("long") * (100 + SIMILAR) >= (F.size("x").cast("long") + F.size("y")) * SIMILAR).select("a", "b")
 
 
-def shingle_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges a, b between nodes that connect all similar ones. nodes: node, text_hash (of one of its ``docs``), size and bands."""
+def shingle_links(docs: DataFrame, nodes: DataFrame, proposed: DataFrame) -> DataFrame:
+    """Edges a, b between nodes that connect all similar ones. nodes: node, text_hash (of one of its ``docs``), size and bands;
+    proposed: more pairs a, b to compare, written."""
     posted = nodes.select("node", "size", F.explode("bands").alias("key"))
     hubs = materialize(posted.groupBy("key").agg(F.min(F.struct("node", "size")).alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("key", "hub"))
     members = materialize(posted.hint("merge").join(hubs, "key").select("key", "node", "size", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size")))
-    wanted = nodes.select("node", "text_hash").hint("merge").join(members.select("node").distinct(), "node", "left_semi")
+    some = members.select("node").unionByName(proposed.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    wanted = nodes.select("node", "text_hash").hint("merge").join(some, "node", "left_semi")
     sets = materialize(sets_of(docs, wanted))
-    # Sets of too different sizes can't be similar enough
-    sized = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * SIMILAR
-    first = members.filter(F.col("node") != F.col("hub")).filter(sized("size", "hub_size")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    edges = materialize(similar(first, sets))
+    first = members.filter(F.col("node") != F.col("hub")).filter(sized("size", "hub_size")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    edges = materialize(similar(first.unionByName(proposed.select("a", "b")).distinct(), sets))
     roots = components(edges)
-    # What the smallest nodes didn't connect meets all others of its bucket
+    # What the smallest nodes didn't connect may be similar to others of its bucket
     member = members.hint("merge").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     hub_root = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    member = materialize(member.hint("merge").join(hub_root, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub")))
-    odd = member.filter("root != hub_root").select("key", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
-    rest = member.filter("node != hub").select("key", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
-    second = rest.hint("merge").join(odd, "key").filter("a_root != b_root").filter(sized("a_size", "b_size")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = materialize(second)
+    member = materialize(member.hint("merge").join(hub_root, "hub", "left").withColumn("odd", F.col("root") != F.coalesce("hub_root", "hub")))
+    keys = member.filter("odd").select("key").distinct()
+    left = member.filter("node != hub").hint("merge").join(keys, "key", "left_semi").groupBy("node").agg(F.first("root").alias("root"), F.max("odd").alias("odd"))
+    second = materialize(rare_pairs(materialize(left), sets))
     # Stars stand for the first links: fewer rows, the same components
     stars = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     return stars if second.isEmpty() else stars.unionByName(similar(second, sets))
 
 
-def print_links(signed: DataFrame) -> DataFrame:
-    """Edges a, b between nodes whose documents have equal or linked fingerprints: through one node of each fingerprint."""
+def sized(n: str, m: str) -> Column:
+    """Sets of too different sizes can't be similar enough."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * SIMILAR
+
+
+def rare_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs a, b that may be similar, of nodes (node, root, odd) with different roots, one of them odd.
+
+    Of two similar sets, rarest shingles first, the leading parts share one: as many shingles as one set may lack, and one
+    more. Shingles that one node alone has lead and meet nothing, so pages that have a template in common, and enough of their
+    own, aren't paired, however many they are.
+    """
+    held = left.hint("merge").join(sets, "node").select("node", "root", "odd", F.size("hashes").cast("long").alias("size"), F.explode("hashes").alias("token"))
+    shared = held.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    kept = held.hint("merge").join(shared, "token").groupBy("node").agg(*(F.first(c).alias(c) for c in ("root", "odd", "size")), F.array_sort(F.collect_list(F.struct("n", "token"))).alias("tokens"))
+    lead = F.col("size") - F.ceil(F.col("size") * F.lit(SIMILAR) / 100) + 1
+    after = lead - (F.col("size") - F.size("tokens"))  # those of its own come first
+    posted = kept.filter(after > 0).select("node", "root", "odd", "size", F.explode(F.slice("tokens", F.lit(1), after.cast("int"))).alias("t"))
+    posted = materialize(posted.select("node", "root", "odd", "size", "t.token"))
+    side = lambda p: posted.select("token", *(F.col(c).alias(f"{p}_{c}") for c in ("node", "root", "odd", "size")))
+    met = side("a").filter("a_odd").hint("merge").join(side("b"), "token").filter("a_root != b_root").filter(sized("a_size", "b_size"))
+    return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
+def print_pairs(signed: DataFrame) -> DataFrame:
+    """Pairs a, b of nodes whose documents have equal or linked fingerprints, through one node of each fingerprint; written.
+    They are proposals: only similar ones count."""
     pairs = materialize(signed.select("fp", "node").distinct())
     chief = materialize(pairs.groupBy("fp").agg(F.min("node").alias("chief"), F.count(F.lit(1)).alias("n")))
     several = pairs.hint("merge").join(chief.filter("n > 1"), "fp").select(F.col("node").alias("a"), F.col("chief").alias("b"))
     near = links(chief.select("fp"), choose_key_bytes(chief.count()))
     ends = near.hint("merge").join(chief.select(F.col("fp").alias("a"), F.col("chief").alias("a_node")), "a")
     ends = ends.hint("merge").join(chief.select(F.col("fp").alias("b"), F.col("chief").alias("b_node")), "b")
-    return several.unionByName(ends.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))).filter("a != b")
+    return materialize(several.unionByName(ends.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))).filter("a != b").distinct())
 
 
 def components_of(docs: DataFrame) -> DataFrame:
@@ -176,7 +202,7 @@ def components_of(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands"), F.first("size").alias("size")
     )
     nodes = materialize(by_node)
-    roots = components(shingle_links(docs, nodes.select("node", "text_hash", "size", "bands")).unionByName(print_links(signed)))
+    roots = components(shingle_links(docs, nodes.select("node", "text_hash", "size", "bands"), print_pairs(signed)))
     classes = materialize(labelled(nodes.select("node", "least", "n"), roots, "node"))
     heavy = heavy_keys(classes, "node", "n", nodes.agg(F.sum("n").alias("n")).first()["n"] or 0)
     return skew_join(signed.select("doc_id", "node"), classes.select("node", "component_id"), "node", heavy)

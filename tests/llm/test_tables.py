@@ -137,14 +137,13 @@ def test_skew_join(spark):
 
 
 def plain_groups(rows):
-    """Component of each row: fingerprints within three bits, or 0.8 of the 5-word shingles shared."""
-    from test_documents import plain_fingerprint
+    """Component of each row: 0.8 of the 5-word shingles shared."""
 
     def shingle_set(t):
         w = (t or "").encode().lower().split()
         return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
-    keys = [(plain_fingerprint(t), shingle_set(t)) for _, t in rows]
+    keys = [shingle_set(t) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -152,10 +151,10 @@ def plain_groups(rows):
             x = root[x]
         return x
 
-    for i, (f, a) in enumerate(keys):
+    for i, a in enumerate(keys):
         for j in range(i):
-            g, b = keys[j]
-            if bin(f ^ g).count("1") <= 3 or a == b or 100 * len(a & b) >= 80 * len(a | b):
+            b = keys[j]
+            if a == b or 100 * len(a & b) >= 80 * len(a | b):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     return [find(i) for i in range(len(rows))]
 
@@ -235,3 +234,24 @@ def test_pipeline_near_copies(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert not kept & near and far <= kept
     assert {i for i in kept if i % 2 == 0 and i < 1000} == set(range(0, 96, 2)) and {i for i in kept if i >= 1000} == {1000}
+
+
+def test_pages_of_a_template(spark):
+    """Pages of one template with enough of their own all stay, and the pairs compared grow as the pages do."""
+    import random
+
+    from attesta.llm import shingles
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    template = [word() for _ in range(100)]
+    pages = [(i, " ".join(template + [word() for _ in range(25)])) for i in range(600)]
+    pages += [(1000 + i, t) for i, (_, t) in enumerate(pages[:5])] + [(2000, pages[7][1].rsplit(" ", 2)[0])]
+    compared = []
+    similar = shingles.similar
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(shingles, "similar", lambda pairs, sets: compared.append(pairs.count()) or similar(pairs, sets))
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in pages], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == set(range(600))
+    assert sum(compared) < 30 * 600
