@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from attesta.llm import langid, packing, quality, secret_scan, shingles
-from attesta.llm.common import materialize, read
+from attesta.llm.common import mark, new_folder, read, release
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by SimHash fingerprints and by shared 5-word shingles."""
+    """One document of each group of near copies: proposed by SimHash fingerprints and MinHash bands, with 0.8 of their 5-word shingles shared."""
     return shingles.drop_similar(docs)
 
 
@@ -52,5 +52,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        path = new_folder(spark)
+        before = mark()
+        stage(spark, docs, sf_dir).write.parquet(path)
+        release(spark, before)  # what the stage staged on its way
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
