@@ -147,16 +147,24 @@ def shingle_links(docs: DataFrame, nodes: DataFrame, proposed: DataFrame) -> Dat
     first = members.filter(F.col("node") != F.col("hub")).filter(sized("size", "hub_size")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     edges = materialize(similar(first.unionByName(proposed.select("a", "b")).distinct(), sets))
     roots = components(edges)
-    # What the smallest nodes didn't connect may be similar to others of its bucket
-    member = members.hint("merge").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    hub_root = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    member = materialize(member.hint("merge").join(hub_root, "hub", "left").withColumn("odd", F.col("root") != F.coalesce("hub_root", "hub")))
-    keys = member.filter("odd").select("key").distinct()
-    left = member.filter("node != hub").hint("merge").join(keys, "key", "left_semi").groupBy("node").agg(F.first("root").alias("root"), F.max("odd").alias("odd"))
+    # What the smallest nodes didn't connect may be similar to any other of its buckets
+    odd = unconnected(members, roots)
+    keys = odd.filter("odd").select("key").distinct()
+    left = odd.hint("merge").join(keys, "key", "left_semi").groupBy("node").agg(F.first("root").alias("root"), F.max("odd").alias("odd"))
     second = materialize(rare_pairs(materialize(left), sets))
-    # Stars stand for the first links: fewer rows, the same components
-    stars = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return stars if second.isEmpty() else stars.unionByName(similar(second, sets))
+    return stars(roots) if second.isEmpty() else stars(roots).unionByName(similar(second, sets))
+
+
+def stars(roots: DataFrame) -> DataFrame:
+    """Edges a, b that stand for components (node, root): fewer than the links, the same components."""
+    return roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def unconnected(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of buckets (key, node, size, root) and whether they are odd: in another component than the bucket's smallest; written."""
+    placed = members.select("key", "node", "size", "hub").hint("merge").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    hub_root = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    return materialize(placed.hint("merge").join(hub_root, "hub", "left").select("key", "node", "size", "root", (F.col("root") != F.coalesce("hub_root", "hub")).alias("odd")))
 
 
 def sized(n: str, m: str) -> Column:
@@ -167,19 +175,26 @@ def sized(n: str, m: str) -> Column:
 def rare_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs a, b that may be similar, of nodes (node, root, odd) with different roots, one of them odd.
 
-    Of two similar sets, rarest shingles first, the leading parts share one: as many shingles as one set may lack, and one
-    more. Shingles that one node alone has lead and meet nothing, so pages that have a template in common, and enough of their
-    own, aren't paired, however many they are.
+    Of two similar sets, rarest shingles first, the leading parts share one: of the larger as many shingles as it may lack in
+    any similar set, and one more; of the other as many as it may lack in one that isn't smaller, and one more. Shingles that
+    one node alone has lead and meet nothing, so pages that have a template in common, and enough of their own, aren't paired,
+    however many they are. Where two sets first meet, what
+    can be shared from there on has to be enough, too.
     """
     held = left.hint("merge").join(sets, "node").select("node", "root", "odd", F.size("hashes").cast("long").alias("size"), F.explode("hashes").alias("token"))
     shared = held.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     kept = held.hint("merge").join(shared, "token").groupBy("node").agg(*(F.first(c).alias(c) for c in ("root", "odd", "size")), F.array_sort(F.collect_list(F.struct("n", "token"))).alias("tokens"))
-    lead = F.col("size") - F.ceil(F.col("size") * F.lit(SIMILAR) / 100) + 1
-    after = lead - (F.col("size") - F.size("tokens"))  # those of its own come first
-    posted = kept.filter(after > 0).select("node", "root", "odd", "size", F.explode(F.slice("tokens", F.lit(1), after.cast("int"))).alias("t"))
-    posted = materialize(posted.select("node", "root", "odd", "size", "t.token"))
-    side = lambda p: posted.select("token", *(F.col(c).alias(f"{p}_{c}") for c in ("node", "root", "odd", "size")))
-    met = side("a").filter("a_odd").hint("merge").join(side("b"), "token").filter("a_root != b_root").filter(sized("a_size", "b_size"))
+    kept = kept.withColumn("common", F.size("tokens").cast("long"))
+    own = F.col("size") - F.col("common")  # these come first
+    any_size = F.col("size") - F.ceil(F.col("size") * SIMILAR / 100) + 1 - own
+    not_smaller = F.col("size") - F.ceil(F.col("size") * (2 * SIMILAR) / (100 + SIMILAR)) + 1 - own
+    posted = kept.filter(any_size > 0).select("node", "root", "odd", "size", "common", not_smaller.alias("least"), F.posexplode(F.slice("tokens", F.lit(1), any_size.cast("int"))).alias("at", "t"))
+    posted = materialize(posted.select("node", "root", "odd", "size", "common", "at", (F.col("at") < F.col("least")).alias("leads"), "t.token"))
+    side = lambda p: posted.select("token", *(F.col(c).alias(f"{p}_{c}") for c in ("node", "root", "odd", "size", "common", "at", "leads")))
+    most = F.least(F.col("a_common") - F.col("a_at"), F.col("b_common") - F.col("b_at"))
+    enough = most * (100 + SIMILAR) >= (F.col("a_size") + F.col("b_size")) * SIMILAR
+    later = (F.col("a_size") > F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a_node") > F.col("b_node")))
+    met = side("a").hint("merge").join(side("b").filter("b_leads").drop("b_leads"), "token").filter("a_root != b_root AND (a_odd OR b_odd)").filter(later & enough & sized("a_size", "b_size"))
     return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
