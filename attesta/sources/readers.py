@@ -23,6 +23,7 @@ from ..operators import segment
 from ..shipping import ship
 from ..tables import materialize
 from . import office
+from .records import csv_records
 
 TEXT, TABLE, SHEET = (".txt", ".md", ".text"), (".csv", ".tsv"), (".xlsx", ".xls")
 
@@ -116,9 +117,20 @@ def _read_pdf(spark: SparkSession, path: str, ord_: int, name: str, tag: str, cf
 
 def _read_table(spark: SparkSession, path: str, ord_: int, name: str, tag: str, cfg: Settings):
     """Tab-separated files use tabs. Row numbers follow the file's order; of a folder, its parts' in the order they are read."""
-    sep = "\t" if path.lower().endswith(".tsv") else ","
-    df = spark.read.csv(path, header=True, sep=sep, multiLine=True, quote='"', escape='"')
-    return segment.tabular(_head(row_numbers(df), ord_, name, tag), df.columns, "_row_number")
+    columns, rows = read_csv(spark, path, "\t" if path.lower().endswith(".tsv") else ",")
+    return segment.tabular(_head(rows, ord_, name, tag), columns, "_row_number")
+
+
+def read_csv(spark: SparkSession, path: str, sep: str) -> tuple[list[str], DataFrame]:
+    """The columns of a table with a header, and its rows with _row_number from 1. One file is read by many tasks (records); a
+    folder, and a file whose quotes only a reader from the start can follow, by one task a file."""
+    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true"}
+    df = spark.read.options(**options, header="true").csv(path)
+    records = csv_records(spark, path, sep) if df.columns and len(df.inputFiles()) == 1 else None
+    if records is None:
+        return df.columns, row_numbers(df)
+    parsed = records.filter("_row_number > 0").select("_row_number", F.from_csv("record", df.schema.toDDL(), options).alias("r"))
+    return df.columns, parsed.select("_row_number", "r.*")
 
 
 def row_numbers(df: DataFrame) -> DataFrame:

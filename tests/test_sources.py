@@ -9,7 +9,7 @@ from attesta.config import DEFAULT, Settings
 from attesta.operators import index as I
 from attesta.operators import segment
 from attesta.plans import analyse as A
-from attesta.sources import office, readers, sinks
+from attesta.sources import records, office, readers, sinks
 from attesta.streaming import hygiene
 
 
@@ -167,3 +167,48 @@ def test_checkpoint_folder_on_a_cluster():
         tables.shared_dir(fake)
     fake.sparkContext.master = "local[2]"
     assert tables.shared_dir(fake) == made["spark.checkpoint.dir"]
+
+
+def _table_rows(df, columns, start):
+    """Rows by number, as one tuple each."""
+    return sorted((r["_row_number"] - start, *(r[c] for c in columns)) for r in df.collect())
+
+
+@pytest.mark.parametrize(("ending", "sep"), [("\n", ","), ("\r\n", "\t")])
+def test_csv_by_ranges(spark, tmp_path, ending, sep):
+    """Random quoting, with line breaks, separators and quotes in cells, over ranges of some dozens of bytes: as one task reads it."""
+    import random
+
+    rng = random.Random(7)
+    parts = ["a", "bc", "1.5", " ", "é", "\n", ",", '"', "\t", "x y", "\r\n", ""]
+    lines = [["k", "one", 'two "2"', "three"]]
+    for i in range(400):
+        lines.append([str(i), *("".join(rng.choices(parts, k=rng.randint(0, 5))) for _ in range(3))])
+    quoted = lambda c: '"' + c.replace('"', '""') + '"' if rng.random() < 0.2 or any(x in c for x in '\r\n,\t"') else c
+    path = tmp_path / ("t.tsv" if sep == "\t" else "t.csv")
+    path.write_bytes("".join(sep.join(map(quoted, r)) + ending * rng.choice([1, 1, 1, 2]) for r in lines).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want = spark.read.csv(str(path), header=True, sep=sep, multiLine=True, quote='"', escape='"')
+    expected = _table_rows(readers.row_numbers(want), want.columns, 1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert records.csv_records(spark, str(path), sep) is not None
+        columns, rows = readers.read_csv(spark, str(path), sep)
+        got = _table_rows(rows, columns, 1)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert columns == want.columns and len(got) == 400
+    assert got == expected
+
+
+@pytest.mark.parametrize("text", ['a,b\n1,x"y\n2,z"\n', 'a,b\n"1,2\n', 'a,b\n1,"x"y\n', "a,b\n", "a,b", '"a\nb",c\n"1\n",2'])
+def test_csv_with_odd_quotes(spark, tmp_path, text):
+    """Quotes that aren't around whole cells: one task reads the file; a header alone has no rows."""
+    path = tmp_path / "t.csv"
+    path.write_text(text)
+    want = spark.read.csv(str(path), header=True, multiLine=True, quote='"', escape='"')
+    columns, rows = readers.read_csv(spark, str(path), ",")
+    assert columns == want.columns
+    assert _table_rows(rows, columns, 1) == _table_rows(readers.row_numbers(want), columns, 1)
