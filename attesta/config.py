@@ -57,6 +57,11 @@ class Settings:
     chunk_flush: int = 200
     page_chars: int = 3000
     docx_paragraphs: int = 12
+    # Fetching
+    fetch_timeout: float = 20
+    fetch_tries: int = 3
+    fetch_pause: float = 1
+    fetch_per_second: float = 4
     # Themes
     theme_vocabulary: int = 400
     theme_candidates: int = 12

@@ -61,7 +61,8 @@ def chunk_texts(pages: Column, cfg: Settings = DEFAULT) -> Column:
     def pack(col: pd.Series) -> pd.Series:
         return col.map(lambda doc: [pack_sentences(page, most, flush) for page in doc] if doc is not None else None)
 
-    return pack(F.transform(pages, lambda p: F.transform(T.paragraphs(F.coalesce(p, F.lit(""))), lambda x: T.sentences(x))))
+    # Not deterministic by name, so that no filter on its result repeats it below
+    return pack.asNondeterministic()(F.transform(pages, lambda p: F.transform(T.paragraphs(F.coalesce(p, F.lit(""))), lambda x: T.sentences(x))))
 
 
 def pages_by_size(text: Column, cfg: Settings = DEFAULT) -> Column:
@@ -74,4 +75,4 @@ def pages_by_size(text: Column, cfg: Settings = DEFAULT) -> Column:
         return pd.Series([pack_paragraphs(p, most, w) for p, w in zip(col, whole, strict=True)], dtype=object)
 
     whole = F.coalesce(text, F.lit(""))
-    return F.when(F.contains(whole, F.lit("\f")), F.split(whole, "\f")).otherwise(pack(F.split(whole, T._MODE + r"\n\s*\n"), whole))
+    return F.when(F.contains(whole, F.lit("\f")), F.split(whole, "\f")).otherwise(pack.asNondeterministic()(F.split(whole, T._MODE + r"\n\s*\n"), whole))

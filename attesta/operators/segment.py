@@ -5,6 +5,8 @@ documents: source_ord, source_document, doc_tag, pages (array of texts), and row
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,16 +16,19 @@ from ..functions.folds import chunk_texts
 from ..tables import materialize
 
 
-def chunks(documents: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """source_ord, source_document, doc_tag, page_number, chunk_no, chunk_id, text. Blank pages keep their
-    numbers; chunks that are garbage have none."""
+_SOURCE = ("source_ord", "source_document", "doc_tag")
+
+
+def chunks(documents: DataFrame, cfg: Settings = DEFAULT, keep: Sequence[str] = ()) -> DataFrame:
+    """source_ord, source_document, doc_tag, page_number, chunk_no, chunk_id, text, and columns to keep. Blank pages keep
+    their numbers; chunks that are garbage have none."""
     made = documents.withColumn("_c", chunk_texts(F.col("pages"), cfg))
     numbered = F.flatten(F.transform("_c", lambda page, i: F.transform(page, lambda c: F.struct((i + 1).alias("page_number"), c.alias("text")))))
     made = made.withColumn("_c", F.filter(numbered, lambda c: ~T.is_garbage(c["text"], cfg)))
-    out = made.select("source_ord", "source_document", "doc_tag", F.posexplode("_c").alias("_i", "_c"))
+    out = made.select(*_SOURCE, *keep, F.posexplode("_c").alias("_i", "_c"))
     return out.select(
-        "source_ord", "source_document", "doc_tag", "_c.page_number", (F.col("_i") + 1).alias("chunk_no"),
-        F.format_string("%s_c%04d", "doc_tag", F.col("_i") + 1).alias("chunk_id"), "_c.text",
+        *_SOURCE, "_c.page_number", (F.col("_i") + 1).alias("chunk_no"),
+        F.format_string("%s_c%04d", "doc_tag", F.col("_i") + 1).alias("chunk_id"), "_c.text", *keep,
     )
 
 
@@ -32,27 +37,33 @@ def _seq() -> Column:
     return F.struct(*(F.col(c).cast("long").alias(c) for c in ("source_ord", "chunk_no", "span_no"))).alias("span_seq")
 
 
-def spans(chunked: DataFrame, cleaned: bool = False, cfg: Settings = DEFAULT) -> DataFrame:
+def spans(chunked: DataFrame, cleaned: bool | Column = False, cfg: Settings = DEFAULT, keep: Sequence[str] = ()) -> DataFrame:
     """A row per sentence of each chunk, as stored. cleaned: references are taken out first and stubs
-    dropped before numbering, as for PDF pages."""
+    dropped before numbering, as for PDF pages. A column says it for each row."""
     sents = T.sentences(F.col("text"))
-    if cleaned:
-        sents = F.filter(F.transform(sents, lambda s: T.clean_evidence(s, cfg)), lambda s: F.length(F.regexp_replace(s, r"\A[ .]+|[ .]+\z", "")) >= 3)
-    out = chunked.select("source_ord", "source_document", "doc_tag", "page_number", "chunk_no", "chunk_id", F.posexplode(sents).alias("_i", "text"))
+    if cleaned is not False:
+        clean = F.filter(F.transform(sents, lambda s: T.clean_evidence(s, cfg)), lambda s: F.length(F.regexp_replace(s, r"\A[ .]+|[ .]+\z", "")) >= 3)
+        sents = clean if cleaned is True else F.when(cleaned, clean).otherwise(sents)
+    out = chunked.select("source_ord", "source_document", "doc_tag", "page_number", "chunk_no", "chunk_id", *keep, F.posexplode(sents).alias("_i", "text"))
     out = out.withColumn("span_no", F.col("_i") + 1).drop("_i")
     return out.withColumn("span_id", F.format_string("%s_s%02d", "chunk_id", "span_no")).withColumn("span_seq", _seq())
 
 
 def tabular(rows: DataFrame, columns: list[str], row_number: str = "row_number") -> tuple[DataFrame, DataFrame]:
-    """Chunks and spans of a table: a row is a chunk, a cell that isn't missing a span numbered by its column.
+    """Chunks and spans of one table: a row is a chunk, a cell that isn't missing a span numbered by its column.
 
     rows: source_ord, source_document, doc_tag, a row number and the columns. Cells keep their literal text.
     """
-    cell = lambda c: F.when(F.col(f"`{c}`").isNotNull(), F.concat(F.lit(f"{c}: "), F.col(f"`{c}`").cast("string")))
-    parts = F.array(*(F.struct(F.lit(i).alias("span_no"), cell(c).alias("text")) for i, c in enumerate(columns, 1)))
-    kept = rows.select("source_ord", "source_document", "doc_tag", F.col(row_number).cast("int").alias("chunk_no"), F.filter(parts, lambda p: p["text"].isNotNull()).alias("_p"))
+    cells = F.array(*(F.col(f"`{c}`").cast("string") for c in columns))
+    return records(rows.select(*_SOURCE, F.col(row_number).alias("_n"), F.lit(columns).cast("array<string>").alias("columns"), cells.cast("array<string>").alias("cells")), "_n")
+
+
+def records(rows: DataFrame, row_number: str = "_row_number") -> tuple[DataFrame, DataFrame]:
+    """tabular() for rows of many tables: columns (names) and cells are arrays of one length."""
+    parts = F.transform("cells", lambda c, i: F.struct((i + 1).alias("span_no"), F.concat(F.get("columns", i), F.lit(": "), c).alias("text")))
+    kept = rows.select(*_SOURCE, F.col(row_number).cast("int").alias("chunk_no"), F.filter(parts, lambda p: p["text"].isNotNull()).alias("_p"))
     kept = kept.filter(F.size("_p") > 0).withColumn("page_number", F.col("chunk_no")).withColumn("chunk_id", F.format_string("%s_r%04d", "doc_tag", "chunk_no"))
-    base = ["source_ord", "source_document", "doc_tag", "page_number", "chunk_no", "chunk_id"]
+    base = [*_SOURCE, "page_number", "chunk_no", "chunk_id"]
     text = T.trim(F.array_join(F.transform("_p", lambda p: p["text"]), " | "))
     chunked = kept.select(*base, text.alias("text"), F.lit("row").alias("record_type"))
     cells = kept.select(*base, F.explode("_p").alias("_p")).select(*base, T.trim(F.col("_p.text")).alias("text"), F.col("_p.span_no"))

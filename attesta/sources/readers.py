@@ -14,7 +14,6 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from ..config import DEFAULT, Settings
 from ..functions import text as T
@@ -23,7 +22,8 @@ from ..operators import segment
 from ..shipping import ship
 from ..tables import materialize
 from . import office
-from .records import csv_records
+from .fetch import fetched
+from .records import cells_of, csv_records, file_key, records_of
 
 TEXT, TABLE, SHEET = (".txt", ".md", ".text"), (".csv", ".tsv"), (".xlsx", ".xls")
 
@@ -33,6 +33,7 @@ class Loaded:
     chunks: DataFrame
     spans: DataFrame
     names: list[str]
+    failures: DataFrame
 
 
 def tag_of(name: str) -> str:
@@ -55,76 +56,93 @@ def from_html(pages: DataFrame, ord_col: str = "page_id", url_col: str = "url",
     return text.select("source_ord", "source_document", "doc_tag", pages_by_size(F.col("_t"), cfg).alias("pages"))
 
 
-def _segmented(documents: DataFrame, cleaned: bool, cfg: Settings) -> tuple[DataFrame, DataFrame]:
-    made = segment.chunks(documents, cfg)
-    return made.withColumn("record_type", F.lit(None).cast("string")), segment.spans(made, cleaned, cfg)
+def paragraph_pages(paragraphs: Column, per_page: int) -> Column:
+    """Pages of so many paragraphs each, joined by blank lines."""
+    starts = F.when(F.size(paragraphs) > 0, F.sequence(F.lit(1), F.size(paragraphs), F.lit(per_page))).otherwise(F.array(F.lit(1)))
+    return F.transform(starts, lambda i: F.array_join(F.slice(paragraphs, i, F.lit(per_page)), "\n\n"))
 
 
-def _head(df: DataFrame, ord_: int, name: str, tag: str) -> DataFrame:
-    return df.withColumns({"source_ord": F.lit(ord_).cast("long"), "source_document": F.lit(name), "doc_tag": F.lit(tag)})
+# --- one file's bytes, inside a task: rows of (text, parts, row number, columns, cells) ------------------
 
 
-def _read_text(spark: SparkSession, path: str, ord_: int, name: str, tag: str, cfg: Settings):
-    raw = _head(spark.read.format("binaryFile").load(path), ord_, name, tag)
-    decoded = raw.withColumn("_t", _utf8(F.col("content"))).withColumn("_t", F.regexp_replace("_t", r"\r\n?", "\n"))
-    return _segmented(decoded.select("source_ord", "source_document", "doc_tag", pages_by_size(F.col("_t"), cfg).alias("pages")), False, cfg)
+def _read_text(data: bytes) -> Iterator[tuple]:
+    """Bytes that aren't UTF-8 are dropped."""
+    yield data.decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n"), None, None, None, None
 
 
-@F.pandas_udf(StringType())
-def _utf8(data: pd.Series) -> pd.Series:
-    """Bytes that aren't UTF-8 are dropped."""
-    return data.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+def _read_docx(data: bytes) -> Iterator[tuple]:
+    yield None, office.docx_paragraphs(data), None, None, None
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _docx(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: office.docx_paragraphs(bytes(b)))
+def _read_pdf(data: bytes) -> Iterator[tuple]:
+    import fitz
 
+    with fitz.open(stream=data, filetype="pdf") as pdf:
+        yield None, [p.get_text("text") for p in pdf], None, None, None
 
-@F.pandas_udf(ArrayType(ArrayType(StringType())))
-def _xlsx(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: office.xlsx_rows(bytes(b)))
 
+def _read_sheet(data: bytes) -> Iterator[tuple]:
+    """Rows of the first sheet under its header; a column without a name gets one."""
+    rows = office.xlsx_rows(data)
+    columns = [h if h is not None else f"Unnamed: {i}" for i, h in enumerate(rows[0] if rows else [])]
+    for n, row in enumerate(rows[1:], 1):
+        yield None, None, n, columns, [*row, *[None] * len(columns)][: len(columns)]
 
-def paragraph_pages(paragraphs: Column, per_page: int) -> Column:
-    """Pages of so many paragraphs each, joined by blank lines."""
-    starts = F.when(F.size(paragraphs) > 0, F.sequence(F.lit(1), F.size(paragraphs), F.lit(per_page))).otherwise(F.array(F.lit(1)))
-    return F.transform(starts, lambda i: F.array_join(F.slice(paragraphs, i, F.lit(per_page)), "\n\n"))
+
+_DECODERS = {"text": _read_text, "docx": _read_docx, "pdf": _read_pdf, "sheet": _read_sheet}
+_DECODED = "source_ord long, kind string, text string, parts array<string>, _row_number long, columns array<string>, cells array<string>, error string"
+#: Rows handed to Arrow at once, of tables and files.
+_BATCH = 1000
+
+
+def _decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """source_ord, kind, content of files: what they hold, or why they can't be read."""
+    names = [f.split()[0] for f in _DECODED.split(", ")]
+    for part in parts:
+        out: list[tuple] = []
+        for at, kind, data in zip(part["source_ord"], part["kind"], part["content"], strict=True):
+            begun = len(out)
+            try:
+                for row in _DECODERS[kind](bytes(data)):
+                    out.append((at, kind, *row, None))
+            except Exception as e:  # whatever a broken file makes its parser raise becomes that file's row
+                out[begun:] = [(at, kind, *[None] * 5, f"{type(e).__name__}: {e}")]
+            while len(out) >= _BATCH:
+                yield pd.DataFrame(out[:_BATCH], columns=names).astype({"_row_number": "Int64"})
+                del out[:_BATCH]
+        if out:
+            yield pd.DataFrame(out, columns=names).astype({"_row_number": "Int64"})
 
 
-def _read_docx(spark: SparkSession, path: str, ord_: int, name: str, tag: str, cfg: Settings):
-    raw = _head(spark.read.format("binaryFile").load(path), ord_, name, tag).withColumn("_p", _docx(F.col("content")))
-    return _segmented(raw.select("source_ord", "source_document", "doc_tag", paragraph_pages(F.col("_p"), cfg.docx_paragraphs).alias("pages")), False, cfg)
+def _from_decoded(rows: DataFrame, cfg: Settings) -> list[tuple[DataFrame, DataFrame]]:
+    """Chunks and spans of decoded files: documents, and rows of tables."""
+    pages = F.when(F.col("kind") == "text", pages_by_size(F.col("text"), cfg)).when(F.col("kind") == "docx", paragraph_pages(F.col("parts"), cfg.docx_paragraphs)).otherwise(F.col("parts"))
+    good = rows.filter("error is null")
+    made = segment.chunks(good.filter("kind <> 'sheet'").select(*_HEAD, pages.alias("pages"), "kind"), cfg, ["kind"])
+    spans = segment.spans(made, F.col("kind") == "pdf", cfg, ["kind"])
+    return [(made.drop("kind").withColumn("record_type", F.lit(None).cast("string")), spans.drop("kind")), segment.records(good.filter("kind = 'sheet'"))]
 
 
-def _read_pdf(spark: SparkSession, path: str, ord_: int, name: str, tag: str, cfg: Settings):
-    try:
-        import fitz  # noqa: F401
-    except ImportError as e:
-        raise ValueError("PDF input needs the optional library PyMuPDF on the cluster.") from e
+# --- tables -------------------------------------------------------------------------------------------
 
-    def pages(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import fitz
+_CSV = {"quote": '"', "escape": '"', "multiLine": "true"}
+_HEAD = ["source_ord", "source_document", "doc_tag"]
 
-        for part in parts:
-            for b in part["content"]:
-                with fitz.open(stream=bytes(b), filetype="pdf") as pdf:
-                    yield pd.DataFrame({"pages": [[p.get_text("text") for p in pdf]]})
 
-    raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(pages, "pages array<string>")
-    return _segmented(_head(raw, ord_, name, tag), True, cfg)
+def _read_table(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
+    """read_csv; tab-separated files use tabs."""
+    return read_csv(spark, path, _sep(path))
 
 
-def _read_table(spark: SparkSession, path: str, ord_: int, name: str, tag: str, cfg: Settings):
-    """Tab-separated files use tabs. Row numbers follow the file's order; of a folder, its parts' in the order they are read."""
-    columns, rows = read_csv(spark, path, "\t" if path.lower().endswith(".tsv") else ",")
-    return segment.tabular(_head(rows, ord_, name, tag), columns, "_row_number")
+def _sep(path: str) -> str:
+    return "\t" if path.lower().endswith(".tsv") else ","
 
 
 def read_csv(spark: SparkSession, path: str, sep: str) -> tuple[list[str], DataFrame]:
-    """The columns of a table with a header, and its rows with _row_number from 1. One file is read by many tasks (records); a
-    folder, and a file whose quotes only a reader from the start can follow, by one task a file."""
-    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true"}
+    """The columns of a table with a header, and its rows with _row_number from 1: of a folder, its parts' in the order they are
+    read. One file is read by many tasks (records); a folder, and a file whose quotes only a reader from the start can follow,
+    by one task a file."""
+    options = {**_CSV, "sep": sep}
     df = spark.read.options(**options, header="true").csv(path)
     records = csv_records(spark, path, sep) if df.columns and len(df.inputFiles()) == 1 else None
     if records is None:
@@ -145,31 +163,10 @@ def row_numbers(df: DataFrame) -> DataFrame:
     return placed.withColumn("_row_number", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1).drop("_at", "_part", "_before")
 
 
-def _read_sheet(spark: SparkSession, path: str, ord_: int, name: str, tag: str, cfg: Settings):
-    raw = spark.read.format("binaryFile").load(path).select(_xlsx(F.col("content")).alias("rows"))
-    header = raw.select(F.get("rows", 0).alias("h")).first()["h"] or []
-    columns = [h if h is not None else f"Unnamed: {i}" for i, h in enumerate(header)]
-    body = raw.select(F.posexplode("rows").alias("_row_number", "r")).filter("_row_number > 0")
-    cells = body.select("_row_number", *(F.get("r", i).alias(c) for i, c in enumerate(columns)))
-    return segment.tabular(_head(cells, ord_, name, tag), columns, "_row_number")
-
-
-def _read_url(spark: SparkSession, url: str, ord_: int, name: str, tag: str, cfg: Settings):
-    """Fetches one page on an executor; 20 seconds, errors are raised."""
-
-    @F.pandas_udf("string")
-    def fetch(urls: pd.Series) -> pd.Series:
-        from urllib.request import Request, urlopen
-
-        def get(u: str) -> str:
-            with urlopen(Request(u, headers={"User-Agent": "attesta/0.1"}), timeout=20) as r:
-                return r.read().decode(r.headers.get_content_charset() or "utf-8", "replace")
-
-        return urls.map(get)
-
-    html = spark.createDataFrame([(url,)], "url string").withColumn("html", fetch(F.col("url")))
-    raw = _head(html.withColumn("_t", T.html_text(F.col("html"))), ord_, name, tag)
-    return _segmented(raw.select("source_ord", "source_document", "doc_tag", pages_by_size(F.col("_t"), cfg).alias("pages")), False, cfg)
+def _read_url(urls: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """Decoded rows of pages (source_ord, url), fetched on executors."""
+    kept = fetched(urls, cfg)
+    return kept.select("source_ord", F.lit("text").alias("kind"), T.html_text(F.col("html")).alias("text"), *(F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in _DECODED.split(", ")[3:7])), "error")
 
 
 def reader_of(source: str, cfg: Settings = DEFAULT):
@@ -192,15 +189,85 @@ def reader_of(source: str, cfg: Settings = DEFAULT):
     raise ValueError(f"Unsupported input type: {source} (ext '{ext}'). Supported: .pdf, .docx, .txt, .md, .text, .csv, .tsv, .xlsx, .xls, or http(s) URL.")
 
 
-def load_sources(spark: SparkSession, sources: list[str], cfg: Settings = DEFAULT) -> Loaded:
-    """All sources pooled, in order, with unique tags."""
+def _keys(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths in full, as records.file_key has them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folders: dict[str, str] = {}
+    out = []
+    for path in paths:
+        above, slash, name = path.rpartition("/")
+        if above not in folders:
+            folder = jvm.org.apache.hadoop.fs.Path(above or slash or ".")
+            folders[above] = folder.getFileSystem(conf).makeQualified(folder).toString().rstrip("/")
+        out.append(re.sub("^file:/*", "file:/", f"{folders[above]}/{name}"))
+    return out
+
+
+_KINDS = {_read_text: "text", _read_docx: "docx", _read_pdf: "pdf", _read_sheet: "sheet", _read_table: "csv", _read_url: "url"}
+
+
+def load_sources(spark: SparkSession, sources: list[str], cfg: Settings = DEFAULT, strict: bool = True) -> Loaded:
+    """All sources pooled, in order, with unique tags.
+
+    However many they are: one scan of all files but tables, one of all comma- and one of all tab-separated tables, one fetch of
+    all pages. Scans are cut by bytes, so small files share tasks. Only folders and patterns, and tables with odd quotes, take a
+    branch of the plan each. What is decoded is written once, for chunks and spans.
+
+    A file that can't be parsed and a page that can't be fetched are rows of ``failures``; strict raises if there are any. A path
+    without a file is an error at once. A source given twice is there twice.
+    """
     ship(spark)
     bases = [tag_of(re.sub("https?://", "", s)) for s in sources]
     tags = segment.unique_tags(bases) if len(sources) > 1 else bases
     names = [s if s.lower().startswith(("http://", "https://")) else s.rsplit("/", 1)[-1] for s in sources]
-    parts = [reader_of(s, cfg)(spark, s, i, n, t, cfg) for i, (s, n, t) in enumerate(zip(sources, names, tags, strict=True))]
+    kinds = [_KINDS[reader_of(s, cfg)] for s in sources]
+    if "pdf" in kinds:
+        try:
+            import fitz  # noqa: F401
+        except ImportError as e:
+            raise ValueError("PDF input needs the optional library PyMuPDF on the cluster.") from e
+    keys = [s if k == "url" else "" for s, k in zip(sources, kinds, strict=True)]
+    local = [i for i, k in enumerate(kinds) if k != "url"]
+    for i, key in zip(local, _keys(spark, [sources[i] for i in local]), strict=True):
+        keys[i] = key
+    heads = spark.createDataFrame(list(zip(range(len(sources)), names, tags, kinds, keys, strict=True)), "source_ord long, source_document string, doc_tag string, kind string, file string")
+    plain = heads.filter("kind <> 'url'")
+    if local:
+        listed = spark.read.format("binaryFile").load(sorted({sources[i] for i in local})).select(file_key().alias("file")).distinct()
+        several = {r["source_ord"] for r in plain.join(listed, "file", "left_anti").select("source_ord").collect()}  # of the given sources
+    else:
+        several = set()
+    whole = lambda *ks: sorted({sources[i] for i in local if kinds[i] in ks and i not in several})
+
+    decoded: list[DataFrame] = []
+    files = lambda paths: spark.read.format("binaryFile").load(paths).select("content", file_key().alias("file"))
+    run = lambda df: df.select("source_ord", "kind", "content").mapInPandas(_decode, _DECODED)
+    if paths := whole("text", "docx", "pdf", "sheet"):
+        decoded.append(run(files(paths).join(plain.filter("kind <> 'csv'"), "file")))
+    decoded += [run(files([sources[i]]).withColumns({"source_ord": F.lit(i).cast("long"), "kind": F.lit(kinds[i])})) for i in sorted(several) if kinds[i] != "csv"]
+    if "url" in kinds:
+        decoded.append(_read_url(heads.filter("kind = 'url'").select("source_ord", F.col("file").alias("url")), cfg))
+    parts: list[tuple[DataFrame, DataFrame]] = []
+    failures = spark.createDataFrame([], "source_ord long, source_document string, error string")
+    if decoded:
+        rows = materialize(reduce(DataFrame.unionByName, decoded)).join(heads.select(*_HEAD), "source_ord")
+        failures = rows.filter("error is not null").select("source_ord", "source_document", "error")
+        if strict and (first := failures.orderBy("source_ord").limit(3).collect()):
+            raise ValueError("Sources that can't be read: " + "; ".join(f"{r['source_document']}: {r['error']}" for r in first))
+        parts += _from_decoded(rows, cfg)
+
+    single = sorted(i for i in several if kinds[i] == "csv")
+    for sep in (",", "\t"):
+        if paths := [p for p in whole("csv") if _sep(p) == sep]:
+            records, odd = records_of(spark, paths, sep)
+            single += [i for i in local if keys[i] in odd and kinds[i] == "csv" and i not in several]
+            fine = records.filter(~F.col("file").isin(odd)) if odd else records
+            parts.append(segment.records(cells_of(fine, sep, {**_CSV, "sep": sep}).join(heads.filter("kind = 'csv'").select("file", *_HEAD), "file")))
+    for i in sorted(single):
+        columns, rows = _read_table(spark, sources[i])
+        parts.append(segment.tabular(rows.withColumns({"source_ord": F.lit(i).cast("long"), "source_document": F.lit(names[i]), "doc_tag": F.lit(tags[i])}), columns, "_row_number"))
     pool = lambda k: reduce(lambda a, b: a.unionByName(b), (p[k] for p in parts))
-    return Loaded(pool(0), pool(1), names)
+    return Loaded(pool(0), pool(1), names, failures)
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
