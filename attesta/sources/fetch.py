@@ -44,8 +44,8 @@ def attempt(url: str, cfg: Settings, wait=time.sleep) -> tuple[str | None, str |
 def fetched(urls: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """source_ord, url, html, error of a table (source_ord, url). A null URL is an error row.
 
-    The pages of a host are in one task and its requests ``1 / fetch_per_second`` seconds apart, however many there are: what a
-    host may be asked bounds that task, not Spark. A task that is lost fetches its pages again.
+    The pages of a host are in one task, which waits ``1 / fetch_per_second`` seconds after each reply, however many there are:
+    what a host may be asked bounds that task, not Spark. A task that is lost fetches its pages again.
     """
     ship(urls.sparkSession)
 
@@ -55,8 +55,8 @@ def fetched(urls: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
             for at, url, host in zip(part["source_ord"], part["url"], part["host"], strict=True):
                 if host == last[0]:
                     time.sleep(max(0.0, last[1] + 1 / cfg.fetch_per_second - time.monotonic()))
-                last = (host, time.monotonic())
                 html, error = attempt(url, cfg) if url is not None else (None, "no URL")
+                last = (host, time.monotonic())
                 yield pd.DataFrame({"source_ord": [at], "url": [url], "html": [html], "error": [error]})
 
     host = F.coalesce(F.lower(F.try_parse_url(F.col("url"), F.lit("HOST"))), F.lit(""))
