@@ -6,7 +6,7 @@ Each takes and gives Columns. A value that an expression needs several times is
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,7 +54,7 @@ def words(text: Column, pattern: str = L.WORD) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def content_words(text: Column, stop: list[str]) -> Column:
+def content_words(text: Column, stop: Sequence[str]) -> Column:
     """Distinct a-z words of three letters or more that aren't stop words."""
     found = F.array_distinct(words(F.lower(text), "[a-z]+"))
     return F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(*stop))
@@ -65,9 +65,9 @@ def content_words(text: Column, stop: list[str]) -> Column:
 
 def split_glued(text: Column) -> Column:
     """Sentence boundaries where extraction glued a heading or an axis to the next sentence."""
-    caps = sub(text, r"\b([A-Z][A-Z&]+\s+[A-Z][A-Z&]+(?:\s+[A-Z][A-Z&]+)++)\s+(?=[A-Z][a-z])", r"\1. ")
-    axis = sub(caps, r"((?:\b\d{1,3}\b[ ]++){4,}+(?:[a-z][a-z ]+?)?)(?=[A-Z][a-z])", r"\1. ")
-    return sub(axis, rf"(^|(?<=[.!?])\s)({L.SECTION_HEADERS})\s+(?=[A-Z][a-z])", r"\1\2. ")
+    for pattern, replacement in L.GLUED_STEPS:
+        text = sub(text, pattern, replacement)
+    return text
 
 
 def sentences(text: Column) -> Column:

@@ -87,13 +87,35 @@ def ranked(scores: DataFrame) -> DataFrame:
     return scores.agg(order.alias("a")).select(F.posexplode("a").alias("i", "x")).select((F.col("i") + 1).alias("rank"), "x.term", "x.n_words", "x.score")
 
 
+def uncovered(rows: DataFrame, rank: str = "rank", toks: str = "toks") -> DataFrame:
+    """The rows whose set of words isn't part of an earlier row's set; ranks are distinct, sets arrays of distinct words. An empty
+    set is part of any, a null one neither covers nor is covered.
+
+    A set of at most two words is covered if the least rank of the sets with these words is lower: one sum by hash. A longer one is
+    looked up by its two rarest words only, among sets of three words or more, and compared with those.
+    """
+    posted = rows.select(F.col(rank).alias("_by"), F.array_sort(toks).alias("_set"))
+    single = F.transform("_set", lambda x: F.array(x))
+    pairs = F.flatten(F.transform("_set", lambda x, i: F.transform(F.slice("_set", i + 2, F.size("_set")), lambda y: F.array(x, y))))
+    none = F.array(F.array().cast("array<string>"))
+    first = posted.select("_by", F.explode(F.concat(none, single, pairs)).alias("_key")).groupBy("_key").agg(F.min("_by").alias("_first"))
+    counts = posted.select(F.explode("_set").alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
+    long_ = posted.filter(F.size("_set") > 2)
+    rare = long_.select("_by", F.explode("_set").alias("_w")).join(counts, "_w").groupBy("_by").agg(F.array_sort(F.collect_list(F.struct("_n", "_w"))).alias("_ws"))
+    two = rare.select("_by", F.array_sort(F.transform(F.slice("_ws", 1, 2), lambda x: x["_w"])).alias("_pair"))
+    short = F.when(F.size(toks) <= 2, F.array_sort(toks))
+    keyed = rows.withColumn("_key", short).join(first, "_key", "left").filter(F.coalesce(F.col("_first") >= F.col(rank), F.lit(True))).drop("_key", "_first")
+    keyed = keyed.join(two.withColumnRenamed("_by", "_own"), F.col(rank) == F.col("_own"), "left").drop("_own")
+    better = long_.select(F.col("_by").alias("_b"), F.col("_set").alias("_bset"), F.explode(pairs).alias("_bpair"))
+    inside = (F.col("_pair") == F.col("_bpair")) & (F.col("_b") < F.col(rank)) & (F.size(F.array_except(toks, "_bset")) == 0)
+    return keyed.join(better, inside, "left_anti").drop("_pair")
+
+
 def shortlist(ranks: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """rank, term, n_words of phrases that aren't weak, nor a subset of a better one's words; the best dozen,
     multi-word ones first (place)."""
     strong = ranks.filter(~is_weak(F.col("term"))).withColumn("toks", token_set(F.col("term")))
-    better = strong.select(F.col("rank").alias("b_rank"), F.col("toks").alias("b_toks"))
-    covered = (F.col("b_rank") < F.col("rank")) & (F.size(F.array_except("toks", "b_toks")) == 0)
-    best = strong.join(F.broadcast(better), covered, "left_anti").orderBy("rank").limit(cfg.theme_candidates)
+    best = uncovered(materialize(strong)).orderBy("rank").limit(cfg.theme_candidates)
     order = F.array_sort(F.collect_list(F.struct((F.col("n_words") < 2).alias("single"), "rank", "term", "n_words")))
     rows = best.agg(order.alias("a")).select(F.posexplode("a").alias("i", "x"))
     return rows.select((F.col("i") + 1).alias("place"), "x.rank", F.initcap("x.term").alias("theme"), "x.n_words")
