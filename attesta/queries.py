@@ -834,5 +834,32 @@ def q53(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked_spans(made.top_k(_theme_table(spark, DOC_THEMES))[0])
 
 
+# --- long lists and many sources ----------------------------------------------------------------------
+
+_TOKEN_SET = "list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z]+'), lambda w: length(w) > 2))"
+
+
+@_query(
+    "q54_uncovered_phrases",
+    f"WITH p AS (SELECT p_partkey AS rank, p_name AS phrase, {_TOKEN_SET} AS toks FROM part) SELECT rank, phrase FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.rank < a.rank AND list_has_all(b.toks, a.toks))",
+)
+def q54(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All part names, the better the lower their key, without those whose words an earlier one has."""
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rank"), F.col("p_name").alias("phrase"))
+    return themes.uncovered(materialize(rows.withColumn("toks", themes.token_set(F.col("phrase"))))).select("rank", "phrase")
+
+
+_CUSTOMER = ["c_custkey", "c_name", "c_mktsegment"]
+
+
+@_query("q55_many_tables", " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS span_no, '{c}: ' || {c} AS text FROM customer" for i, c in enumerate(_CUSTOMER, 1)))
+def q55(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers as several CSV files, each a source of its own, read back in one pool."""
+    path = new_folder(spark)
+    _table(spark, sf_dir, "customer").select(*_CUSTOMER).repartition(8, "c_custkey").write.csv(path, header=True)
+    files = spark.read.text(path).inputFiles()
+    return readers.load_sources(spark, files).spans.select("span_no", "text")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q21(spark, sf_dir)
