@@ -4,8 +4,9 @@ Every rolling word k-gram of a text is hashed and joined to the positions of the
 (two words for templates under ``SHORT`` words, three for others). A match at text word i and template word j votes for
 the diagonal i - j; votes are aggregated per row, template and diagonal, diagonals within ``SLACK`` of each other are
 merged (words added or lost inside a notice shift them), and spans are verified. Enough distinct template positions
-must match: a share of the template's k-grams, or all but those that one changed word takes away, two at least. One of
-them must be a k-gram that only templates of this label have. And the span must be no longer than the template allows;
+must match: a share of the template's k-grams, or all but those that one changed word takes away; the latter, of templates
+matched by pairs, only with the opening pair ("licensed under") and in those of ``LEAST`` pairs. So prose that only names a
+license ("about the mit license") has too little of a notice. One of them must be a k-gram that only templates of this label have. And the span must be no longer than the template allows;
 where a merged run is longer, its diagonals are verified one by one. Verified templates give labels beside the base
 phrases; score is the best share of a template found, or 1 for a base phrase.
 
@@ -67,6 +68,8 @@ SHORT = 10
 SLACK = 3
 #: Verified: this share of a template's k-grams, in a span of at most this many times its words.
 SHARE, STRETCH = 0.75, 1.5
+#: k-grams of a short template that may lack those of a changed word.
+LEAST = 5
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -141,12 +144,13 @@ def spans(hits: DataFrame) -> DataFrame:
     runs = lines.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(w))
 
     def sure(x: Column) -> Column:
-        enough = (x["n"] >= SHARE * F.col("grams")) | (x["n"] >= F.greatest(F.col("grams") - F.col("width"), F.lit(2)))
+        spared = (F.col("width") > 2) | (x["opens"] & (F.col("grams") >= LEAST))
+        enough = (x["n"] >= SHARE * F.col("grams")) | (spared & (x["n"] >= F.col("grams") - F.col("width")))
         return enough & x["telling"] & (x["end"] - x["start"] <= STRETCH * F.col("t_words"))
 
-    line = F.struct(F.col("lo").alias("start"), (F.col("hi") + F.col("width")).alias("end"), F.size("places").alias("n"), "telling")
+    line = F.struct(F.col("lo").alias("start"), (F.col("hi") + F.col("width")).alias("end"), F.size("places").alias("n"), "telling", F.array_contains("places", 0).alias("opens"))
     merged = runs.groupBy(*key, "run").agg(
-        F.struct(F.min("lo").alias("start"), (F.max("hi") + F.max("width")).alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.max("telling").alias("telling")).alias("whole"),
+        F.struct(F.min("lo").alias("start"), (F.max("hi") + F.max("width")).alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.max("telling").alias("telling"), F.max(F.array_contains("places", 0)).alias("opens")).alias("whole"),
         F.collect_list(line).alias("lines"),
     )
     found = F.when(sure(F.col("whole")), F.array("whole")).otherwise(F.filter("lines", sure))

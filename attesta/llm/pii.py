@@ -1,8 +1,12 @@
 """Personal data by bootstrapped contextual extraction (operator 8), built-in functions only.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers; these seed entities induce lexical patterns:
-the two words before, the two words after, the word on either side, and the word before alone if it ends as a label
-does (``:``, ``=``, ``#``). Patterns don't depend on a value's form, so they reach identifiers of other forms than the
+the two words before, the two words after, the word on either side, the word before alone if it ends as a label
+does (``:``, ``=``, ``#``), and each longer word among the last three before, whatever stands between. The last kind
+reaches other wordings than the seeds' ("call us on" beside "call me at"). It asks for twice the seeds and a word nine in ten
+of whose places around values are so near before one, so that words of the subject at hand, which stand near and far
+alike, say nothing; then a lower confidence will do, as unseen wordings are what it is for. For a value's own score, its
+words count as the best of them. Patterns don't depend on a value's form, so they reach identifiers of other forms than the
 seeds'. Candidates of the same corpus hang on the same patterns: number groups of seven digits or more, tokens of six
 characters or more that mix letters and digits, and addresses that the base doesn't take (no dot in the host, or
 ``(at)``). Over this graph of patterns and values scores pass to and fro: a pattern's confidence is the mean score of
@@ -42,6 +46,10 @@ MIN_DIGITS, MAX_DIGITS = 7, 24
 ROUNDS = 3
 #: A pattern counts with so many distinct seed values and such a confidence; a value counts by itself with the last.
 MIN_SEEDS, CONFIDENCE, VALUE_SCORE = 5, 0.9, 0.99
+#: Words before a value that are patterns by themselves: so many, of so many letters at least; they start with ``MARK``.
+REACH, LETTERS, MARK = 3, 4, "~"
+#: Such a word counts with this confidence, if it stands so many times as often near before values as elsewhere around them.
+ALONE, NEARER = 0.7, 9
 #: What the score of a value that isn't a seed counts for in its patterns: without it, patterns and values that only
 #: know each other would talk each other up.
 TRUST = 0.5
@@ -94,49 +102,77 @@ def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return df.select("doc_id", "base", F.concat(apart("_all", F.col("_taken")), "_adr").alias("cand"))
 
 
+def _word(w: Column) -> Column:
+    """A word's letters in lower case, with a label's sign at its end: it says that a value follows. One without is ``#``."""
+    return F.coalesce(F.nullif(F.concat(F.regexp_replace(F.lower(w), r"[^\p{L}\p{M}]++", ""), F.regexp_extract(w, r"[:=#]\z", 0)), F.lit("")), F.lit("#"))
+
+
+def _split(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s++"), lambda w: w != "")
+
+
+def _alone(words: Column) -> Column:
+    """The patterns of single words, distinct."""
+    bare = F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{M}]++", ""))
+    return F.array_distinct(F.transform(F.filter(bare, lambda w: F.char_length(w) >= LETTERS), lambda w: F.concat(F.lit(MARK), w)))
+
+
 def patterns_of(left: Column, right: Column) -> Column:
-    """The patterns around a value, as texts. A word keeps its letters in lower case; one without is ``#``."""
-    # Words ending in a label's sign keep it: it says that a value follows
-    word = lambda w: F.coalesce(F.nullif(F.concat(F.regexp_replace(F.lower(w), r"[^\p{L}\p{M}]++", ""), F.regexp_extract(w, r"[:=#]\z", 0)), F.lit("")), F.lit("#"))
-    split = lambda t: F.filter(F.split(t, r"\s++"), lambda w: w != "")
+    """The patterns around a value, as texts."""
 
     def build(x: Column) -> Column:
-        before, after = F.slice(F.reverse(x["l"]), 1, 2), F.slice(x["r"], 1, 2)
-        l1, l2, r1, r2 = (word(F.get(a, i)) for a, i in ((before, 0), (before, 1), (after, 0), (after, 1)))
-        two_left, two_right = F.size(before) == 2, F.size(after) == 2
+        before, after = F.slice(F.reverse(x["l"]), 1, REACH), F.slice(x["r"], 1, 2)
+        l1, l2, r1, r2 = (_word(F.get(a, i)) for a, i in ((before, 0), (before, 1), (after, 0), (after, 1)))
+        two_left, two_right = F.size(before) >= 2, F.size(after) == 2
         rules = F.array(
             F.when(two_left, F.concat(F.lit("<<"), l2, F.lit(" "), l1)), F.when(two_right, F.concat(F.lit(">>"), r1, F.lit(" "), r2)),
             F.when((F.size(before) > 0) & (F.size(after) > 0), F.concat(F.lit("<>"), l1, F.lit(" "), r1)), F.when(F.rlike(l1, F.lit(r"\p{L}[:=#]\z")), F.concat(F.lit("<"), l1)),
         )
         # A pattern of no word at all says nothing
-        return F.filter(rules, lambda p: p.isNotNull() & F.rlike(p, F.lit(r"\p{L}")))
+        return F.concat(F.filter(rules, lambda p: p.isNotNull() & F.rlike(p, F.lit(r"\p{L}"))), _alone(before))
 
     # bound once: the words are used in several rules
-    return F.get(F.transform(F.array(F.struct(split(left).alias("l"), split(right).alias("r"))), build), 0)
+    return F.get(F.transform(F.array(F.struct(_split(left).alias("l"), _split(right).alias("r"))), build), 0)
+
+
+def farther(left: Column, right: Column) -> Column:
+    """The single words around a value that aren't among the last before it, as patterns_of() writes them."""
+    before = F.reverse(_split(left))
+    return F.array_except(_alone(F.concat(F.slice(before, F.lit(REACH + 1), F.size(before)), _split(right))), _alone(F.slice(before, 1, REACH)))
 
 
 def instances(found: DataFrame) -> DataFrame:
-    """A row per span of ``found`` (with _row) and pattern: _row, span, value (hash), pattern (hash), is_seed."""
+    """A row per span of ``found`` (with _row) and pattern: _row, span, value (hash), pattern (hash), alone (a single word's), is_seed."""
     each = found.select("_row", F.explode(F.concat("base", "cand")).alias("x"))
     return each.select(
         "_row", F.struct("x.kind", "x.ord", "x.start", "x.end").alias("span"), F.xxhash64("x.value").alias("value"),
         (F.col("x.kind") != "ctx").alias("is_seed"), F.explode(patterns_of(F.col("x.left"), F.col("x.right"))).alias("pattern"),
-    ).withColumn("pattern", F.xxhash64("pattern"))
+    ).select("_row", "span", "value", "is_seed", F.startswith("pattern", F.lit(MARK)).alias("alone"), F.xxhash64("pattern").alias("pattern"))
+
+
+def telling(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """pattern: of the single words those that stand among the last before a value ``NEARER`` times as often as elsewhere
+    around one. rows: the instances of ``found``. Counts are added up map-side, a row a word and task."""
+    near = rows.filter("alone").groupBy("pattern").agg(F.count(F.lit(1)).alias("near"))
+    each = found.select(F.explode(F.concat("base", "cand")).alias("x")).select(F.explode(farther(F.col("x.left"), F.col("x.right"))).alias("w"))
+    far = each.groupBy(F.xxhash64("w").alias("pattern")).agg(F.count(F.lit(1)).alias("far"))
+    return near.join(far, "pattern", "left").filter(F.col("near") >= NEARER * F.coalesce("far", F.lit(0))).select("pattern")
 
 
 def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """edges: distinct pattern, value, is_seed. Gives patterns (pattern, confidence, seeds) and values (value, score)."""
+    """edges: distinct pattern, value, is_seed, alone. Gives patterns (pattern, alone, confidence, seeds) and values (value, score)."""
     total = edges.count()
     degree = lambda key: heavy_keys(edges.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, "n", total)
     heavy_p, heavy_v = materialize(degree("pattern")), materialize(degree("value"))
     score = F.when(F.col("is_seed"), F.lit(1.0)).otherwise(F.lit(0.0))
     scored = edges.withColumn("score", score)
     for k in range(rounds):
-        patterns = scored.groupBy("pattern").agg((F.round(F.sum(F.round("score", 9)), 6) / (F.count(F.lit(1)) + 1)).alias("confidence"), F.count_if("is_seed").alias("seeds"))
+        patterns = scored.groupBy("pattern").agg((F.round(F.sum(F.round("score", 9)), 6) / (F.count(F.lit(1)) + 1)).alias("confidence"), F.count_if("is_seed").alias("seeds"), F.first("alone").alias("alone"))
         patterns = materialize(patterns)
         known = patterns.select("pattern", F.when(F.col("seeds") >= MIN_SEEDS, F.col("confidence")).otherwise(F.lit(0.0)).alias("confidence"))
         seen = skew_join(edges, known, "pattern", heavy_p)
-        doubt = F.exp(F.sum(F.log(F.lit(1.0) - F.col("confidence"))))
+        doubt = F.exp(F.sum(F.when(~F.col("alone"), F.log(F.lit(1.0) - F.col("confidence"))).otherwise(F.lit(0.0))))
+        doubt = doubt * (F.lit(1.0) - F.max(F.when(F.col("alone"), F.col("confidence")).otherwise(F.lit(0.0))))
         values = materialize(seen.groupBy("value").agg(F.round(F.lit(1.0) - doubt, 9).alias("score")))
         if k + 1 < rounds:
             scored = skew_join(edges, values, "value", heavy_v).withColumn("score", F.when(F.col("is_seed"), F.lit(1.0)).otherwise(F.col("score") * TRUST))
@@ -146,12 +182,14 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
 def discover(found: DataFrame) -> DataFrame:
     """_row and ctx, the discovered spans, for rows that have any."""
     rows = materialize(instances(found))
-    edges = materialize(rows.groupBy("pattern", "value").agg(F.max("is_seed").alias("is_seed")))
+    edges = materialize(rows.groupBy("pattern", "value").agg(F.max("is_seed").alias("is_seed"), F.first("alone").alias("alone")))
     # Candidates on patterns without seeds can't be vouched for.
-    able = edges.groupBy("pattern").agg(F.count_if("is_seed").alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS).select("pattern")
-    edges = materialize(edges.join(able, "pattern", "left_semi"))
+    able = edges.groupBy("pattern").agg(F.count_if("is_seed").alias("seeds"), F.first("alone").alias("alone"))
+    able = able.filter(F.col("seeds") >= F.when(F.col("alone"), 2 * MIN_SEEDS).otherwise(MIN_SEEDS))
+    able = able.join(telling(found, rows).withColumn("tells", F.lit(True)), "pattern", "left").filter("tells OR NOT alone").select("pattern")
+    edges = materialize(edges.join(able, "pattern", "left_semi").select("pattern", "value", "is_seed", "alone"))
     patterns, values = score_graph(edges)
-    sure = patterns.filter((F.col("confidence") >= CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS)).select("pattern")
+    sure = patterns.filter((F.col("confidence") >= F.when(F.col("alone"), ALONE).otherwise(CONFIDENCE)) & (F.col("seeds") >= MIN_SEEDS)).select("pattern")
     known = materialize(values.filter(F.col("score") >= VALUE_SCORE).select("value"))
     open_ = rows.filter(~F.col("is_seed"))
     told = open_.join(sure, "pattern", "left_semi").select("_row", "span").unionByName(open_.join(known, "value", "left_semi").select("_row", "span"))

@@ -313,7 +313,7 @@ def plain_found(text):
         def spans(part, t=t, k=k, grams=grams):
             places = {j for _, hit, _ in part for j in hit}
             start, end = min(d + hit[0] for d, hit, _ in part), max(d + hit[-1] for d, hit, _ in part) + k
-            enough = len(places) >= 0.75 * grams or len(places) >= max(grams - k, 2)
+            enough = len(places) >= 0.75 * grams or ((k > 2 or (0 in places and grams >= 5)) and len(places) >= grams - k)
             return (start, end, round(len(places) / grams, 6)) if enough and any(x[2] for x in part) and end - start <= 1.5 * len(t) else None
 
         for run in runs:
@@ -365,6 +365,16 @@ def test_license_edits(spark):
     assert sum(kept) >= 0.9 * len(kept)
 
 
+def test_license_prose(spark):
+    """Prose that names licenses has no label beyond the base; notices in other words have."""
+    prose = ["he slept under the mit roof", "we compared the mit license with others", "he gave a talk about the bsd license", "the gpl version 2 came before the gpl version 3", "an apache license version, or a boost software one", "the gnu lesser public license is long"]
+    notices = [("released under the MIT License.", "mit"), ("Distributed under the BSD license", "bsd"), ("It is licensed under the GPL, version 3", "gpl"), ("licensed under CC BY-SA 4.0", "cc-by-sa")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*prose, *(t for t, _ in notices)])], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"].split(",") for r in license_scan.query(df).collect()}
+    assert all(got[i] == [""] for i in range(len(prose)))
+    assert all(label in got[len(prose) + i] for i, (_, label) in enumerate(notices))
+
+
 # --- personal data ---
 
 
@@ -466,7 +476,21 @@ def plain_patterns(text, start, end):
     b, a = [word(w) for w in before], [word(w) for w in after]
     out = ([f"<<{b[1]} {b[0]}"] if len(b) == 2 else []) + ([f">>{a[0]} {a[1]}"] if len(a) == 2 else []) + ([f"<>{b[0]} {a[0]}"] if a and b else [])
     out += [f"<{b[0]}"] if b and re.search(r"[^\W\d_][:=#]$", b[0]) else []
-    return [p for p in out if re.search(r"[^\W\d_]", p)]
+    return [p for p in out if re.search(r"[^\W\d_]", p)] + sorted(plain_alone(text[:start].split()[-3:]))
+
+
+def plain_alone(words):
+    return {f"~{w}" for w in (re.sub(r"[\W\d_]+", "", w.lower()) for w in words) if len(w) >= 4}
+
+
+def plain_telling(rows):
+    near, far = Counter(), Counter()
+    for t, spans in rows:
+        for s, e, _ in spans:
+            before, after = t[:s].split()[::-1], t[e:].split()
+            near.update(own := plain_alone(before[:3]))
+            far.update(plain_alone(before[3:] + after) - own)
+    return {p for p, n in near.items() if n >= 9 * far[p]}
 
 
 def plain_ctx(rows):
@@ -478,18 +502,23 @@ def plain_ctx(rows):
     for _, _, v, p, seed in inst:
         edges[p, v] = edges.get((p, v), False) or seed
     seeds = Counter(p for (p, _), s in edges.items() if s)
-    edges = {k: s for k, s in edges.items() if seeds[k[0]] >= pii.MIN_SEEDS}
+    tells = plain_telling(rows)
+    able = lambda p: (p in tells and seeds[p] >= 10) if p[0] == "~" else seeds[p] >= 5
+    edges = {k: s for k, s in edges.items() if able(k[0])}
     score = {k: 1.0 if s else 0.0 for k, s in edges.items()}
     for _ in range(pii.ROUNDS):
         conf = {}
         for p in {p for p, _ in edges}:
-            own = [score[k] for k in edges if k[0] == p]
-            conf[p] = sum(own) / (len(own) + 1)
-        values = {v: 1 - math.prod(1 - conf[p] for p, w in edges if w == v) for _, v in edges}
+            mine = [score[k] for k in edges if k[0] == p]
+            conf[p] = sum(mine) / (len(mine) + 1)
+        own = defaultdict(list)
+        for p, v in edges:
+            own[v].append(p)
+        values = {v: 1 - math.prod(1 - conf[p] for p in ps if p[0] != "~") * (1 - max((conf[p] for p in ps if p[0] == "~"), default=0)) for v, ps in own.items()}
         score = {(p, v): 1.0 if s else values[v] * pii.TRUST for (p, v), s in edges.items()}
     out = defaultdict(set)
     for i, span, v, p, seed in inst:
-        if not seed and (conf.get(p, 0) >= pii.CONFIDENCE or values.get(v, 0) >= pii.VALUE_SCORE):
+        if not seed and (conf.get(p, 0) >= (0.7 if p[0] == "~" else pii.CONFIDENCE) or values.get(v, 0) >= pii.VALUE_SCORE):
             out[i].add(span)
     return out
 
@@ -523,6 +552,28 @@ def test_context_graph(spark):
     assert [rows[i][s:e] for i in range(120, 125) for s, e in sorted(got[i])][1].startswith("017 ")
 
 
+def test_context_in_other_words(spark):
+    """Unseen numbers in wordings that no seed has are found by a word they share with the seeds'; numbers elsewhere aren't, nor by words
+    that stand anywhere around."""
+    import random
+
+    rng = random.Random(4)
+    num = lambda k: "".join(rng.choices("0123456789", k=k))
+    pick = lambda *a: rng.choice(a)
+    fill = lambda n: " ".join(rng.choices(["garden", "winter", "house", "market", "river", "paper", "music"], k=n))
+    seeds = [f"{fill(9)} call {pick('me', 'her')} at +1 {num(3)} {num(3)} {num(4)} today {fill(9)}" for _ in range(200)]
+    varied = [f"{fill(9)} {pick('please call', 'so call', 'call')} {pick('us', 'them', 'him')} {pick('on', 'by')} {num(9)} {pick('now', 'soon')} {fill(9)}" for _ in range(100)]
+    others = [f"{fill(8)} {pick('weighs', 'garden', 'order', 'market')} {pick('item', 'the', 'about')} {num(9)} {fill(9)}" for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(seeds + varied + others)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["n_ctx"] for r in pii.query(docs).collect()}
+    assert sum(got[i] == 1 for i in range(200, 300)) == 100
+    assert not any(got[i] for i in range(300, 500))
+    rows = list(enumerate(seeds + varied + others))
+    found = {r["doc_id"]: r for r in pii.detect(docs).collect()}
+    want = plain_ctx([(t, [(x["start"], x["end"], x["kind"] != "ctx") for x in [*found[i]["base"], *found[i]["cand"]]]) for i, t in rows])
+    assert {i for i, n in got.items() if n} == set(want)
+
+
 def test_ownership(spark):
     shared, own = "token = ZZexampleValue1234", "token = MineOnlyValue98765"
     rows = [(i, shared, "en", f"s{i}") for i in range(5)] + [(9, own, "en", "s1"), (10, own, "en", "s1"), (11, f"see Abcdefgh1234567890IJKLMNOPQR and {shared}", "en", "s2")]
