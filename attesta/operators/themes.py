@@ -14,6 +14,7 @@ from .. import lexicon as L
 from ..config import DEFAULT, Settings
 from ..functions import text as T
 from ..tables import materialize
+from . import naming
 from .index import with_idf
 
 
@@ -149,7 +150,7 @@ def merge(themes: Column, cfg: Settings = DEFAULT) -> Column:
 def discover_themes(chunks: DataFrame, key: str = "chunk_id", cfg: Settings = DEFAULT, namer: Callable[[list[str], list[str]], list[str] | None] | None = None) -> DataFrame:
     """theme_id, theme: the final themes of a corpus.
 
-    namer: optional, called on the driver with the merged phrases and the first 20 chunk texts; its names
+    namer: optional, called on the driver with the merged phrases and the first 20 chunk texts (naming.by_asking makes one); its names
     replace the phrases if the flag allows it and it gives any. It is never part of a Spark task.
     """
     listed = shortlist(ranked(phrase_scores(chunks, key, cfg)), cfg)
@@ -157,7 +158,7 @@ def discover_themes(chunks: DataFrame, key: str = "chunk_id", cfg: Settings = DE
     raw = merged.select(F.slice("m", 1, max(2 * cfg.themes, 10)).alias("m"))
     if namer is not None and cfg.is_enabled("llm_theme_synthesis"):
         phrases = raw.first()["m"]
-        named = namer(phrases, [r["text"] for r in chunks.select("text").limit(20).collect()]) if phrases else None
+        named = namer(phrases, naming.sample(chunks, key)) if phrases else None
         if named:
             rows = [(i, t) for i, t in enumerate(named[: cfg.themes])]
             return chunks.sparkSession.createDataFrame(rows, "theme_id int, theme string")

@@ -66,6 +66,12 @@ def strength(value: Column, cfg: Settings = DEFAULT) -> Column:
     return F.when(value >= cfg.badge_strong, top).when(value >= cfg.badge_moderate, mid).otherwise(low)
 
 
+def consistency(up: Column, down: Column, cfg: Settings = DEFAULT) -> Column:
+    """How far the directions of a theme's spans agree, from how many rise and how many fall."""
+    agreed = F.when(up + down >= 2, cfg.consistency_agreed).when(up + down == 1, cfg.consistency_single).otherwise(cfg.consistency_none)
+    return F.when((up > 0) & (down > 0), 0.0).otherwise(agreed)
+
+
 def confidence(reviewed: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Per theme with a candidate selected: counts, contradiction, score, band and breakdown over its valid spans."""
     ok = is_valid()
@@ -78,11 +84,7 @@ def confidence(reviewed: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
         F.count_if(F.col("_pol") == "positive").alias("_up"), F.count_if(F.col("_pol") == "negative").alias("_down"),
         F.count_distinct(F.when(F.col("_ok"), F.nullif(F.col("source_document"), F.lit("")))).alias("_src"),
     )
-    directed = F.col("_up") + F.col("_down")
-    steady = (
-        F.when((F.col("_up") > 0) & (F.col("_down") > 0), 0.0).when(directed >= 2, cfg.consistency_agreed)
-        .when(directed == 1, cfg.consistency_single).otherwise(cfg.consistency_none)
-    )
+    steady = consistency(F.col("_up"), F.col("_down"), cfg)
     sources = F.greatest(F.col("_src"), F.lit(1))
     diverse = F.when(sources >= 3, cfg.diversity_three).when(sources == 2, cfg.diversity_two).otherwise(0.0)
     if not cfg.is_enabled("source_diversity_bonus"):

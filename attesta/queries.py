@@ -20,6 +20,7 @@ from .operators import segment, themes, verify
 from .operators.stored import StoredIndex
 from .plans import analyse as A
 from .sources import readers, sinks
+from .streaming import contradiction
 from .tables import materialize, new_folder, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -547,6 +548,25 @@ def q28(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("g").agg((F.bool_or(F.col("p") == "positive") & F.bool_or(F.col("p") == "negative")).alias("contradiction"))
 
 
+@_query(
+    "q56_contradiction_stream",
+    f"""WITH {TEMPLATED_SQL}, p AS (SELECT k % 500 AS theme_id, {_polarity('text')} AS p FROM t), n AS (SELECT theme_id, count(*) FILTER (p = 'positive') AS up, count(*) FILTER (p = 'negative') AS down FROM p GROUP BY theme_id)
+SELECT theme_id, up, down, up > 0 AND down > 0 AS contradiction, CAST(CASE WHEN up > 0 AND down > 0 THEN 0.0 WHEN up + down >= 2 THEN {DEFAULT.consistency_agreed} ELSE {DEFAULT.consistency_single} END AS DOUBLE) AS consistency FROM n WHERE up + down > 0""",
+)
+def q56(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of q28 as a stream in which each comes twice, in batches of a few files."""
+    rows = _table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") % 500).alias("theme_id"), F.col("o_orderkey").cast("string").alias("span_id"), F.expr(TEMPLATE).alias("text"), F.col("o_orderdate").cast("timestamp").alias("ts"),
+    )
+    source = new_folder(spark)
+    rows.withColumn("_n", F.explode(F.array(F.lit(1), F.lit(2)))).repartition(8).write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(source)
+    out = new_folder(spark)
+    changed = contradiction.changes(stream, late="10000 days").writeStream.format("parquet").outputMode("append").option("checkpointLocation", new_folder(spark))
+    changed.trigger(availableNow=True).start(out).awaitTermination()
+    return contradiction.settled(spark.read.schema(contradiction.CHANGES).parquet(out))
+
+
 _CONF = ["score", "band", "c_semantic", "c_lexical", "c_consistency", "c_span_count", "c_source_diversity"]
 
 
