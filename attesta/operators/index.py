@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions import text as T
 from ..tables import materialize
-from .segment import with_hygiene
+from .segment import with_hygiene, with_verdict
 
 
 def tally(grams: Column) -> Column:
@@ -58,8 +58,12 @@ class Index:
     postings: DataFrame  # span_seq, term, tf, w
     terms: DataFrame  # term, df, idf
     norms: DataFrame  # span_seq, nrm
+    #: If not null, ``spans`` holds each text once, under a number of its own; these are the spans that have the texts.
+    copies: DataFrame | None = None
 
     def save(self, path: str) -> None:
+        if self.copies is not None:
+            raise ValueError("An index for given themes isn't kept; build one of all spans.")
         for name in ("spans", "postings", "terms", "norms"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
@@ -68,6 +72,10 @@ class Index:
         return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("spans", "postings", "terms", "norms")))
 
 
+#: Vocabularies up to this many terms are sent to all executors.
+FEW_TERMS = 500_000
+
+
 def _weighted(spans: DataFrame, counts: DataFrame, terms: DataFrame) -> Index:
     postings = materialize(counts.join(terms.select("term", "idf"), "term").select("span_seq", "term", "tf", (F.col("tf") * F.col("idf")).alias("w")))
     norms = postings.groupBy("span_seq").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
@@ -83,26 +91,36 @@ def build_index(spans: DataFrame, themes: DataFrame | None = None, cfg: Settings
     return _weighted(spans, term_counts(spans, "span_seq", cfg=cfg), terms)
 
 
+def _text_key(spans: DataFrame) -> list[str]:
+    """What spans must share to score and pass alike: the text, and the verdict if they bring one."""
+    return ["text", *(c for c in ("eligible",) if c in spans.columns)]
+
+
 def index_for(spans: DataFrame, themes: DataFrame, cfg: Settings = DEFAULT) -> Index:
-    """The part of the index that ``themes`` need, with the scores of the whole: spans that share a term with
-    a theme, and the frequencies, over all spans, of these spans' terms.
+    """The part of the index that ``themes`` need, with the scores of the whole: texts that share a term with
+    a theme, and the frequencies, over all spans, of these texts' terms.
 
-    A first pass takes out the near spans; a second counts only their terms. An empty string stands for a
-    span in the count, so that N comes with the same pass.
+    Spans of one text score alike, so each text is worked on once and counts as often as it occurs. A first pass
+    takes out the near texts; a second counts only their terms.
     """
     wanted = F.broadcast(theme_terms(themes, cfg).agg(F.collect_set("term").alias("_wanted")))  # a few words a theme
-    maybe = F.exists("_wanted", lambda w: F.contains(F.lower("text"), w))
     grams = T.ngrams(T.tokens(F.col("text"), cfg), 2)
-    near = spans.crossJoin(wanted).filter(maybe).withColumn("_counts", tally(grams))
-    near = materialize(near.filter(F.exists("_counts", lambda c: F.array_contains("_wanted", c["term"]))).drop("_wanted"))
+    # Written, so that the numbers stay
+    texts = materialize(spans.groupBy(*_text_key(spans)).agg(F.count(F.lit(1)).alias("_n")).withColumn("span_seq", F.monotonically_increasing_id()))
+    maybe = F.exists("_wanted", lambda w: F.contains(F.lower("text"), w))
+    near = texts.crossJoin(wanted).filter(maybe).filter(F.arrays_overlap(grams, "_wanted"))
+    near = materialize(near.withColumn("_counts", tally(grams)).drop("_wanted", "_n"))
     counts = near.select("span_seq", F.explode("_counts").alias("c")).select("span_seq", "c.term", "c.tf")
-    vocabulary = counts.select("term").distinct().union(themes.sparkSession.createDataFrame([("",)], "term string"))
-    # Written, so that its size is known: it is broadcast if small, else joined by shuffle
-    vocabulary = materialize(vocabulary)
-    seen = spans.select(F.explode(F.concat(F.array_distinct(grams), F.array(F.lit("")))).alias("term"))
-    frequency = materialize(seen.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    total = frequency.filter("term = ''").agg(F.coalesce(F.max("df"), F.lit(0).cast("long")).alias("n"))
-    return _weighted(near.drop("_counts"), counts, with_idf(frequency.filter("term <> ''"), total))
+    vocabulary = materialize(counts.select("term").distinct())
+    seen = texts.select("_n", F.explode(F.array_distinct(grams)).alias("term"))
+    if vocabulary.count() <= FEW_TERMS:
+        frequency = seen.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").agg(F.sum("_n").alias("df"))
+    else:
+        # Summed before the shuffle, not each occurrence sent
+        frequency = seen.groupBy("term").agg(F.sum("_n").alias("df")).join(vocabulary, "term", "left_semi")
+    total = texts.agg(F.coalesce(F.sum("_n"), F.lit(0).cast("long")).alias("n"))
+    made = _weighted(near.drop("_counts"), counts, with_idf(materialize(frequency), total))
+    return Index(made.spans, made.postings, made.terms, made.norms, spans)
 
 
 def theme_terms(themes: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
@@ -141,22 +159,30 @@ def retrieve(index: Index, themes: DataFrame, k: int | None = None, min_score: f
     """
     k, least = cfg.top_k if k is None else k, cfg.min_score if min_score is None else min_score
     scored = materialize(similarities(index, themes, cfg).filter(F.col("score") >= least))
-    by_theme = Window.partitionBy("theme_id").orderBy(F.round("score", 9).desc(), "span_seq")
+    by_span = Window.partitionBy("theme_id").orderBy(F.round("score", 9).desc(), "span_seq")
+    # Texts have no position: those that score alike share a place and all stay, until their spans are ranked
+    place = F.row_number().over(by_span) if index.copies is None else F.rank().over(Window.partitionBy("theme_id").orderBy(F.round("score", 9).desc()))
 
     def best(rows: DataFrame) -> DataFrame:
         near = rows.join(index.spans, "span_seq")
         if "eligible" not in near.columns:
             # Written before the filter: pushed down, it would clean a text anew for every test
-            near = materialize(with_hygiene(near, cfg))
-        return near.filter("eligible").withColumn("retrieval_rank", F.row_number().over(by_theme)).filter(F.col("retrieval_rank") <= k)
+            near = materialize(with_hygiene(near, cfg) if index.copies is None else with_verdict(near, cfg))
+        return near.filter("eligible").withColumn("retrieval_rank", place).filter(F.col("retrieval_rank") <= k)
 
     # Cleaning is the costly part, and the first few spans nearly always hold k eligible ones
     some = max(1, k * FIRST_LOOK)
-    found = materialize(best(scored.withColumn("_place", F.row_number().over(by_theme)).filter(F.col("_place") <= some).drop("_place")))
+    found = materialize(best(scored.withColumn("_place", place).filter(F.col("_place") <= some).drop("_place")))
     more = scored.groupBy("theme_id").count().filter(F.col("count") > some).select("theme_id")
     more = materialize(more.join(found.groupBy("theme_id").count().filter(F.col("count") >= k), "theme_id", "left_anti"))
     if not more.isEmpty():
         found = found.join(more, "theme_id", "left_anti").unionByName(best(scored.join(more, "theme_id", "left_semi")))
+    if index.copies is not None:
+        key = _text_key(index.copies)
+        each = index.copies.join(materialize(found.select("theme_id", "score", *key)), key)
+        found = each.withColumn("retrieval_rank", F.row_number().over(by_span)).filter(F.col("retrieval_rank") <= k)
+        if "eligible" not in found.columns:
+            found = with_hygiene(materialize(found), cfg)
     return candidates(found, themes, k, cfg)
 
 

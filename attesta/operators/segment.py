@@ -70,11 +70,15 @@ def records(rows: DataFrame, row_number: str = "_row_number") -> tuple[DataFrame
     return chunked, cells.withColumn("span_id", F.format_string("%s_s%02d", "chunk_id", "span_no")).withColumn("span_seq", _seq())
 
 
+def with_verdict(texts: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """clean_text and eligible of every text: what needs no more than the text."""
+    out = texts.withColumn("clean_text", T.clean_evidence(F.col("text"), cfg))
+    return out.withColumn("eligible", T.is_eligible(F.col("clean_text"), cfg))
+
+
 def with_hygiene(span_rows: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """clean_text, eligible, evidence_type and polarity of every span, once for all themes. Works on streams."""
-    out = span_rows.withColumn("clean_text", T.clean_evidence(F.col("text"), cfg))
-    return out.withColumns({
-        "eligible": T.is_eligible(F.col("clean_text"), cfg),
+    return with_verdict(span_rows, cfg).withColumns({
         "evidence_type": T.evidence_type(F.col("clean_text"), F.col("source_document")),
         "polarity": T.polarity(F.col("clean_text")),
     })

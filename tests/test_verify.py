@@ -153,3 +153,17 @@ def test_frequent_phrases(spark):
     top = sorted(total, key=lambda g: (-total[g], g))[:12]
     want = Counter((k, g, n) for (k, _), gs in zip(rows, grams, strict=True) for g, n in Counter(gs).items() if g in top)
     assert Counter((r["k"], r["term"], r["tf"]) for r in TH.frequent_phrases(df, "k", cfg).collect()) == want
+
+
+def test_copies_are_worked_on_once(spark):
+    """Spans of one text are one row of a theme's index, and give the spans and scores that an index of all spans gives; texts that are null count."""
+    kinds = [f"Rent arrears rose by {n} percent in the whole of the year." for n in range(4)] + ["Rent arrears", "Bills were low this winter.", "Arrears of bills were paid by rent.", None]
+    spans = spark.createDataFrame([(i, kinds[i * i % 11 % 8], f"s{i}", "c", 1, "a.txt") for i in range(400)], "span_seq long, text string, span_id string, chunk_id string, page_number int, source_document string")
+    themes = spark.createDataFrame([(0, "Rent Arrears"), (1, "Bills"), (2, "Zebra")], "theme_id int, theme string")
+    for rows in (spans, segment.with_hygiene(spans)):
+        few = I.build_index(rows, themes)
+        texts = [r["text"] for r in few.spans.collect()]
+        assert len(texts) == len(set(texts)) <= 7
+        for k in (1, 3, 90):
+            got, want = (sorted(tuple(r) for r in I.retrieve(x, themes, k=k).collect()) for x in (few, I.build_index(rows)))
+            assert got == want and got
