@@ -3,7 +3,7 @@
 **Layout.** An index is a folder of segments, each with three tables. ``postings``: the postings of a term in blocks of about
 ``BLOCK`` spans of like weight, each with its largest; bucketed by term (and by a part of it, so that a frequent term isn't
 one bucket), in the order of term and weight. ``terms``: what the segment adds to a term's document frequency, and the idf it
-had then; bucketed by term. ``spans``: texts, hygiene columns and term counts; bucketed and ordered by span_id, with Bloom
+had then; bucketed by term. ``spans``: texts and hygiene columns; bucketed and ordered by span_id, with Bloom
 filters, so that a lookup reads few row groups. Tables are read by their buckets: neither postings nor terms nor spans are
 shuffled to be joined; what is asked for is. Spans that can't be evidence count in frequencies but have no postings.
 
@@ -11,7 +11,7 @@ shuffled to be joined; what is asked for is. Spans that can't be evidence count
 products of weights. The best blocks of a theme give k spans and so a least score. A span not seen scores at most the sum,
 over the theme's terms, of what their unread blocks allow; with one level for all terms, as high as that sum stays under the
 least score, all blocks under the level are left unread, and terms that never reach it aren't opened at all. Spans found are scored
-exactly, by their own counts and the frequencies of now.
+exactly, by the terms of their texts and the frequencies of now.
 
 **Changes.** ``update`` writes one more segment: new versions of changed spans, marks for deleted ones, and differences of
 frequencies. It reads the old versions by id, and the terms of those and of the new ones. Weights of older segments are then
@@ -34,7 +34,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..config import DEFAULT, Settings
 from ..functions import text as T
-from ..tables import materialize
+from ..tables import mark, materialize, release, tidy
 from . import index as I
 from .segment import with_hygiene
 
@@ -51,13 +51,15 @@ FIRST = 8
 PUSHED = 500
 #: Bytes of a row group of spans: lookups read whole ones.
 GROUP_BYTES = 1 << 20
+#: Ids of a row group, about: without this number each has a Bloom filter of its own size.
+GROUP_IDS = 1 << 14
 #: Scores are ordered by nine decimals; sums of products may differ in the last of them.
 SLACK = 4e-9
 
 META = "version int, segment int, spans long, total long, floor double, buckets int, columns string"
 TERMS = "term string, change long, df long, idf double"
 POSTINGS = "term string, part int, layer int, salt long, top double, n long, spans array<struct<span_id:string,x:double>>"
-KEPT = ("span_seq", "chunk_id", "page_number", "source_document", "text", "clean_text", "eligible", "evidence_type", "polarity", "counts")
+KEPT = ("span_seq", "chunk_id", "page_number", "source_document", "text", "clean_text", "eligible", "evidence_type", "polarity")
 
 
 @dataclass(frozen=True)
@@ -75,6 +77,13 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def _any(tests: list[Column]) -> Column:
+    """Whether one of the tests holds; halved, so that a long list isn't a deep expression."""
+    if len(tests) < 2:
+        return tests[0] if tests else F.lit(False)
+    return _any(tests[: len(tests) // 2]) | _any(tests[len(tests) // 2 :])
+
+
 def _idf(total: int | Column, df: Column) -> Column:
     return F.log((F.lit(1.0) + total) / (F.lit(1.0) + df)) + 1.0
 
@@ -114,9 +123,10 @@ class StoredIndex:
         self.spark.createDataFrame(rows, META).coalesce(1).write.mode("append").json(f"{self.path}/meta")
         return StoredIndex(self.spark, self.path, parts, self.version + 1, self.buckets, self.cfg, self.columns)
 
-    def _save(self, rows: DataFrame, segment: int, name: str, keys: list[str], order: list[str], options: dict[str, str] | None = None) -> None:
+    def _save(self, rows: DataFrame, segment: int, name: str, keys: list[str], order: list[str], options: dict[str, str] | None = None, dealt: bool = False) -> None:
+        """dealt: the rows are parted by buckets already."""
         table = f"attesta_{uuid.uuid4().hex}"
-        dealt = rows.repartition(self.buckets, *keys)
+        dealt = rows if dealt else rows.repartition(self.buckets, *keys)
         dealt.write.format("parquet").options(**(options or {})).bucketBy(self.buckets, *keys).sortBy(*order).option("path", f"{self.path}/{segment}/{name}").saveAsTable(table)
         self.spark.sql(f"DROP TABLE {table}")  # the files stay
 
@@ -155,7 +165,7 @@ class StoredIndex:
             rows = self.table(p.segment, "spans")
             if len(few) <= PUSHED:
                 # Equalities, which reach the Bloom filters; of a longer list only the range would
-                wanted = reduce(lambda a, b: a | b, (F.col("span_id") == i for i in few), F.lit(False))
+                wanted = _any([F.col("span_id") == i for i in few])
                 rows = rows.filter(wanted)
             else:
                 rows = rows.join(ids, "span_id", "left_semi")
@@ -169,7 +179,7 @@ class StoredIndex:
     def lookup(self, ids: DataFrame) -> DataFrame:
         """The spans of the given ids (span_id); unknown and deleted ones drop out."""
         wanted = materialize(ids.select("span_id").filter("span_id is not null").distinct())
-        return self._versions(wanted).filter("not deleted").drop("deleted", "segment", "counts")
+        return self._versions(wanted).filter("not deleted").drop("deleted", "segment")
 
     def frequencies(self, terms: DataFrame) -> DataFrame:
         """term, df and idf of the given terms (term, without repeats) that any span has now."""
@@ -182,31 +192,46 @@ class StoredIndex:
     def update(self, changed: DataFrame | None = None, deleted: DataFrame | None = None) -> StoredIndex:
         """The index with new or changed spans (as for build) put in and others (span_id) taken out; a changed span that is
         deleted as well stays. Reads the old versions of these spans and the terms they have or had."""
+        since = mark()
+        with tidy(self.spark):
+            made = self._updated(changed, deleted)
+        release(self.spark, since)
+        return made
+
+    def _updated(self, changed: DataFrame | None, deleted: DataFrame | None) -> StoredIndex:
         segment = max((p.segment for p in self.parts), default=-1) + 1
-        rows = self._prepared(changed) if changed is not None else None
-        named = [df.select("span_id") for df in (rows, deleted) if df is not None]
-        ids = materialize(_union(named).filter("span_id is not null").distinct())
-        old = materialize(self._versions(ids).filter("not deleted").select("span_id", "counts")) if self.parts else None
-        gone = old.select("span_id") if old is not None and rows is None else None
-        if old is not None and rows is not None:
-            gone = old.select("span_id").join(rows.select("span_id"), "span_id", "left_anti")
-        added, removed = (rows.count() if rows is not None else 0), (old.count() if old is not None else 0)
-        total = self.total + added - removed
+        named = [df.select("span_id") for df in (changed, deleted) if df is not None]
+        old = gone = None
+        if self.parts:
+            ids = materialize(_union(named).filter("span_id is not null").distinct())
+            old = materialize(self._versions(ids).filter("not deleted").select("span_id", "text"))
+            gone = old.select("span_id")
+            if changed is not None:
+                gone = gone.join(changed.select("span_id").filter("span_id is not null").distinct(), "span_id", "left_anti")
 
         # Spans, with marks for those that go
         kept = []
-        if rows is not None:
-            kept.append(rows.withColumn("deleted", F.lit(False)))
+        if changed is not None:
+            kept.append(self._prepared(changed).withColumn("deleted", F.lit(False)))
         if gone is not None:
-            like = self._schema() if rows is None else kept[0].schema
+            like = self._schema() if changed is None else kept[0].schema
             blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in like if f.name not in ("span_id", "deleted")]
             kept.append(gone.select("span_id", *blank, F.lit(True).alias("deleted")))
+        if not kept:
+            kept.append(self.spark.createDataFrame([], self._schema()))
         columns = self.columns or kept[0].schema.toDDL()
-        options = {"parquet.block.size": str(GROUP_BYTES), "parquet.bloom.filter.enabled#span_id": "true", "parquet.page.size": str(1 << 16)}
-        self._save(_union(kept), segment, "spans", *self._KEYS["spans"], options)
+        options = {
+            "parquet.block.size": str(GROUP_BYTES), "parquet.page.size": str(1 << 16),
+            "parquet.bloom.filter.enabled#span_id": "true", "parquet.bloom.filter.expected.ndv#span_id": str(GROUP_IDS),
+        }
+        self._save(_union(kept), segment, "spans", *self._KEYS["spans"], options, dealt=gone is None and changed is not None)
+        made = StoredIndex(self.spark, self.path, self.parts, self.version, self.buckets, self.cfg, columns)
+        rows = made.table(segment, "spans").filter("not deleted")
+        added, removed = rows.count(), (old.count() if old is not None else 0)
+        total = self.total + added - removed
 
         # Frequencies: differences, and the idf with them
-        each = lambda df, n: df.select(F.explode("counts.term").alias("term"), F.lit(n).cast("long").alias("change"))
+        each = lambda df, n: df.select(F.explode(F.array_distinct(self._grams())).alias("term"), F.lit(n).cast("long").alias("change"))
         changes = [each(df, n) for df, n in ((rows, 1), (old, -1)) if df is not None]
         change = materialize(_union(changes).groupBy("term").agg(F.sum("change").alias("change")))
         if self.parts:
@@ -216,25 +241,29 @@ class StoredIndex:
             change = change.withColumn("df", F.col("change"))
         self._save(change.select("term", "change", "df", _idf(total, F.col("df")).alias("idf")), segment, "terms", *self._KEYS["terms"])
 
-        made = StoredIndex(self.spark, self.path, [*self.parts, Part(segment, added - removed, total, 1.0)], self.version, self.buckets, self.cfg, columns)
-        self._save(made._blocks(rows if rows is not None else self.spark.createDataFrame([], made._schema()), segment), segment, "postings", *self._KEYS["postings"])
+        made.parts = [*self.parts, Part(segment, added - removed, total, 1.0)]
+        self._save(made._blocks(rows, segment), segment, "postings", *self._KEYS["postings"], dealt=True)
         return made._commit([*(made._aged(p) for p in self.parts), made.parts[-1]])
 
     def _schema(self) -> StructType:
         return _parse_datatype_string(self.columns)
 
+    def _grams(self) -> Column:
+        """The terms of a span's text, as often as they occur: found anew where they are needed, as they take several times the room of the text."""
+        return T.ngrams(T.tokens(F.coalesce("text", F.lit("")), self.cfg), 2)
+
     def _prepared(self, spans: DataFrame) -> DataFrame:
-        """Spans with hygiene columns and term counts, one of each id; written."""
+        """Spans with hygiene columns, one of each id, parted by buckets."""
         rows = spans.filter("span_id is not null")
-        rows = rows if "eligible" in rows.columns else with_hygiene(rows, self.cfg)
-        rows = rows.withColumn("counts", I.tally(T.ngrams(T.tokens(F.coalesce("text", F.lit("")), self.cfg), 2)))
+        given = [c for c in KEPT if c in rows.columns] if "eligible" in rows.columns else ["span_seq", "chunk_id", "page_number", "source_document", "text"]
         # An id that repeats is met by a grouping; few do, but none is known before
-        last = F.max_by(F.struct(*KEPT), "span_seq")
-        return materialize(rows.groupBy("span_id").agg(last.alias("x")).select("span_id", "x.*"))
+        dealt = rows.select("span_id", *given).repartition(self.buckets, "span_id")
+        one = dealt.groupBy("span_id").agg(F.max_by(F.struct(*given), "span_seq").alias("x")).select("span_id", "x.*")
+        return one if "eligible" in one.columns else with_hygiene(one, self.cfg)
 
     def _blocks(self, rows: DataFrame, segment: int) -> DataFrame:
-        """term, part, layer, salt, top (largest weight), n and spans (span_id, x) of the segment's eligible spans."""
-        each = rows.filter("eligible").select("span_id", F.explode("counts").alias("c")).select("span_id", "c.term", "c.tf")
+        """term, part, layer, salt, top (largest weight), n and spans (span_id, x) of the segment's eligible spans, parted by buckets."""
+        each = rows.filter("eligible").select("span_id", F.explode(I.tally(self._grams())).alias("c")).select("span_id", "c.term", "c.tf")
         weighed = each.join(self.table(segment, "terms").select("term", "df", "idf"), "term").select("span_id", F.struct("term", "df", (F.col("tf") * F.col("idf")).alias("w")).alias("t"))
         whole = weighed.groupBy("span_id").agg(F.collect_list("t").alias("ts"))  # a span's terms
         norm = F.sqrt(F.aggregate("ts", F.lit(0.0), lambda a, t: a + t["w"] * t["w"]))
@@ -242,7 +271,7 @@ class StoredIndex:
         layer = F.when(F.col("df") > BLOCK, F.floor(F.col("x") * LAYERS)).otherwise(0).cast("int")
         salt = _part(F.col("span_id"), F.col("df"))
         keyed = posted.select("term", (salt % PARTS).cast("int").alias("part"), layer.alias("layer"), salt.alias("salt"), F.struct("span_id", "x").alias("s"))
-        return keyed.groupBy("term", "part", "layer", "salt").agg(F.max("s.x").alias("top"), F.count(F.lit(1)).alias("n"), F.collect_list("s").alias("spans"))
+        return keyed.repartition(self.buckets, "term", "part").groupBy("term", "part", "layer", "salt").agg(F.max("s.x").alias("top"), F.count(F.lit(1)).alias("n"), F.collect_list("s").alias("spans"))
 
     def _aged(self, p: Part) -> Part:
         """A segment with the least ratio of any term's idf of now to that of its time. Terms that no later segment has keep
@@ -291,14 +320,14 @@ class StoredIndex:
         there now; written. Scores are exact."""
         ids = materialize(pairs.select("span_id").distinct())
         rows = materialize(self._versions(ids).filter("not deleted and eligible").drop("deleted", "segment"))
-        each = rows.select("span_id", F.explode("counts").alias("c")).select("span_id", "c.term", "c.tf")
+        each = rows.select("span_id", F.explode(I.tally(self._grams())).alias("c")).select("span_id", "c.term", "c.tf")
         idf = self.frequencies(each.select("term").distinct()).select("term", "idf")
         weighed = materialize(each.join(idf, "term").select("span_id", "term", (F.col("tf") * F.col("idf")).alias("w")))
         norms = weighed.groupBy("span_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
         dots = weighed.join(asked.select("theme_id", "term", "qw", "qn"), "term").join(pairs, ["theme_id", "span_id"])
         dots = dots.groupBy("theme_id", "span_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.first("qn").alias("qn"))
         scores = dots.join(norms, "span_id").select("theme_id", "span_id", (F.col("dot") / (F.col("nrm") * F.col("qn"))).alias("score"))
-        return materialize(scores.join(rows.drop("counts"), "span_id"))
+        return materialize(scores.join(rows, "span_id"))
 
     def top_k(self, themes: DataFrame, k: int | None = None, min_score: float | None = None) -> tuple[DataFrame, DataFrame]:
         """What index.retrieve() gives for ``themes`` (theme_id, theme), and a report: theme_id, blocks of the theme's terms,

@@ -159,3 +159,17 @@ def test_lookup_skips_row_groups(spark, tmp_path, monkeypatch):
     plan = df._jdf.queryExecution().executedPlan()
     walk(plan.executedPlan() if "Adaptive" in plan.nodeName() else plan)
     assert sum(metrics) < 20000 / 4
+
+
+def test_a_build_leaves_no_more_than_the_index(spark, tmp_path):
+    """What it stages and shuffles is gone afterwards, and a table of few spans isn't filled up by Bloom filters."""
+    from attesta import tables
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, staged = spark.conf.get(key, None), tables.mark()
+    rows = [(i, f"s{i}", f"Rent arrears rose by {i} percent in the whole of the year.") for i in range(200)]
+    frame_ = spark.createDataFrame(rows, "span_seq long, span_id string, text string").selectExpr("*", "'c' AS chunk_id", "1 AS page_number", "'a.txt' AS source_document")
+    made = StoredIndex.build(frame_, str(tmp_path / "ix"), buckets=4)
+    assert tables.mark() == staged and spark.conf.get(key, None) == before
+    assert sum(f.stat().st_size for f in (tmp_path / "ix" / "0" / "spans").glob("*.parquet")) < 1_000_000
+    assert made.lookup(spark.createDataFrame([("s7",), ("s7x",)], "span_id string")).count() == 1
