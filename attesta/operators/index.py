@@ -19,15 +19,20 @@ from .segment import with_hygiene, with_verdict
 
 
 def tally(grams: Column) -> Column:
-    """An array of (term, tf): the runs of the sorted terms."""
+    """An array of (term, tf): where a term repeats, the runs of the sorted terms."""
 
     def runs(s: Column) -> Column:
         n = F.size(s)
         starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
         pairs = lambda at: F.transform(at, lambda i, j: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, j + 1), n) - i).cast("long").alias("tf")))
-        return F.when(n > 0, T.let(starts, pairs)).otherwise(F.array().cast("array<struct<term:string,tf:long>>"))
+        return T.let(starts, pairs)
 
-    return T.let(F.array_sort(grams), runs)
+    def counted(g: Column) -> Column:
+        once = lambda d: F.transform(d, lambda w: F.struct(w.alias("term"), F.lit(1).cast("long").alias("tf")))
+        each = T.let(F.array_distinct(g), lambda d: F.when(F.size(d) == F.size(g), once(d)).otherwise(T.let(F.sort_array(g), runs)))
+        return F.when(F.size(g) > 0, each).otherwise(F.array().cast("array<struct<term:string,tf:long>>"))
+
+    return T.let(grams, counted)
 
 
 def row_counts(rows: DataFrame, key: str, text: str = "text", longest: int = 2, cfg: Settings = DEFAULT) -> DataFrame:
@@ -46,6 +51,13 @@ def document_frequency(rows: DataFrame, text: str = "text", longest: int = 2, cf
     return rows.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def inverse_frequency(rows: DataFrame, text: str = "text", longest: int = 2, cfg: Settings = DEFAULT) -> DataFrame:
+    """term, df and idf over all texts. Texts are counted under an empty term, so that they are read once; the counts are written."""
+    terms = F.coalesce(F.array_distinct(T.ngrams(T.tokens(F.col(text), cfg), longest)), F.array().cast("array<string>"))
+    counted = materialize(rows.select(F.explode(F.concat(F.array(F.lit("")), terms)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    return with_idf(counted.filter("term != ''"), counted.filter("term = ''").select(F.col("df").alias("n")))
+
+
 def with_idf(frequency: DataFrame, total: DataFrame) -> DataFrame:
     """idf by term; total: one row, n."""
     idf = F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1.0
@@ -76,10 +88,23 @@ class Index:
 FEW_TERMS = 500_000
 
 
+def weights(counts: DataFrame, terms: DataFrame) -> DataFrame:
+    """span_seq, term, tf, w of counts (span_seq, term, tf)."""
+    return counts.join(terms.select("term", "idf"), "term").select("span_seq", "term", "tf", (F.col("tf") * F.col("idf")).alias("w"))
+
+
+def norms_of(weighted: DataFrame) -> DataFrame:
+    return weighted.groupBy("span_seq").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
+
+
+def span_norms(spans: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """The norms of build_index(spans), without its postings."""
+    return norms_of(weights(term_counts(spans, "span_seq", cfg=cfg), inverse_frequency(spans, cfg=cfg)))
+
+
 def _weighted(spans: DataFrame, counts: DataFrame, terms: DataFrame) -> Index:
-    postings = materialize(counts.join(terms.select("term", "idf"), "term").select("span_seq", "term", "tf", (F.col("tf") * F.col("idf")).alias("w")))
-    norms = postings.groupBy("span_seq").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
-    return Index(spans, postings, terms, norms)
+    postings = materialize(weights(counts, terms))
+    return Index(spans, postings, terms, norms_of(postings))
 
 
 def build_index(spans: DataFrame, themes: DataFrame | None = None, cfg: Settings = DEFAULT) -> Index:
@@ -87,8 +112,7 @@ def build_index(spans: DataFrame, themes: DataFrame | None = None, cfg: Settings
     Terms and postings are written once."""
     if themes is not None:
         return index_for(spans, themes, cfg)
-    terms = materialize(with_idf(document_frequency(spans, cfg=cfg), spans.agg(F.count(F.lit(1)).alias("n"))))
-    return _weighted(spans, term_counts(spans, "span_seq", cfg=cfg), terms)
+    return _weighted(spans, term_counts(spans, "span_seq", cfg=cfg), inverse_frequency(spans, cfg=cfg))
 
 
 def _text_key(spans: DataFrame) -> list[str]:

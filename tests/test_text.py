@@ -138,3 +138,40 @@ def test_html(column):
 def test_decimal(spark):
     rows = spark.createDataFrame([(0.5,), (0.4321,), (1.0,), (0.0005,), (0.1200,)], "x double").select(verify.decimal(F.col("x")).alias("v")).collect()
     assert [r["v"] for r in rows] == ["0.5", "0.4321", "1.0", "0.0005", "0.12"]
+
+
+def test_sentences_of_odd_texts(column):
+    """Held abbreviations and decimals, literal marks and white space of all kinds, against taking the full stops out and putting them back."""
+    import random
+    import re
+
+    from attesta import lexicon as L
+
+    rng = random.Random(5)
+    parts = ["i.e.", "e.g.", "i.e.g.", "xi.e.g.", "No.", "Mrs.", "etc.", "é.", "3.5", "1.2.3", "A.", "Word", "b!", "c?", "<DOT>", "x<DOT>", '"Q', " ", "  ", "\n", " ", " ", "\t"]
+    texts = ["".join(rng.choices(parts + [" "] * 8, k=rng.randint(0, 30))) for _ in range(400)]
+
+    def plain(t):
+        t = re.sub(rf"\b({L.ABBREVIATIONS})\.", r"\1<DOT>", t.strip())
+        t = re.sub(r"(\d)\.(\d)", r"\1<DOT>\2", t)
+        return [s for s in (p.replace("<DOT>", ".").strip() for p in re.split(r"(?<=[.!?])\s+(?=[A-Z0-9\"'])", t)) if s]
+
+    assert column(texts, T.sentences) == [plain(t) for t in texts]
+
+
+def test_sentences_are_scanned_few_times(spark):
+    """A text is searched once to trim it, once for each glued step and once to split it; its sentences aren't searched."""
+    plan = spark.range(1).selectExpr("cast(id as string) t").select(T.sentences(F.col("t")).alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") == 4 and plan.count("split(") == 1
+
+
+def test_tokens_of_ascii_and_other_texts(column):
+    """Both ways to find words give the words of the Unicode classes."""
+    import re
+
+    from attesta.config import DEFAULT
+
+    texts = ["Rent_2 a bc x9 - 12%", "", None, "the Of", "gr\u00f6\u00dfe \u00e9 \u00e9a", "Kelvin KK x", "l'\u00e9t\u00e9 \u00f1u", "x\u0001yy zz"]
+    stop = set(DEFAULT.stop_words)
+    want = [None if t is None else [w for w in re.findall(r"\w{2,}", t.lower()) if w not in stop] for t in texts]
+    assert column(texts, T.tokens) == want

@@ -167,3 +167,17 @@ def test_copies_are_worked_on_once(spark):
         for k in (1, 3, 90):
             got, want = (sorted(tuple(r) for r in I.retrieve(x, themes, k=k).collect()) for x in (few, I.build_index(rows)))
             assert got == want and got
+
+
+@pytest.mark.parametrize("name", ["q19_idf", "q20_norm"])
+def test_texts_are_split_once_for_frequencies(spark, name, monkeypatch):
+    """Frequencies and the number of texts come of one pass over the texts, whose sums are written."""
+    import __spark_entry__ as entry
+
+    written = []
+    keep = I.materialize
+    monkeypatch.setattr(I, "materialize", lambda df: written.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # q20 finds the terms of each text again, but nothing of them is written
+    assert len(written) == 1 and written[0].count("regexp_extract_all") <= 2
+    assert plan.count("split(") == (1 if name == "q20_norm" else 0)
