@@ -45,6 +45,10 @@ def is_weak(phrase: Column) -> Column:
     return T.is_blacklisted_theme(phrase) | (F.size(own) == 0) | F.coalesce(broad, F.lit(False))
 
 
+#: Words of the texts that one task builds phrases of: tasks grow in number with the input, not in size.
+PART_WORDS = 1 << 20
+
+
 def frequent_phrases(chunks: DataFrame, key: str, cfg: Settings = DEFAULT) -> DataFrame:
     """key, term, tf of the ``theme_vocabulary`` most frequent 1- to 3-grams (ties by name) in each text; written.
 
@@ -56,7 +60,8 @@ def frequent_phrases(chunks: DataFrame, key: str, cfg: Settings = DEFAULT) -> Da
     words = materialize(toks.select(F.explode("toks").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     floor = words.orderBy(F.desc("n"), "term").limit(cfg.theme_vocabulary).agg(F.when(F.count(F.lit(1)) == cfg.theme_vocabulary, F.min("n")).otherwise(F.lit(1)).alias("floor"))
     able = materialize(words.crossJoin(F.broadcast(floor)).filter("n >= floor").select("term"))
-    placed = toks.select("_row", "_key", F.posexplode("toks").alias("at", "term")).join(able, "term", "left_semi")
+    parts = max(chunks.sparkSession.sparkContext.defaultParallelism, -(-(words.agg(F.sum("n")).first()[0] or 0) // PART_WORDS))
+    placed = toks.select("_row", "_key", F.posexplode("toks").alias("at", "term")).join(able, "term", "left_semi").repartition(parts, "_row")
     w = Window.partitionBy("_row").orderBy("at")
     back = lambda n: F.when(F.lag("at", n).over(w) == F.col("at") - n, F.lag("term", n).over(w))
     near = placed.select("_row", "_key", "term", back(1).alias("one"), back(2).alias("two"))

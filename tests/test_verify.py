@@ -181,3 +181,19 @@ def test_texts_are_split_once_for_frequencies(spark, name, monkeypatch):
     # q20 finds the terms of each text again, but nothing of them is written
     assert len(written) == 1 and written[0].count("regexp_extract_all") <= 2
     assert plan.count("split(") == (1 if name == "q20_norm" else 0)
+
+
+def test_phrases_are_built_by_more_tasks_for_more_words(spark, monkeypatch):
+    """The tasks that build phrases hold a bounded number of words, with the same phrases."""
+    import re
+
+    from attesta.operators import themes as TH
+
+    df = spark.createDataFrame([(i, f"alpha{i % 7} beta gamma{i % 3} delta") for i in range(60)], "k int, text string")
+    want = sorted(tuple(r) for r in TH.frequent_phrases(df, "k").select("k", "term", "tf").collect())
+    plans = []
+    keep = TH.materialize
+    monkeypatch.setattr(TH, "materialize", lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or keep(d))
+    monkeypatch.setattr(TH, "PART_WORDS", 9)
+    assert sorted(tuple(r) for r in TH.frequent_phrases(df, "k").select("k", "term", "tf").collect()) == want and want
+    assert [int(n) for p in plans for n in re.findall(r"RepartitionByExpression \[_row#\d+L?\], (\d+)", p)] == [27]
