@@ -13,10 +13,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..shipping import ship
+from ..shipping import bounded_batches, ship
 from . import text as T
 
 
+#: Texts that a worker holds at once: as arrays of arrays each takes many times its bytes.
+PACKED_ROWS = 250
+
+
 def pack_sentences(paragraphs: Iterable[Sequence[str]], most: int, flush: int) -> list[str]:
     """Sentences joined to chunks of ``most`` characters at most, none cut. A paragraph's end closes a
     chunk that has ``flush`` characters; a shorter one goes on with the next paragraph."""
@@ -55,6 +59,7 @@ def pack_paragraphs(parts: Sequence[str], most: int, whole: str) -> list[str]:
 def chunk_texts(pages: Column, cfg: Settings = DEFAULT) -> Column:
     """For an array of page texts, an array of the chunk texts of each."""
     ship()
+    bounded_batches(rows=PACKED_ROWS)
     most, flush = cfg.chunk_chars, cfg.chunk_flush
 
     @F.pandas_udf("array<array<string>>")
@@ -68,6 +73,7 @@ def chunk_texts(pages: Column, cfg: Settings = DEFAULT) -> Column:
 def pages_by_size(text: Column, cfg: Settings = DEFAULT) -> Column:
     """Pages of a free text: at form feeds if there are any, else by size at blank lines."""
     ship()
+    bounded_batches(rows=PACKED_ROWS)
     most = cfg.page_chars
 
     @F.pandas_udf("array<string>")

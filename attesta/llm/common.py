@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..shipping import ship  # noqa: F401
+from ..shipping import BATCH_ROWS, bounded_batches, ship  # noqa: F401
 from ..tables import mark, materialize, new_folder, read_table, release, shared_dir  # noqa: F401
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -25,17 +25,6 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     give_back()
 
 
-#: Rows that Spark hands to a worker at once. Its own setting is 10,000, of whole texts tens of megabytes, held on both sides.
-BATCH_ROWS = 1000
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's rows of a batch to BATCH_ROWS, for operators that send whole texts to workers."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
-
-
 def give_back() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()

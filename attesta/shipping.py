@@ -28,3 +28,15 @@ def ship(spark: SparkSession | None = None) -> None:
                 z.write(f, str(f.relative_to(_PACKAGE.parent)))
     spark.sparkContext.addPyFile(str(path))
     _sent.add(spark.sparkContext.applicationId)
+
+
+#: Rows that Spark hands to a worker at once. Its own setting is 10,000, of whole texts tens of megabytes, held on both sides.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession | None = None, rows: int = BATCH_ROWS) -> None:
+    """Lower the session's rows of a batch, for operators that send whole texts to workers."""
+    spark = spark or SparkSession.getActiveSession()
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark is not None and not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)

@@ -175,3 +175,17 @@ def test_tokens_of_ascii_and_other_texts(column):
     stop = set(DEFAULT.stop_words)
     want = [None if t is None else [w for w in re.findall(r"\w{2,}", t.lower()) if w not in stop] for t in texts]
     assert column(texts, T.tokens) == want
+
+
+@pytest.mark.parametrize("pack", [pages_by_size, lambda c: chunk_texts(F.array(c))])
+def test_packing_holds_few_texts(spark, pack):
+    """A worker gets few texts at a time, however many Spark would send it; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, want in ((10_000, 250), (0, 250), (7, 7)):
+            spark.conf.set(name, given)
+            spark.createDataFrame([("One. Two.",)], "t string").select(pack(F.col("t"))).collect()
+            assert int(spark.conf.get(name)) == want
+    finally:
+        spark.conf.set(name, before)
