@@ -40,13 +40,13 @@ def pack_sentences(paragraphs: Iterable[Sequence[str]], most: int, flush: int) -
     return [*chunks, " ".join(open_)] if open_ else chunks
 
 
-def pack_paragraphs(parts: Sequence[str], most: int, whole: str) -> list[str]:
-    """Paragraphs joined by blank lines to pages of ``most`` characters at most; a longer one is a page."""
+def pack_paragraphs(parts: Sequence[str], most: int, whole: str, spaces: str | None = None) -> list[str]:
+    """Paragraphs joined by blank lines to pages of ``most`` characters at most; a longer one is a page. spaces: what is trimmed."""
     pages: list[str] = []
     page = ""
     for p in parts:
         if len(page) + len(p) + 2 <= most:
-            page = f"{page}\n\n{p}".strip()
+            page = f"{page}\n\n{p}".strip(spaces)
             continue
         if page:
             pages.append(page)
@@ -56,8 +56,8 @@ def pack_paragraphs(parts: Sequence[str], most: int, whole: str) -> list[str]:
     return pages or [whole]
 
 
-def chunk_texts(pages: Column, cfg: Settings = DEFAULT) -> Column:
-    """For an array of page texts, an array of the chunk texts of each."""
+def chunk_texts(pages: Column, cfg: Settings = DEFAULT, ascii_only: bool = False) -> Column:
+    """For an array of page texts, an array of the chunk texts of each. ascii_only: see functions.text.mode."""
     ship()
     bounded_batches(rows=PACKED_ROWS)
     most, flush = cfg.chunk_chars, cfg.chunk_flush
@@ -67,18 +67,20 @@ def chunk_texts(pages: Column, cfg: Settings = DEFAULT) -> Column:
         return col.map(lambda doc: [pack_sentences(page, most, flush) for page in doc] if doc is not None else None)
 
     # Not deterministic by name, so that no filter on its result repeats it below
-    return pack.asNondeterministic()(F.transform(pages, lambda p: F.transform(T.paragraphs(F.coalesce(p, F.lit(""))), lambda x: T.sentences(x))))
+    return pack.asNondeterministic()(F.transform(pages, lambda p: F.transform(T.paragraphs(F.coalesce(p, F.lit("")), ascii_only), lambda x: T.sentences(x, ascii_only))))
 
 
-def pages_by_size(text: Column, cfg: Settings = DEFAULT) -> Column:
-    """Pages of a free text: at form feeds if there are any, else by size at blank lines."""
+def pages_by_size(text: Column, cfg: Settings = DEFAULT, ascii_only: bool = False) -> Column:
+    """Pages of a free text: at form feeds if there are any, else by size at blank lines. ascii_only: see
+    functions.text.mode; form feeds are white space like other."""
     ship()
     bounded_batches(rows=PACKED_ROWS)
-    most = cfg.page_chars
+    most, spaces = cfg.page_chars, "\t\n\f\r " if ascii_only else None
 
     @F.pandas_udf("array<string>")
     def pack(col: pd.Series, whole: pd.Series) -> pd.Series:
-        return pd.Series([pack_paragraphs(p, most, w) for p, w in zip(col, whole, strict=True)], dtype=object)
+        return pd.Series([pack_paragraphs(p, most, w, spaces) for p, w in zip(col, whole, strict=True)], dtype=object)
 
     whole = F.coalesce(text, F.lit(""))
-    return F.when(F.contains(whole, F.lit("\f")), F.split(whole, "\f")).otherwise(pack.asNondeterministic()(F.split(whole, T._MODE + r"\n\s*\n"), whole))
+    packed = pack.asNondeterministic()(F.split(whole, T.mode(r"\n\s*\n", ascii_only)), whole)
+    return packed if ascii_only else F.when(F.contains(whole, F.lit("\f")), F.split(whole, "\f")).otherwise(packed)

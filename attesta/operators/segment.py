@@ -19,12 +19,12 @@ from ..tables import materialize
 _SOURCE = ("source_ord", "source_document", "doc_tag")
 
 
-def chunks(documents: DataFrame, cfg: Settings = DEFAULT, keep: Sequence[str] = ()) -> DataFrame:
+def chunks(documents: DataFrame, cfg: Settings = DEFAULT, keep: Sequence[str] = (), ascii_only: bool = False) -> DataFrame:
     """source_ord, source_document, doc_tag, page_number, chunk_no, chunk_id, text, and columns to keep. Blank pages keep
-    their numbers; chunks that are garbage have none."""
-    made = documents.withColumn("_c", chunk_texts(F.col("pages"), cfg))
+    their numbers; chunks that are garbage have none. ascii_only: see functions.text.mode."""
+    made = documents.withColumn("_c", chunk_texts(F.col("pages"), cfg, ascii_only))
     numbered = F.flatten(F.transform("_c", lambda page, i: F.transform(page, lambda c: F.struct((i + 1).alias("page_number"), c.alias("text")))))
-    made = made.withColumn("_c", F.filter(numbered, lambda c: ~T.is_garbage(c["text"], cfg)))
+    made = made.withColumn("_c", F.filter(numbered, lambda c: ~T.is_garbage(c["text"], cfg, ascii_only)))
     out = made.select(*_SOURCE, *keep, F.posexplode("_c").alias("_i", "_c"))
     return out.select(
         *_SOURCE, "_c.page_number", (F.col("_i") + 1).alias("chunk_no"),

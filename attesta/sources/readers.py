@@ -50,10 +50,10 @@ def from_texts(docs: DataFrame, ord_col: str, name_col: str, text_col: str, tag_
 
 
 def from_html(pages: DataFrame, ord_col: str = "page_id", url_col: str = "url", html_col: str = "html", cfg: Settings = DEFAULT) -> DataFrame:
-    """Documents of fetched web pages. Their text has no blank lines, so each is one page."""
+    """Documents of fetched web pages. Their text has no blank lines, so each is one page, form feeds or not."""
     tag = T.safe_tag(F.regexp_replace(F.col(url_col), "https?://", ""))
     text = pages.select(F.col(ord_col).cast("long").alias("source_ord"), F.col(url_col).alias("source_document"), tag.alias("doc_tag"), T.html_text(F.col(html_col)).alias("_t"))
-    return text.select("source_ord", "source_document", "doc_tag", pages_by_size(F.col("_t"), cfg).alias("pages"))
+    return text.select("source_ord", "source_document", "doc_tag", pages_by_size(F.col("_t"), cfg, ascii_only=True).alias("pages"))
 
 
 def paragraph_pages(paragraphs: Column, per_page: int) -> Column:
