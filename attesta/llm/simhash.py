@@ -147,17 +147,16 @@ def components(edges: DataFrame) -> DataFrame:
     merge joins, which Spark splits where one node has many neighbours; nothing is broadcast.
     """
     a, b = F.col("a"), F.col("b")
-    pairs = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
     live = materialize(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a != b").distinct())
     print_ = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(a, b))).first())
     seen = print_(live)
     while seen[0]:
-        both = live.select(F.explode(F.array(pairs(a, b), pairs(b, a))).alias("x")).select("x.a", "x.b")
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(a.alias("u"), F.least("m", a).alias("m"))
-        large = materialize(both.filter(b > a).hint("merge").join(least, a == F.col("u")).select(b.alias("a"), F.col("m").alias("b")).distinct())
+        # Links run from the larger node a to the smaller b, so a node's smallest neighbour is the least b, or itself if it has none
+        least = live.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+        large = materialize(live.hint("merge").join(least, b == F.col("u"), "left").select("a", F.coalesce("m", b).alias("b")).distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        tied = large.hint("merge").join(least, a == F.col("u"))
-        small = tied.select(F.explode(F.array(pairs(a, F.col("m")), pairs(b, F.col("m")))).alias("x")).select("x.a", "x.b")
+        tied = large.hint("merge").join(least, a == F.col("u")).select(b.alias("a"), F.col("m").alias("b"))
+        small = tied.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         live = materialize(small.filter(a != b).distinct())
         before, seen = seen, print_(live)
         if seen == before:

@@ -269,6 +269,31 @@ def test_components_of_a_chain(spark):
     assert roots == dict.fromkeys(range(61), 0)
 
 
+def test_component_steps_deal_each_link_once(spark, monkeypatch):
+    """Steps don't list links in both directions, and twice the group takes about twice the rows."""
+    import random
+
+    real, plans, rows = simhash.materialize, [], []
+
+    def counted(df):
+        plans.append(df._jdf.queryExecution().analyzed().toString())
+        out = real(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    made = []
+    for n in (400, 800):
+        rng = random.Random(n)
+        edges = [(i, rng.choice(range(max(1, i // 4)))) for i in range(1, n) for _ in range(4)]  # one group, each with up to four of its first
+        rows.clear()
+        roots = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert roots == dict.fromkeys(range(n), 0)
+        made.append(sum(rows))
+    assert made[1] < 2.5 * made[0]
+    assert not any("explode(" in p or "Generate" in p for p in plans)
+
+
 def test_drop_near_duplicates(docs):
     found = simhash.near_duplicates(docs).collect()
     want = {r["component_id"] for r in found if r["doc_id"] is not None}
