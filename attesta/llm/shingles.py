@@ -10,11 +10,13 @@ Sets are large, longer than the texts, and few nodes share a bucket. So a first
 second computes the sets of those nodes only: the hashes of their texts go into ``Marks``, a bit field of a fixed size,
 by which tasks pass other texts over. A text that passes by chance costs its computation and joins with nothing.
 
-Equal sets are one node from the start. In a bucket of a band all members are compared to its smallest node first, so
-a large group of near copies takes a row a member. Members that this doesn't connect meet those others of such buckets
-with whom they share one of their rarest shingles, which similar sets always do (rare_pairs): pages of a common template
-fill buckets but share only what is frequent there. The components are those of all similar pairs of a bucket. A pair
-whose fingerprints link counts only if its sets are similar, too.
+Equal sets are one node from the start. In a bucket of a band all members are compared to a hub first, the one that meets
+most others: of near copies of one text that is the least changed, to which more are similar than to any other, and the
+group takes a row a member. Large buckets where that connects members take a few rounds more, with more hubs (more_hubs).
+Members that no hub connects meet those others of such buckets with whom they share one of their rarest shingles, which
+similar sets always do (rare_pairs): pages of a common template fill buckets but share only what is frequent there. So
+hubs decide how many pairs are compared, never what links: the components are those of all similar pairs of a bucket. A
+pair whose fingerprints link counts only if its sets are similar, too.
 
 Defined cases: fewer words than a shingle are one shingle; texts without words, null ones included, are one node; rows
 without a doc_id all stay; repeated rows are one group; an empty table gives an empty result; other columns are kept
@@ -42,6 +44,8 @@ BANDS, ROWS = 24, 5
 STEP = 1 << 12
 #: Bits that mark texts for the second pass, 4 MB whatever the input. The more texts are marked, the more others pass.
 MARKS = 1 << 25
+#: Each round with more hubs has so many times those of the one before; a bucket goes on if a round connects 1 / SHARE of its odd members.
+MORE, SHARE = 4, 16
 
 _draw = np.random.default_rng(SEED)
 _TIMES = _draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -139,20 +143,54 @@ def shingle_links(docs: DataFrame, nodes: DataFrame, proposed: DataFrame) -> Dat
     """Edges a, b between nodes that connect all similar ones. nodes: node, text_hash (of one of its ``docs``), size and bands;
     proposed: more pairs a, b to compare, written."""
     posted = nodes.select("node", "size", F.explode("bands").alias("key"))
-    hubs = materialize(posted.groupBy("key").agg(F.min(F.struct("node", "size")).alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("key", "hub"))
-    members = materialize(posted.hint("merge").join(hubs, "key").select("key", "node", "size", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size")))
+    counts = posted.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    crowded = materialize(posted.hint("merge").join(counts, "key").select("key", "node", "size", "members"))
+    weights = crowded.groupBy("node").agg(F.sum("members").alias("weight"))
+    members = materialize(crowded.hint("merge").join(weights, "node").select("key", "node", "size", "weight", F.col("node").alias("root")))
     some = members.select("node").unionByName(proposed.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     wanted = nodes.select("node", "text_hash").hint("merge").join(some, "node", "left_semi")
     sets = materialize(sets_of(docs, wanted))
-    first = members.filter(F.col("node") != F.col("hub")).filter(sized("size", "hub_size")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    edges = materialize(similar(first.unionByName(proposed.select("a", "b")).distinct(), sets))
+    edges = materialize(similar(hub_pairs(members).unionByName(proposed.select("a", "b")).distinct(), sets))
     roots = components(edges)
-    # What the smallest nodes didn't connect may be similar to any other of its buckets
-    odd = unconnected(members, roots)
-    keys = odd.filter("odd").select("key").distinct()
-    left = odd.hint("merge").join(keys, "key", "left_semi").groupBy("node").agg(F.first("root").alias("root"), F.max("odd").alias("odd"))
-    second = materialize(rare_pairs(materialize(left), sets))
-    return stars(roots) if second.isEmpty() else stars(roots).unionByName(similar(second, sets))
+    left, found = more_hubs(unconnected(members, roots), sets)
+    # What no hub connected may be similar to any other of its buckets
+    second = materialize(rare_pairs(materialize(left.groupBy("node").agg(F.first("root").alias("root"), F.max("odd").alias("odd"))), sets))
+    for more in (stars(roots), *([] if second.isEmpty() else [similar(second, sets)])):
+        found = more if found is None else found.unionByName(more)
+    return found
+
+
+def hub_pairs(members: DataFrame, hubs: int = 1) -> DataFrame:
+    """Pairs a, b of members of buckets (key, node, size, weight, root) and those ``hubs`` of the bucket that meet most others, where roots differ.
+
+    A node's weight is the sum of its buckets' members. Of near copies of one text the least changed weigh most, and are similar to most.
+    """
+    part = F.pmod(F.xxhash64("node"), F.lit(hubs))
+    chosen = members.groupBy("key", part.alias("part")).agg(F.max(F.struct("weight", "node", "size", "root")).alias("hub")).select("key", "hub")
+    met = members.hint("merge").join(chosen, "key").filter(F.col("root") != F.col("hub.root")).filter(sized("size", "hub.size"))
+    return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+
+
+def more_hubs(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``members`` (as of unconnected) after further rounds, each with MORE times the hubs, and edges a, b between roots that stand for what these connected.
+
+    A bucket takes part while a round connects a fair share of its odd members and it is much larger than its hubs are many, so
+    a round takes a few rows a member, and buckets of pages that aren't similar take one at most.
+    """
+    found, hubs = None, 1
+    while True:
+        hubs *= MORE
+        open_ = members.filter((F.col("members") > MORE * hubs) & ((F.col("before") - F.col("odds")) * SHARE >= F.col("before")))
+        pairs = materialize(hub_pairs(open_, hubs))
+        edges = None if pairs.isEmpty() else materialize(similar(pairs, sets))
+        if edges is None or edges.isEmpty():
+            return members, found
+        placed = members.select("node", "root").distinct()
+        ends = edges.hint("merge").join(placed.select(F.col("node").alias("a"), F.col("root").alias("a_root")), "a")
+        ends = ends.hint("merge").join(placed.select(F.col("node").alias("b"), F.col("root").alias("b_root")), "b")
+        moved = components(ends.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+        found = stars(moved) if found is None else found.unionByName(stars(moved))
+        members = unconnected(members, moved)
 
 
 def stars(roots: DataFrame) -> DataFrame:
@@ -161,10 +199,18 @@ def stars(roots: DataFrame) -> DataFrame:
 
 
 def unconnected(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of buckets (key, node, size, root) and whether they are odd: in another component than the bucket's smallest; written."""
-    placed = members.select("key", "node", "size", "hub").hint("merge").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    hub_root = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    return materialize(placed.hint("merge").join(hub_root, "hub", "left").select("key", "node", "size", "root", (F.col("root") != F.coalesce("hub_root", "hub")).alias("odd")))
+    """Members of buckets (key, node, size, weight, root) of several components, with their ``roots`` (node, root) as new roots; written.
+
+    odd: in another component than the bucket's first hub; members, odds: how many there are and are odd, before: were odd.
+    """
+    moved = roots.select(F.col("node").alias("root"), F.col("root").alias("new"))
+    placed = members.hint("merge").join(moved, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
+    before = F.max("odds") if "odds" in members.columns else F.count(F.lit(1)) - 1
+    hubs = placed.groupBy("key").agg(F.max(F.struct("weight", "node", "root")).alias("hub"), F.count(F.lit(1)).alias("members"), before.alias("before"), F.min("root").alias("low"), F.max("root").alias("high"))
+    rows = placed.select("key", "node", "size", "weight", "root").hint("merge").join(hubs.filter("low != high"), "key")
+    rows = materialize(rows.select("key", "node", "size", "weight", "root", "members", "before", (F.col("root") != F.col("hub.root")).alias("odd")))
+    odds = rows.groupBy("key").agg(F.count_if("odd").alias("odds"))
+    return materialize(rows.hint("merge").join(odds, "key"))
 
 
 def sized(n: str, m: str) -> Column:

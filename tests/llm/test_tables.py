@@ -255,3 +255,39 @@ def test_pages_of_a_template(spark):
         kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert kept == set(range(600))
     assert sum(compared) < 30 * 600
+
+
+@pytest.mark.parametrize("edits", [[0, 1, 1, 2, 2, 3, 3, 4], [2]])
+def test_near_copies_of_one_text(spark, edits):
+    """A large group of near copies, many below 0.8 to most others: hubs connect it, so few pairs are left to compare one by one; components are those of all similar pairs.
+
+    Fingerprints propose nothing here."""
+    import random
+    from itertools import combinations
+
+    from attesta.llm import shingles
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    base = [word() for _ in range(150)]
+    copies = []
+    for _ in range(300):
+        w = list(base)
+        for at in rng.sample(range(150), rng.choice(edits)):
+            w[at] = word()
+        copies.append(w)
+    sets = [{tuple(w[i : i + 5]) for i in range(146)} for w in copies]
+    root = list(range(300))
+    for i, j in combinations(range(300), 2):
+        both = len(sets[i] & sets[j])
+        if both * 100 >= (len(sets[i]) + len(sets[j]) - both) * 80 and root[i] != root[j]:
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    rare_pairs, left = shingles.rare_pairs, []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(shingles, "rare_pairs", lambda nodes, sets: left.append(rare_pairs(nodes, sets).count()) or rare_pairs(nodes, sets))
+        patch.setattr(shingles, "print_pairs", lambda signed: signed.select(F.col("node").alias("a"), F.col("node").alias("b")).filter("a != b"))
+        docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(copies)], "doc_id long, text string").repartition(3)
+        got = {r["doc_id"]: r["component_id"] for r in shingles.components_of(docs).collect()}
+    assert got == dict(enumerate(root))
+    assert sum(left) < 300
