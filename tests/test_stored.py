@@ -173,3 +173,36 @@ def test_a_build_leaves_no_more_than_the_index(spark, tmp_path):
     assert tables.mark() == staged and spark.conf.get(key, None) == before
     assert sum(f.stat().st_size for f in (tmp_path / "ix" / "0" / "spans").glob("*.parquet")) < 1_000_000
     assert made.lookup(spark.createDataFrame([("s7",), ("s7x",)], "span_id string")).count() == 1
+
+
+def test_postings_are_dealt_once(spark, tmp_path):
+    """Spans' lengths come of the frequent terms, which are sent to all tasks: nothing is shuffled but the postings, by their buckets."""
+    rows = sentences(random.Random(6), range(300))
+    made = StoredIndex.build(frame(spark, rows), str(tmp_path / "ix"), buckets=4)
+    plan = made._blocks(made.table(0, "spans").filter("not deleted"), 0)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    found = re.findall(r"(?<!Broadcast)Exchange (\w+)\((.*)", plan)
+    assert len(found) == 1 and found[0][0] == "hashpartitioning" and found[0][1].startswith("term")
+
+
+@pytest.mark.parametrize("few", [0, 3])
+def test_results_do_not_depend_on_the_terms_sent(spark, tmp_path, monkeypatch, few):
+    """Terms that aren't sent count with the least idf that they can have."""
+    monkeypatch.setattr(stored, "BLOCK", 8)
+    monkeypatch.setattr(stored, "FEW_TERMS", few)
+    rows = sentences(random.Random(7), range(600))
+    made = StoredIndex.build(frame(spark, rows), str(tmp_path / "ix"), buckets=2)
+    assert made._frequent(0)[0].count() <= few
+    same(spark, made, rows, names=ASKED[:3])
+
+
+def test_an_index_for_lookups_has_spans_alone(spark, tmp_path):
+    rows = sentences(random.Random(8), range(50))
+    made = StoredIndex.build(frame(spark, rows), str(tmp_path / "ix"), buckets=2, search=False)
+    made = made.update(frame(spark, sentences(random.Random(9), range(45, 60))), spark.createDataFrame([("s3",)], "span_id string"))
+    again = StoredIndex.load(spark, str(tmp_path / "ix"))
+    for ix in (made, again):
+        found = ix.lookup(spark.createDataFrame([(f"s{i}",) for i in range(70)], "span_id string"))
+        assert sorted(r["span_id"] for r in found.collect()) == sorted(f"s{i}" for i in range(60) if i != 3) and ix.total == 59
+        with pytest.raises(ValueError):
+            ix.top_k(themes(spark, "Rent"))
+    assert sorted(p.name for p in (tmp_path / "ix" / "0").iterdir() if p.is_dir()) == ["spans"]
