@@ -8,13 +8,14 @@ shuffle; document frequencies are one aggregation by term.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import text as T
-from ..tables import materialize
+from ..tables import materialize, tidy
 from .segment import with_hygiene, with_verdict
 
 
@@ -51,10 +52,15 @@ def document_frequency(rows: DataFrame, text: str = "text", longest: int = 2, cf
     return rows.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def _counted(rows: DataFrame, text: str = "text", longest: int = 2, cfg: Settings = DEFAULT) -> DataFrame:
+    """term, df over all texts, and the number of texts as that of an empty term."""
+    terms = F.coalesce(F.array_distinct(T.ngrams(T.tokens(F.col(text), cfg), longest)), F.array().cast("array<string>"))
+    return rows.select(F.explode(F.concat(F.array(F.lit("")), terms)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def inverse_frequency(rows: DataFrame, text: str = "text", longest: int = 2, cfg: Settings = DEFAULT) -> DataFrame:
     """term, df and idf over all texts. Texts are counted under an empty term, so that they are read once; the counts are written."""
-    terms = F.coalesce(F.array_distinct(T.ngrams(T.tokens(F.col(text), cfg), longest)), F.array().cast("array<string>"))
-    counted = materialize(rows.select(F.explode(F.concat(F.array(F.lit("")), terms)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    counted = materialize(_counted(rows, text, longest, cfg))
     return with_idf(counted.filter("term != ''"), counted.filter("term = ''").select(F.col("df").alias("n")))
 
 
@@ -97,9 +103,34 @@ def norms_of(weighted: DataFrame) -> DataFrame:
     return weighted.groupBy("span_seq").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
 
 
-def span_norms(spans: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """The norms of build_index(spans), without its postings."""
-    return norms_of(weights(term_counts(spans, "span_seq", cfg=cfg), inverse_frequency(spans, cfg=cfg)))
+#: Norms of more spans than this are found for some of them after the other, so that only a part of the postings is shuffled at a time,
+NORM_SPANS = 500_000
+#: in so many turns at most: each deals the frequencies anew.
+NORM_TURNS = 5
+
+
+def span_norms(spans: DataFrame, cfg: Settings = DEFAULT, by: str = "span_seq") -> DataFrame:
+    """The norms of build_index(spans), without its postings. by: a column by whose hash spans are dealt into turns; best one that the
+    texts have before they are cut into spans."""
+    # A term that isn't written stands in one span
+    with tidy(spans.sparkSession):
+        counted = materialize(_counted(spans, cfg=cfg).filter("df > 1 OR term = ''"))
+    total = counted.filter("term = ''").select("df").first()
+    n = total["df"] if total else 0
+    idf = F.log((1.0 + n) / (F.lit(1.0) + F.coalesce("df", F.lit(1)))) + 1.0
+
+    def norms(rows: DataFrame) -> DataFrame:
+        known = term_counts(rows, "span_seq", cfg=cfg).join(counted.filter("term != ''"), "term", "left")
+        return norms_of(known.select("span_seq", (F.col("tf") * idf).alias("w")))
+
+    turns = min(NORM_TURNS, -(-n // NORM_SPANS))
+    if turns <= 1:
+        return norms(spans)
+    found = []
+    for i in range(turns):
+        with tidy(spans.sparkSession):
+            found.append(materialize(norms(spans.filter(F.pmod(F.xxhash64(by), F.lit(turns)) == i))))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _weighted(spans: DataFrame, counts: DataFrame, terms: DataFrame) -> Index:
